@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +44,18 @@ def shared_folder(spark: SparkSession) -> str:
 def new_table_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of every executor, once per application."""
+    package = Path(__file__).resolve().parent
+    name = f"{package.name}_package.zip"
+    if any(str(path).endswith(name) for path in spark.sparkContext.listFiles):
+        return
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / name.removesuffix(".zip")),
+        "zip",
+        package.parent,
+        package.name,
+    )
+    spark.sparkContext.addPyFile(archive)
