@@ -158,7 +158,7 @@ _on_bars("inverse_scale_all", _all_there_and_back)
 
 def _train_steps(train: DataFrame) -> DataFrame:
     steps = train.select("symbol", "i", F.posexplode(F.arrays_zip("x", "y")).alias("t", "step"))
-    return steps.select("symbol", "i", "t", F.col("step.x").alias("x"), F.col("step.y").alias("y")).select(
+    return steps.select("symbol", "i", F.col("t").cast("bigint").alias("t"), F.col("step.x").alias("x"), F.col("step.y").alias("y")).select(
         "symbol", "i", "t", *_spelled("x", "x"), "y"
     )
 
@@ -169,7 +169,7 @@ def _train_steps_all(train: DataFrame) -> DataFrame:
 
 def _test_steps(test: DataFrame) -> DataFrame:
     return test.select("symbol", "window", "date", "y", F.posexplode("x").alias("t", "x")).select(
-        "symbol", "window", "date", "t", *_spelled("x", "x"), "y"
+        "symbol", "window", "date", F.col("t").cast("bigint").alias("t"), *_spelled("x", "x"), "y"
     )
 
 
@@ -205,7 +205,7 @@ def _persistence_all(bars: DataFrame) -> DataFrame:
 
 def _monthly_history(bars: DataFrame) -> DataFrame:
     """A loss table as training leaves it, with months in the place of epochs."""
-    scored = _persistence(bars).withColumn("epoch", F.year("date") * 12 + F.month("date"))
+    scored = _persistence(bars).withColumn("epoch", (F.year("date") * 12 + F.month("date")).cast("bigint"))
     error = F.col("prediction") - F.col("actual")
     return scored.groupBy("symbol", "epoch").agg(F.round(F.avg(error * error), 2).alias("loss"))
 
@@ -261,7 +261,7 @@ def averaged_round(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataF
     blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
     model, _ = fit_averaged(blocks, LinearKernel(), **ONE_ROUND)
     weights = model.states.select("symbol", F.posexplode("state").alias("k", "v"))
-    return weights.select("symbol", "k", F.round("v", 9).alias("v"))
+    return weights.select("symbol", F.col("k").cast("bigint").alias("k"), F.round("v", 9).alias("v"))
 
 
 @_query
