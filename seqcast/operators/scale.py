@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqcast.functions.columns import scaled, unscaled
-from seqcast.operators.series import BUCKET, number_bars, series_facts, split_columns, with_bucket
+from seqcast.operators.series import BUCKET, join_facts, number_bars, series_facts, split_columns, with_bucket
 from seqcast.operators.stats import feature_ranges
 from seqcast.schema import FEATURES, TRAIN_RATIO, VECTOR_FEATURES, Category
 
@@ -28,9 +28,9 @@ def ranged_series(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAI
         raise ValueError(f"stats_scope must be one of {SCOPES}")
     if stats_scope == "all":
         return split_columns(number_bars(bars, FEATURES), ratio)
-    parts = with_bucket(split_columns(number_bars(bars), ratio))
+    parts = split_columns(number_bars(bars, keep_bucket=True), ratio)
     facts = series_facts(parts, FEATURES, ranged=F.col("part") == "train").drop("offset", "n")
-    return parts.join(facts, ["symbol", BUCKET]).drop(BUCKET)
+    return join_facts(parts, facts).drop(BUCKET)
 
 
 def training_ranges(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN_RATIO) -> DataFrame:
@@ -48,17 +48,22 @@ def minmax_scale(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN
     """
     if stats_scope == "all":  # no positions needed
         bucketed = with_bucket(bars)
-        ranged = bucketed.join(series_facts(bucketed, FEATURES), ["symbol", BUCKET])
+        ranged = join_facts(bucketed, series_facts(bucketed, FEATURES))
     else:
         ranged = ranged_series(bars, stats_scope, ratio)
     return ranged.select("symbol", "date", *[scaled_feature(name).alias(name) for name in FEATURES])
 
 
 def minmax_scale_global(bars: DataFrame) -> DataFrame:
-    """``symbol, date, features``: the assembled vector scaled over the whole table."""
-    assembled = VectorAssembler(inputCols=list(VECTOR_FEATURES), outputCol="raw").transform(bars)
-    scaler = MinMaxScaler(min=0.0, max=1.0, inputCol="raw", outputCol="features").fit(assembled)
-    return scaler.transform(assembled).select("symbol", "date", "features")
+    """``symbol, date, features``: the vector of the features, scaled over the whole table.
+
+    The fit is one aggregate whose single row of ranges comes to the driver.
+    """
+    ranges = feature_ranges(bars, by=None).first()
+    values = [
+        scaled(F.col(name), F.lit(ranges[f"min_{name}"]), F.lit(ranges[f"max_{name}"])) for name in VECTOR_FEATURES
+    ]
+    return bars.select("symbol", "date", array_to_vector(F.array(*values)).alias("features"))
 
 
 def inverse_scale(df: DataFrame, ranges: DataFrame, category: str, columns: tuple[str, ...] = ("prediction",)) -> DataFrame:

@@ -69,11 +69,13 @@ def series_facts(bucketed: DataFrame, features: Sequence[str] = (), ranged: Colu
     )
 
 
-def number_bars(bars: DataFrame, features: Sequence[str] = ()) -> DataFrame:
+def number_bars(bars: DataFrame, features: Sequence[str] = (), keep_bucket: bool = False) -> DataFrame:
     """Bars with ``i``, ``n`` and, for the named features, the ranges of the symbol.
 
     Bars are ordered by date; equal dates by their values, so that a rerun of a
-    lost task numbers them alike. The bars are shuffled and sorted once.
+    lost task numbers them alike. The bars are shuffled and sorted once, and
+    stay partitioned by symbol and bucket; ``keep_bucket`` keeps that column for
+    a further join.
     """
     bucketed = with_bucket(bars)
     inside = Window.partitionBy("symbol", BUCKET).orderBy("date", *[c for c in FEATURES if c in bars.columns])
@@ -82,7 +84,18 @@ def number_bars(bars: DataFrame, features: Sequence[str] = ()) -> DataFrame:
     joined = placed.join(series_facts(bucketed, features).hint("merge"), ["symbol", BUCKET])
     position = (F.col("offset") + F.col("_place") - 1).cast("bigint")
     extra = [f"{tag}_{name}" for name in features for tag in ("min", "max")]
-    return joined.select(*bars.columns, position.alias("i"), "n", *extra)
+    kept = [BUCKET] if keep_bucket else []
+    return joined.select(*bars.columns, position.alias("i"), "n", *extra, *kept)
+
+
+def join_facts(bucketed: DataFrame, facts: DataFrame) -> DataFrame:
+    """Bars with the facts of their series.
+
+    A shuffled hash join on symbol and bucket: no sort of the bars, a hash table
+    of one row per symbol and bucket of the same partition, and no key that
+    holds more bars than a bucket.
+    """
+    return bucketed.join(facts.hint("shuffle_hash"), ["symbol", BUCKET])
 
 
 def index_bars(bars: DataFrame) -> DataFrame:

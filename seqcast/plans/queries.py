@@ -273,8 +273,7 @@ def training_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> Dat
 
 
 def _forecast(bars: DataFrame, algo: str, **params) -> DataFrame:
-    train, _ = windows.make_windows(bars)
-    model = fit_forecaster(train, algo, **params)
+    model = fit_forecaster(windows.window_blocks(bars, "train"), algo, **params)
     return predict.predict_one_ahead(model, windows.window_blocks(bars, "test"), stats.feature_ranges(bars))
 
 

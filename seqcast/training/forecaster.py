@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from seqcast.operators.windows import unfold_windows
+from seqcast.schema import FEATURES, WINDOW_LENGTH
+
 ALGORITHMS = {"linear": LinearRegression, "gbt": GBTRegressor}
 
 
@@ -15,16 +20,23 @@ def window_features(windows: DataFrame) -> DataFrame:
     return windows.withColumn("features", array_to_vector(F.flatten("x")))
 
 
-def fit_forecaster(windows: DataFrame, algo: str = "linear", **params) -> PipelineModel:
-    """Fits the bar after the window, scaled, on train windows of one category.
+def fit_forecaster(blocks: DataFrame, algo: str = "linear", length: int = WINDOW_LENGTH, **params) -> PipelineModel:
+    """Fits the bar after the window, scaled, on train blocks of one category.
 
-    A linear fit is one distributed pass that sums a matrix of inputs times
-    inputs; boosted trees pass over the windows once per tree level.
+    A learner passes over its rows several times. What is kept between the
+    passes are the blocks, which are hardly larger than the bars; the windows,
+    larger by their length, are unfolded in every pass. The declared vector
+    size saves the learner a job of its own to find it.
     """
     if algo not in ALGORITHMS:
         raise ValueError(f"algo must be one of {sorted(ALGORITHMS)}")
     if algo == "linear":
         params.setdefault("regParam", 1e-4)
     learner = ALGORITHMS[algo](featuresCol="features", labelCol="label", predictionCol="prediction", **params)
-    labelled = window_features(windows).select("features", F.element_at("y", -1).alias("label"))
-    return Pipeline(stages=[learner]).fit(labelled)
+    size = VectorSizeHint(inputCol="features", size=length * len(FEATURES), handleInvalid="optimistic")
+    kept = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        windows = window_features(unfold_windows(kept, length))
+        return Pipeline(stages=[size, learner]).fit(windows.select("features", F.element_at("y", -1).alias("label")))
+    finally:
+        kept.unpersist()

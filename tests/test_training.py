@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fixtures import bar_rows, bars_of, expected_windows
 from seqcast.operators import stats
-from seqcast.operators.windows import make_windows, window_blocks
+from seqcast.operators.windows import window_blocks
 from seqcast.schema import FEATURES, SequenceConfig
 from seqcast.sources.writers import load_model, predictions_as_documents, save_model, with_run_label, write_predictions
 from seqcast.training import averaging
@@ -209,8 +209,7 @@ def test_no_training_window(spark):
 
 def test_linear_fit_equals_least_squares(spark, bars):
     rows = wave_rows("A", 150) + wave_rows("B", 90, 0.5)
-    train, _ = make_windows(bars, length=3)
-    model = fit_forecaster(train, "linear", regParam=0.0).stages[0]
+    model = fit_forecaster(window_blocks(bars, "train", length=3), "linear", length=3, regParam=0.0).stages[-1]
     parts = [_arrays(rows, 3, 0.9, "close", s) for s in "AB"]
     x = np.vstack([p[0].reshape(len(p[0]), -1) for p in parts])
     y = np.concatenate([p[1][:, -1, 0] for p in parts])
@@ -221,9 +220,8 @@ def test_linear_fit_equals_least_squares(spark, bars):
 
 
 def test_forecast_comes_back_in_units_and_beats_persistence(spark, bars):
-    train, _ = make_windows(bars, length=6)
     test, ranges = window_blocks(bars, "test", length=6), stats.feature_ranges(bars)
-    out = predict_one_ahead(fit_forecaster(train), test, ranges, length=6)
+    out = predict_one_ahead(fit_forecaster(window_blocks(bars, "train", length=6), length=6), test, ranges, length=6)
     assert out.columns == ["symbol", "window", "date", "category", "prediction", "actual"]
     mine = stats.mean_loss(out, by=None).first()["loss"]
     assert mine < stats.mean_loss(persistence_forecast(test, ranges, length=6), by=None).first()["loss"]
@@ -236,7 +234,7 @@ def test_forecast_comes_back_in_units_and_beats_persistence(spark, bars):
 def test_all_features_by_five_fits_and_by_one_kernel(spark, bars):
     ranges = stats.feature_ranges(bars)
     test = window_blocks(bars, "test", length=6, category="all")
-    models = {f: fit_forecaster(make_windows(bars, length=6, category=f)[0]) for f in FEATURES}
+    models = {f: fit_forecaster(window_blocks(bars, "train", length=6, category=f), length=6) for f in FEATURES}
     five = predict_all(models, test, ranges, length=6).orderBy("symbol", "window").collect()
     blocks = window_blocks(bars, "train", length=6, category="all")
     model, _ = fit_averaged(blocks, LinearKernel("all", 6, 0.05), averaging_frequency=9, batch_size=16, max_epochs=2)
@@ -304,10 +302,9 @@ def test_run_label_may_stand_in_a_path(forecast):
 
 @pytest.mark.parametrize("kind", ["linear", "gbt", "averaged", "lstm"])
 def test_reloaded_model_predicts_alike(spark, bars, tmp_path, kind):
-    train, _ = make_windows(bars, length=6)
     blocks = window_blocks(bars, "train", length=6)
     if kind in ("linear", "gbt"):
-        model = fit_forecaster(train, kind, **({"maxIter": 2, "seed": 1} if kind == "gbt" else {}))
+        model = fit_forecaster(blocks, kind, length=6, **({"maxIter": 2, "seed": 1} if kind == "gbt" else {}))
     else:
         kernel = LinearKernel(length=6) if kind == "averaged" else LstmKernel("close", TINY)
         model, _ = fit_averaged(blocks, kernel, max_epochs=1)
