@@ -8,6 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqcast.operators.series import index_bars
+from seqcast.operators.skew import join_on_symbol
 from seqcast.schema import BAR_COLUMNS, FEATURES
 
 ON_BAD = ("drop", "null", "fail")
@@ -41,11 +42,10 @@ def cast_bars(df: DataFrame, on_bad: str = "drop", date_type: str = "date") -> D
 def select_symbols(bars: DataFrame, symbols: str | Iterable[str] | DataFrame) -> DataFrame:
     """Bars of the wanted symbols: one name, a few names, or a table with a ``symbol`` column.
 
-    A table becomes a left semi join; whether it is broadcast is left to the
-    optimizer, which knows its size.
+    A table becomes a left semi join.
     """
     if isinstance(symbols, DataFrame):
-        return bars.join(symbols.select("symbol"), "symbol", "left_semi")
+        return join_on_symbol(bars, symbols.select("symbol"), "left_semi")
     if isinstance(symbols, str):
         return bars.where(F.col("symbol") == symbols)
     return bars.where(F.col("symbol").isin(list(symbols)))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from seqcast.functions.columns import scaled, unscaled
 from seqcast.operators.series import BUCKET, join_facts, number_bars, series_facts, split_columns, with_bucket
+from seqcast.operators.skew import join_on_symbol
 from seqcast.operators.stats import feature_ranges
 from seqcast.schema import FEATURES, TRAIN_RATIO, VECTOR_FEATURES, Category
 
@@ -66,21 +67,23 @@ def minmax_scale_global(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "date", array_to_vector(F.array(*values)).alias("features"))
 
 
+def _spread_column(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return next(c for c in ("window", "i", "date", *columns) if c in df.columns)
+
+
 def inverse_scale(df: DataFrame, ranges: DataFrame, category: str, columns: tuple[str, ...] = ("prediction",)) -> DataFrame:
     """Scaled ``columns`` of one category back in the units of the feature."""
     name = Category.of(category).value
     picked = ranges.select("symbol", F.col(f"min_{name}").alias("_low"), F.col(f"max_{name}").alias("_high"))
     back = {c: unscaled(F.col(c), F.col("_low"), F.col("_high")) for c in columns}
-    return df.join(picked, "symbol").withColumns(back).select(*df.columns)
+    return join_on_symbol(df, picked, spread_by=_spread_column(df, columns)).withColumns(back).select(*df.columns)
 
 
 def inverse_scale_all(df: DataFrame, ranges: DataFrame, columns: tuple[str, ...] = ("prediction",)) -> DataFrame:
     """Scaled arrays of the five features back in their units, element by element."""
-    picked = ranges.select(
-        "symbol",
-        F.array(*[F.struct(F.col(f"min_{f}").alias("low"), F.col(f"max_{f}").alias("high")) for f in FEATURES]).alias("_ranges"),
-    )
+    limits = F.array(*[F.struct(F.col(f"min_{f}").alias("low"), F.col(f"max_{f}").alias("high")) for f in FEATURES])
+    picked = ranges.select("symbol", limits.alias("_ranges"))
     back = {
         c: F.zip_with(F.col(c), F.col("_ranges"), lambda value, r: unscaled(value, r["low"], r["high"])) for c in columns
     }
-    return df.join(picked, "symbol").withColumns(back).select(*df.columns)
+    return join_on_symbol(df, picked, spread_by=_spread_column(df, columns)).withColumns(back).select(*df.columns)

@@ -79,7 +79,9 @@ def number_bars(bars: DataFrame, features: Sequence[str] = (), keep_bucket: bool
     """
     bucketed = with_bucket(bars)
     inside = Window.partitionBy("symbol", BUCKET).orderBy("date", *[c for c in FEATURES if c in bars.columns])
-    placed = bucketed.withColumn("_place", F.row_number().over(inside))
+    # Stated, since bars that come partitioned by symbol alone would otherwise stay so.
+    spread = bucketed.repartition("symbol", BUCKET)
+    placed = spread.withColumn("_place", F.row_number().over(inside))
     # Numbering first leaves the bars partitioned and sorted as the merge join wants them.
     joined = placed.join(series_facts(bucketed, features).hint("merge"), ["symbol", BUCKET])
     position = (F.col("offset") + F.col("_place") - 1).cast("bigint")

@@ -40,10 +40,12 @@ def window_blocks(
 ) -> DataFrame:
     """Blocks of the train or the test part.
 
-    ``symbol, block, start, m, x, y`` and, for the test part, ``date``: ``start``
-    is the position of the first window in the part, ``m`` the number of
-    windows, ``x`` the scaled features and ``y`` the target of every bar of the
-    block. The target is scaled in the train part and raw in the test part.
+    ``symbol, block, start, m, x, y``: ``start`` is the position of the first
+    window in the part, ``m`` the number of windows, ``x`` the scaled features
+    and ``y`` the target of every bar of the block. The target is scaled in the
+    train part and raw in the test part. Test blocks also have the ``date`` of
+    every bar, and ``low`` and ``high``, the ranges of the target, so that a
+    forecast is brought back to its units without a join.
     """
     if part not in PARTS:
         raise ValueError(f"part must be one of {PARTS}")
@@ -63,23 +65,31 @@ def window_blocks(
     if part == "test":
         bar.append(F.col("date"))
 
+    ranges = F.struct(*[F.array(*[F.col(f"{tag}_{f}") for f in wanted.features]).alias(name) for tag, name in (("min", "low"), ("max", "high"))])
+
     home = F.expr(f"j div {block_size}")
     reaches_back = (F.col("j") >= block_size) & (F.col("j") % block_size < length)
     owners = F.when(reaches_back, F.array(home - 1, home)).otherwise(F.array(home))
     spread = (
-        needed.select("symbol", "windows", F.struct(*bar).alias("bar"), F.explode(owners).alias("block"))
+        needed.select("symbol", "windows", F.struct(*bar).alias("bar"), ranges.alias("ranges"), F.explode(owners).alias("block"))
         .where(F.col("block") * block_size < F.col("windows"))
         .groupBy("symbol", "block")
-        .agg(F.max("windows").alias("windows"), F.sort_array(F.collect_list("bar")).alias("bars"))
+        .agg(
+            F.max("windows").alias("windows"),
+            F.any_value("ranges").alias("ranges"),  # the same in every bar of a symbol
+            F.sort_array(F.collect_list("bar")).alias("bars"),
+        )
     )
     start = F.col("block") * block_size
     fields = ["x", "y"] + (["date"] if part == "test" else [])
+    limits = ["ranges.low", "ranges.high"] if part == "test" else []
     return spread.select(
         "symbol",
         "block",
         start.alias("start"),
         F.least(F.lit(block_size), F.col("windows") - start).cast("int").alias("m"),
         *[F.col(f"bars.{name}").alias(name) for name in fields],
+        *limits,
     )
 
 
@@ -88,8 +98,8 @@ def unfold_windows(blocks: DataFrame, length: int = WINDOW_LENGTH) -> DataFrame:
 
     Train blocks give ``symbol, i, x, y``, where ``y`` holds the target of the
     next bar for each of the ``length`` steps. Test blocks give ``symbol,
-    window, date, x, y``, where ``date`` and ``y`` belong to the bar after the
-    window.
+    window, date, x, y, low, high``, where ``date`` and ``y`` belong to the bar
+    after the window.
     """
     each = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("s"))
     position = F.col("start") + F.col("s")
@@ -103,6 +113,8 @@ def unfold_windows(blocks: DataFrame, length: int = WINDOW_LENGTH) -> DataFrame:
         F.get("date", following).alias("date"),
         x,
         F.get("y", following).alias("y"),
+        "low",
+        "high",
     )
 
 
@@ -120,7 +132,7 @@ def make_windows(
         unfold_windows(window_blocks(bars, part, length, horizon, ratio, category, block_size, stats_scope), length)
         for part in PARTS
     )
-    return train, test
+    return train, test.drop("low", "high")
 
 
 def assign_batches(windows: DataFrame, size: int | Column) -> DataFrame:

@@ -193,8 +193,7 @@ _on_bars(
 
 
 def _persistence(bars: DataFrame, category: str = "close") -> DataFrame:
-    test = windows.window_blocks(bars, "test", category=category)
-    return predict.persistence_forecast(test, stats.feature_ranges(bars), category)
+    return predict.persistence_forecast(windows.window_blocks(bars, "test", category=category), category)
 
 
 def _persistence_all(bars: DataFrame) -> DataFrame:
@@ -274,7 +273,7 @@ def training_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> Dat
 
 def _forecast(bars: DataFrame, algo: str, **params) -> DataFrame:
     model = fit_forecaster(windows.window_blocks(bars, "train"), algo, **params)
-    return predict.predict_one_ahead(model, windows.window_blocks(bars, "test"), stats.feature_ranges(bars))
+    return predict.predict_one_ahead(model, windows.window_blocks(bars, "test"))
 
 
 _on_bars("linear_forecast", lambda bars: _forecast(bars, "linear"))
@@ -285,8 +284,8 @@ def _averaged(bars: DataFrame, kernel, category: str, **settings) -> DataFrame:
     model, _ = fit_averaged(windows.window_blocks(bars, "train", category=category), kernel, **settings)
     test = windows.window_blocks(bars, "test", category=category)
     if category == "all":
-        return predict.predict_all(model, test, stats.feature_ranges(bars))
-    return predict.predict_one_ahead(model, test, stats.feature_ranges(bars), category)
+        return predict.predict_all(model, test)
+    return predict.predict_one_ahead(model, test, category)
 
 
 _on_bars("averaged_forecast", lambda bars: _averaged(bars, LinearKernel(), "close", averaging_frequency=8, max_epochs=3))

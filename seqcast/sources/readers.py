@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from seqcast.operators.prep import cast_bars
+from seqcast.operators.prep import cast_bars, select_symbols
 from seqcast.schema import BAR_COLUMNS
 
 # Positions of a per-symbol file: the close of a bar is the adjusted one.
@@ -41,9 +41,8 @@ def read_symbol_files(
     paths = [f"{base}/{name}.csv" for name in symbols] if listed else f"{base}/*.csv"
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
     raw = spark.read.schema(text).csv(paths, header=True).withColumn("symbol", symbol)
-    if isinstance(symbols, DataFrame):
-        raw = raw.join(symbols.select("symbol"), "symbol", "left_semi")
-    return cast_bars(raw, on_bad, date_type)
+    bars = cast_bars(raw, on_bad, date_type)
+    return select_symbols(bars, symbols) if isinstance(symbols, DataFrame) else bars
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:

@@ -60,7 +60,7 @@ class AveragedModel:
     states: DataFrame
 
     def transform(self, blocks: DataFrame) -> DataFrame:
-        """Test blocks to ``symbol, window, date, prediction, actual``, the prediction still scaled.
+        """Test blocks to ``symbol, window, date, prediction, actual``, in the units of the target.
 
         Every window is scored on its own, from a cleared recurrent state.
         """
@@ -74,7 +74,8 @@ class AveragedModel:
                 for row in range(batch.num_rows):
                     m = batch["m"][row].as_py()
                     x = _windows(_matrix(batch["x"][row]), length, m)
-                    predicted = kernel.predict(_vector(batch["state"][row]), x)
+                    low, high = _vector(batch["low"][row]), _vector(batch["high"][row])
+                    predicted = kernel.predict(_vector(batch["state"][row]), x) * (high - low) + low
                     actual = _matrix(batch["y"][row])[length : length + m]
                     start = batch["start"][row].as_py()
                     yield pa.RecordBatch.from_arrays(
@@ -96,7 +97,9 @@ class AveragedModel:
         if _fits_broadcast(models, kernel):
             states = F.broadcast(states)
         # Otherwise a merge join, whose skewed partitions adaptive execution splits.
-        attached = keyed.join(states, "symbol").select("owner", "start", "m", "x", "y", "date", "state")
+        attached = keyed.join(states, "symbol").select(
+            "owner", "start", "m", "x", "y", "date", "low", "high", "state"
+        )
         return attached.mapInArrow(score, out)
 
 

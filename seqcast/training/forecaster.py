@@ -34,9 +34,12 @@ def fit_forecaster(blocks: DataFrame, algo: str = "linear", length: int = WINDOW
         params.setdefault("regParam", 1e-4)
     learner = ALGORITHMS[algo](featuresCol="features", labelCol="label", predictionCol="prediction", **params)
     size = VectorSizeHint(inputCol="features", size=length * len(FEATURES), handleInvalid="optimistic")
-    kept = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    ours = blocks.storageLevel == StorageLevel.NONE
+    if ours:
+        blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        windows = window_features(unfold_windows(kept, length))
+        windows = window_features(unfold_windows(blocks, length))
         return Pipeline(stages=[size, learner]).fit(windows.select("features", F.element_at("y", -1).alias("label")))
     finally:
-        kept.unpersist()
+        if ours:
+            blocks.unpersist()

@@ -220,11 +220,11 @@ def test_linear_fit_equals_least_squares(spark, bars):
 
 
 def test_forecast_comes_back_in_units_and_beats_persistence(spark, bars):
-    test, ranges = window_blocks(bars, "test", length=6), stats.feature_ranges(bars)
-    out = predict_one_ahead(fit_forecaster(window_blocks(bars, "train", length=6), length=6), test, ranges, length=6)
+    test = window_blocks(bars, "test", length=6)
+    out = predict_one_ahead(fit_forecaster(window_blocks(bars, "train", length=6), length=6), test, length=6)
     assert out.columns == ["symbol", "window", "date", "category", "prediction", "actual"]
     mine = stats.mean_loss(out, by=None).first()["loss"]
-    assert mine < stats.mean_loss(persistence_forecast(test, ranges, length=6), by=None).first()["loss"]
+    assert mine < stats.mean_loss(persistence_forecast(test, length=6), by=None).first()["loss"]
     _, want = expected_windows(wave_rows("A", 150) + wave_rows("B", 90, 0.5), 6, 1, 0.9, "close")
     assert {(r["symbol"], r["window"]): (r["date"], r["actual"]) for r in out.collect()} == {
         key: (date, y) for key, (date, _, y) in want.items()
@@ -232,20 +232,19 @@ def test_forecast_comes_back_in_units_and_beats_persistence(spark, bars):
 
 
 def test_all_features_by_five_fits_and_by_one_kernel(spark, bars):
-    ranges = stats.feature_ranges(bars)
     test = window_blocks(bars, "test", length=6, category="all")
     models = {f: fit_forecaster(window_blocks(bars, "train", length=6, category=f), length=6) for f in FEATURES}
-    five = predict_all(models, test, ranges, length=6).orderBy("symbol", "window").collect()
+    five = predict_all(models, test, length=6).orderBy("symbol", "window").collect()
     blocks = window_blocks(bars, "train", length=6, category="all")
     model, _ = fit_averaged(blocks, LinearKernel("all", 6, 0.05), averaging_frequency=9, batch_size=16, max_epochs=2)
-    one = predict_all(model, test, ranges).orderBy("symbol", "window").collect()
-    single = predict_one_ahead(models["high"], window_blocks(bars, "test", length=6, category="high"), ranges, "high", 6)
+    one = predict_all(model, test).orderBy("symbol", "window").collect()
+    single = predict_one_ahead(models["high"], window_blocks(bars, "test", length=6, category="high"), "high", 6)
     singles = [r["prediction"] for r in single.orderBy("symbol", "window").collect()]
     assert [r["prediction"][3] for r in five] == pytest.approx(singles)
     assert [r["actual"] for r in five] == [r["actual"] for r in one]
     assert all(len(r["prediction"]) == 5 and 0 < r["prediction"][0] < 100 for r in one)
     with pytest.raises(ValueError):
-        predict_one_ahead(model, test, ranges, "all")
+        predict_one_ahead(model, test, "all")
 
 
 # --- what is written
@@ -253,7 +252,7 @@ def test_all_features_by_five_fits_and_by_one_kernel(spark, bars):
 
 @pytest.fixture(scope="module")
 def forecast(bars):
-    return persistence_forecast(window_blocks(bars, "test", length=6), stats.feature_ranges(bars), length=6)
+    return persistence_forecast(window_blocks(bars, "test", length=6), length=6)
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "csv", "json"])
@@ -311,9 +310,9 @@ def test_reloaded_model_predicts_alike(spark, bars, tmp_path, kind):
     path = str(tmp_path / "model")
     save_model(model, path)
     again = load_model(spark, path)
-    test, ranges = window_blocks(bars, "test", length=6), stats.feature_ranges(bars)
+    test = window_blocks(bars, "test", length=6)
     one, two = (
-        [r["prediction"] for r in predict_one_ahead(m, test, ranges, length=6).orderBy("symbol", "window").collect()]
+        [r["prediction"] for r in predict_one_ahead(m, test, length=6).orderBy("symbol", "window").collect()]
         for m in (model, again)
     )
     assert one == two and len(one) > 0

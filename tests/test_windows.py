@@ -138,3 +138,9 @@ def test_bars_are_shuffled_once_for_numbering(spark, tmp_path):
     # one exchange of the bars; two of the small table of facts, and one to bring it to the bars
     assert plan.count("Exchange hashpartitioning") == 4
     assert "SortMergeJoin" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_bars_partitioned_by_symbol_are_spread_before_numbering(spark):
+    bars = bars_of(spark, bar_rows("A", 50)).repartition(4, "symbol")
+    plan = series.index_bars(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [symbol" in plan and "_bucket" in plan.split("RepartitionByExpression")[1][:60]
