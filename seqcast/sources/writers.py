@@ -69,7 +69,13 @@ def save_model(model: PipelineModel | AveragedModel, path: str) -> None:
         model.write().overwrite().save(path)
         return
     name = next(key for key, kind in KERNELS.items() if isinstance(model.kernel, kind))
-    about = {"kernel": name, "settings": asdict(model.kernel), "length": model.length, "per_symbol": model.per_symbol}
+    about = {
+        "kernel": name,
+        "settings": asdict(model.kernel),
+        "length": model.length,
+        "per_symbol": model.per_symbol,
+        "models": model.models,
+    }
     model.states.write.mode("overwrite").parquet(f"{path}/states")
     spark = model.states.sparkSession
     spark.range(1).select(F.lit(json.dumps(about)).alias("value")).write.mode("overwrite").text(f"{path}/about")
@@ -86,4 +92,4 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel | AveragedModel:
         settings["config"] = SequenceConfig(**settings["config"])
     kernel = KERNELS[about["kernel"]](**settings)
     states = spark.read.schema(STATE_SCHEMA).parquet(f"{path}/states")
-    return AveragedModel(kernel, about["length"], about["per_symbol"], states)
+    return AveragedModel(kernel, about["length"], about["per_symbol"], about["models"], states)

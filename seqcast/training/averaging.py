@@ -36,10 +36,10 @@ Kernel = LinearKernel | LstmKernel
 BROADCAST_BYTES = 64 << 20
 # Aim for the bytes of one Arrow batch handed to Python.
 ARROW_BYTES = 64 << 20
-# Neighbouring blocks of one symbol that stay together, and the tasks of a round:
+# Neighbouring blocks of one symbol that stay together, and the blocks of a task:
 # the work is bound by arithmetic, not bytes, so tasks are counted in blocks.
 BLOCKS_PER_SALT = 8
-BLOCKS_PER_TASK = 8
+BLOCKS_PER_TASK = 64
 MAX_TASKS = 200_000
 # Weights per output row.
 CHUNK = 1 << 16
@@ -57,6 +57,7 @@ class AveragedModel:
     kernel: Kernel
     length: int
     per_symbol: bool
+    models: int
     states: DataFrame
 
     def transform(self, blocks: DataFrame) -> DataFrame:
@@ -92,9 +93,8 @@ class AveragedModel:
         date = blocks.schema["date"].dataType.elementType.simpleString()
         out = f"symbol string, window bigint, date {date}, prediction {number}, actual {number}"
         keyed = blocks.withColumnRenamed("symbol", "owner").withColumn("symbol", _model_key("owner", self.per_symbol))
-        models = self.states.count() if self.per_symbol else 1
         states = self.states.select("symbol", "state")
-        if _fits_broadcast(models, kernel):
+        if _fits_broadcast(self.models, kernel):
             states = F.broadcast(states)
         # Otherwise a merge join, whose skewed partitions adaptive execution splits.
         attached = keyed.join(states, "symbol").select(
@@ -272,7 +272,8 @@ def fit_averaged(
     rounds = -(-sizes["largest"] // per_round)
     small = _fits_broadcast(sizes["models"], kernel)
     row_bytes = 8 * (sizes["bars"] * (kernel.outputs + 5) + kernel.state_size)
-    tasks = min(max(-(-sizes["blocks"] // BLOCKS_PER_TASK), 1), MAX_TASKS)
+    enough = max(-(-sizes["blocks"] // BLOCKS_PER_TASK), 2 * spark.sparkContext.defaultParallelism)
+    tasks = min(enough, sizes["blocks"], MAX_TASKS)
     # Blocks are moved once, not per round; weights are sent to them.
     work = keyed.repartition(tasks, "symbol" if per_symbol else "owner", "salt").persist(StorageLevel.MEMORY_AND_DISK)
     work.count()
@@ -330,4 +331,4 @@ def fit_averaged(
     history = losses()
     ended = written().where(F.col("round") == rounds - 1).select("symbol", "epoch", "state")
     best = ended.join(best_epoch(history), ["symbol", "epoch"]).select("symbol", "epoch", "loss", "state")
-    return AveragedModel(kernel, length, per_symbol, best), history
+    return AveragedModel(kernel, length, per_symbol, sizes["models"], best), history
