@@ -2,7 +2,7 @@
 
 A symbol may hold a large share of all bars, so no window here is partitioned
 by symbol alone over the bars. Bars are numbered inside a calendar bucket (a
-year of daily bars, a day of intraday bars). A small table with one row per
+year of daily bars, an hour of intraday bars). A small table with one row per
 symbol and bucket, made by a partial and final aggregate, carries what a bar
 must know of its whole series: how many bars come before the bucket, how many
 there are in all, and the feature ranges. Bucket and symbol together are the
@@ -22,7 +22,7 @@ BUCKET = "_bucket"
 
 
 def calendar_bucket(bars: DataFrame) -> Column:
-    """Year of a daily bar, day number of an intraday bar; -1 for a bar without a date.
+    """Year of a daily bar, hour number of an intraday bar; a number below all others for a bar without a date.
 
     The bucket is never NULL: an undated bar keeps its place at the start of its
     series, and the joins on the bucket need no filter, which lets Spark reuse
@@ -30,9 +30,10 @@ def calendar_bucket(bars: DataFrame) -> Column:
     """
     kind = bars.schema["date"].dataType
     if isinstance(kind, T.DateType):
-        return F.coalesce(F.year("date"), F.lit(-1))
+        return F.coalesce(F.year("date"), F.lit(-(2**31)))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.coalesce(F.unix_date(F.to_date("date")), F.lit(-1))
+        hour = F.expr("unix_seconds(cast(date as timestamp)) div 3600")
+        return F.coalesce(hour, F.lit(-(2**62)))
     raise TypeError(f"date must be a date or a timestamp, not {kind.simpleString()}")
 
 

@@ -116,6 +116,9 @@ ORACLE: dict[str, str] = {
     ),
     "preview": _with(f"select {_BARS} from bars order by symbol, date limit 20", "bars"),
     "cast_project": _BRAND,
+    "bars_from_csv": _BRAND,
+    "listed_bars": _with("select * from bars where symbol in (select p_brand from part where p_size > 49)", "bars"),
+    "written_predictions": _with("select * from forecast", "forecast"),
     "select_symbols": _with("select * from bars where symbol = 'Brand#13'", "bars"),
     "symbol_semi_join": f"""select * from ({_SUPPLIER})
         where symbol in (select concat('S', s_suppkey) from supplier where s_acctbal > 0)""",

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seqcast.functions.columns import target_column
 from seqcast.operators import prep, scale, series, stats, windows
 from seqcast.schema import FEATURES, Category, SequenceConfig
+from seqcast.session import new_table_folder
 from seqcast.sources.lineitem import bars_from_lineitem
-from seqcast.sources.writers import predictions_as_documents
+from seqcast.sources.readers import read_bars_csv, read_symbols
+from seqcast.sources.writers import predictions_as_documents, write_predictions
 from seqcast.training import predict
 from seqcast.training.averaging import fit_averaged
 from seqcast.training.forecaster import fit_forecaster
@@ -80,6 +82,22 @@ def cast_project(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFra
     return prep.cast_bars(bars.select(*[F.col(c).cast("string").alias(c) for c in reversed(bars.columns)]))
 
 
+@_query
+def bars_from_csv(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Bars written as CSV to the shared folder and read from there."""
+    path = new_table_folder(spark, "bars-csv")
+    bars_from_lineitem(spark, sf_dir, by).write.csv(path, header=True)
+    return read_bars_csv(spark, path)
+
+
+@_query
+def listed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the symbols in a text file, which lists the large brands' parts one by one."""
+    path = new_table_folder(spark, "symbols")
+    spark.read.parquet(f"{sf_dir}/part.parquet").where(F.col("p_size") > 49).select("p_brand").write.text(path)
+    return prep.select_symbols(bars_from_lineitem(spark, sf_dir, "brand"), read_symbols(spark, path))
+
+
 @_query
 def select_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars of one symbol, the choice being the feature."""
@@ -230,6 +248,15 @@ def documents(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
     return read.select("symbol", "page", F.inline(points))
 
 
+@_query
+def written_predictions(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Predictions written by symbol to the shared folder and read from there."""
+    path = new_table_folder(spark, "predictions")
+    write_predictions(_persistence(bars_from_lineitem(spark, sf_dir, by)), path)
+    shape = "window bigint, date date, category string, prediction double, actual double, symbol string"
+    return spark.read.schema(shape).parquet(path)
+
+
 @_query
 def weighted_param_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three numbers per brand, known to each supplier from its own lines, averaged by lines."""

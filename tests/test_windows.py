@@ -89,11 +89,14 @@ def test_intraday_bars_and_equal_times(spark):
     assert test.schema["date"].dataType.simpleString() == "timestamp"
 
 
-def test_undated_bars_come_first_and_stay(spark):
-    rows = bar_rows("A", 5)
+@pytest.mark.parametrize("kind", ["date", "timestamp", "timestamp_ntz"])
+def test_undated_bars_come_first_and_stay(spark, kind):
+    rows = bar_rows("A", 5, start=dt.date(1969, 12, 29))
     rows.append(("A", None, 1.0, 1.0, 1.0, 1.0, 1.0))
-    got = series.index_bars(bars_of(spark, rows)).orderBy("i").collect()
-    assert len(got) == 6 and got[0]["date"] is None and got[5]["i"] == 5
+    bars = bars_of(spark, rows)
+    got = series.index_bars(bars.withColumn("date", F.col("date").cast(kind))).orderBy("i").collect()
+    assert [r["i"] for r in got] == list(range(6)) and got[0]["date"] is None
+    assert [r["open"] for r in got[1:]] == [row[2] for row in rows[:5]]
 
 
 def test_one_symbol_with_most_rows(spark):
