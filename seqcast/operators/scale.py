@@ -19,19 +19,27 @@ def scaled_feature(name: str) -> Column:
     return scaled(F.col(name), F.col(f"min_{name}"), F.col(f"max_{name}"))
 
 
+def _train_facts(parts: DataFrame) -> DataFrame:
+    """Ranges of the train part, from split bars that kept their bucket."""
+    return series_facts(parts, FEATURES, ranged=F.col("part") == "train").drop("offset", "n")
+
+
+def _check_scope(stats_scope: str) -> None:
+    if stats_scope not in SCOPES:
+        raise ValueError(f"stats_scope must be one of {SCOPES}")
+
+
 def ranged_series(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN_RATIO) -> DataFrame:
     """Numbered and split bars with the ranges of their symbol.
 
     Over the whole series the ranges come with the numbering, in one join. Over
     the train part only, they need the split first and a second join.
     """
-    if stats_scope not in SCOPES:
-        raise ValueError(f"stats_scope must be one of {SCOPES}")
+    _check_scope(stats_scope)
     if stats_scope == "all":
         return split_columns(number_bars(bars, FEATURES), ratio)
     parts = split_columns(number_bars(bars, keep_bucket=True), ratio)
-    facts = series_facts(parts, FEATURES, ranged=F.col("part") == "train").drop("offset", "n")
-    return join_facts(parts, facts).drop(BUCKET)
+    return join_facts(parts, _train_facts(parts)).drop(BUCKET)
 
 
 def training_ranges(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN_RATIO) -> DataFrame:
@@ -47,11 +55,13 @@ def minmax_scale(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN
     ``stats_scope='train'`` takes the ranges from the train part, so that test
     values may leave [0, 1] but nothing of the future is used.
     """
-    if stats_scope == "all":  # no positions needed
-        bucketed = with_bucket(bars)
-        ranged = join_facts(bucketed, series_facts(bucketed, FEATURES))
+    _check_scope(stats_scope)
+    bucketed = with_bucket(bars)  # the bars themselves need no positions
+    if stats_scope == "all":
+        facts = series_facts(bucketed, FEATURES)
     else:
-        ranged = ranged_series(bars, stats_scope, ratio)
+        facts = _train_facts(split_columns(number_bars(bars, keep_bucket=True), ratio))
+    ranged = join_facts(bucketed, facts)
     return ranged.select("symbol", "date", *[scaled_feature(name).alias(name) for name in FEATURES])
 
 

@@ -18,5 +18,7 @@ def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread
     free to split what is still too large.
     """
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = rows.withColumn(SALT, F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    # Never NULL, so that the join puts no filter below itself and shuffles can be reused.
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"), F.lit(0))
+    salted = rows.withColumn(SALT, salt)
     return salted.join(table.withColumn(SALT, salts), ["symbol", SALT], how).drop(SALT)
