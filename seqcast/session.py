@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
+import sys
 import tempfile
 import uuid
-from pathlib import Path
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import SparkSession
 
 
@@ -46,16 +46,6 @@ def new_table_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers of every executor, once per application."""
-    package = Path(__file__).resolve().parent
-    name = f"{package.name}_package.zip"
-    if any(str(path).endswith(name) for path in spark.sparkContext.listFiles):
-        return
-    archive = shutil.make_archive(
-        str(Path(tempfile.mkdtemp(prefix=f"{package.name}-")) / name.removesuffix(".zip")),
-        "zip",
-        package.parent,
-        package.name,
-    )
-    spark.sparkContext.addPyFile(archive)
+def ship_package() -> None:
+    """Sends this package's functions to the Python workers with the job, where it need not be installed."""
+    register_pickle_by_value(sys.modules[__package__])

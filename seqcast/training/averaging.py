@@ -65,7 +65,7 @@ class AveragedModel:
 
         Every window is scored on its own, from a cleared recurrent state.
         """
-        ship_package(blocks.sparkSession)
+        ship_package()
         wide = self.kernel.outputs > 1
         number = "array<double>" if wide else "double"
         kernel, length = self.kernel, self.length
@@ -245,7 +245,7 @@ def fit_averaged(
     if min(averaging_frequency, batch_size, max_epochs) < 1:
         raise ValueError("averaging_frequency, batch_size and max_epochs must be at least 1")
     spark = blocks.sparkSession
-    ship_package(spark)
+    ship_package()
     folder = new_table_folder(spark, "averaging")
     state_row = "symbol string, state array<double>, loss double"
 
