@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqcast.llm.common import prepare
-from seqcast.llm.tokens import PieceEncoder, vocabulary_path
+from seqcast.llm.tokens import vocabulary_path, worker_encoder
 
 #: Tokens of a full sequence, a power of two.
 CAPACITY = 2048
@@ -92,7 +92,7 @@ def _packer(path: str, end_id: int, capacity: int, key_type: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        encoder = worker_encoder(path)
         bins = Bins(capacity, TaskContext.get().partitionId() * PER_PARTITION)
         out: list[tuple] = []
         for batch in batches:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
+from types import ModuleType
 
 import numpy as np
 
@@ -29,7 +31,7 @@ class PieceEncoder:
     forgotten is encoded anew, so results do not depend on it. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,7 +63,7 @@ class PieceEncoder:
     def _learn(self, pieces: set[str]) -> None:
         """Remembers the ids of pieces. One led by a line feed opens a line, any other has lost the space before it."""
         spaced, leading, rest = [], [], []
-        for piece in pieces.difference(self.young):
+        for piece in pieces:
             ids = self.old.get(piece)
             if ids is not None:
                 self.young[piece] = ids
@@ -83,17 +85,37 @@ class PieceEncoder:
         """The ids of each text; none for a null or empty one."""
         if len(self.young) > self.remember:
             self.old, self.young = self.young, {}
-        split: list[list[str] | None] = []
-        for text in texts:
+        known = self.young.get
+        ids, open_texts, whole, unknown = [b""] * len(texts), [], [], set()
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if text[0].isspace() or _WHITE_RUN.search(text):
+                whole.append(i)
+                continue
             # The line feed in front keeps the first piece from getting a space; its id is cut off below.
-            split.append(None if not text or _WHITE_RUN.search(text) or text[0].isspace() else f"\n{text}".replace("\n", " \n")[1:].split(" "))
-        self._learn(set().union(*(p for p in split if p)))
-        whole = [i for i, p in enumerate(split) if p is None and texts[i]]
-        ids = [b""] * len(texts)
+            pieces = f"\n{text}".replace("\n", " \n")[1:].split(" ")
+            found = list(map(known, pieces))
+            gaps = [k for k, x in enumerate(found) if x is None]
+            if gaps:
+                unknown.update([pieces[k] for k in gaps])
+                open_texts.append((i, found, [(k, pieces[k]) for k in gaps]))
+            else:
+                ids[i] = b"".join(found)[4:]
+        self._learn(unknown)
+        for i, found, gaps in open_texts:
+            for k, piece in gaps:
+                found[k] = self.young[piece]
+            ids[i] = b"".join(found)[4:]
         for i, encoded in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
             ids[i] = encoded
-        known = self.young.__getitem__
-        for i, pieces in enumerate(split):
-            if pieces:
-                ids[i] = b"".join(map(known, pieces))[4:]
         return ids
+
+
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of this Python worker: it serves many tasks, and what one has learnt is of use to the next."""
+    memory = sys.modules.setdefault("seqcast_worker_memory", ModuleType("seqcast_worker_memory"))
+    encoders = memory.__dict__.setdefault("encoders", {})
+    if path not in encoders:
+        encoders[path] = PieceEncoder(path)
+    return encoders[path]
