@@ -20,9 +20,12 @@ PIECE_BYTES = 2 << 20
 def prepare(spark: SparkSession) -> None:
     """Sends the package with the jobs and keeps Arrow batches of whole texts small enough for a Python worker.
 
-    The batch size is a setting of the session and stays set, since frames run after the operator has returned.
+    Shuffle files go when the job that wrote them ends, so that an operator of several written steps needs the disk of
+    its largest step and not of all; a frame that is run again shuffles again. Both are settings of the session and stay
+    set, since frames run after the operator has returned.
     """
     ship_package()
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 

@@ -49,3 +49,25 @@ WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+ORACLE["op6_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+     q AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+     r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM r
+"""
+
+ORACLE["op9_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+     win AS (SELECT doc_id, k, l[k : k + 2] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS k FROM d WHERE len(l) >= 3)),
+     ord AS (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM win),
+     gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1, k + 2]) AS k FROM ord WHERE nth > 1),
+     line AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS k FROM d),
+     kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY k) AS x FROM line ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+     n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN coalesce(text, '') ELSE coalesce(x, '') END) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
