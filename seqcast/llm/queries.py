@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcast.llm import decontam, linededup, neardup, packing, quality, substrings, warc
+from seqcast.llm import decontam, langid, linededup, neardup, packing, quality, substrings, tokenfiles, warc
 from seqcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,26 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
+    judged = langid.predict(docs, model)
+    return judged.select("doc_id", langid.held_out().alias("held_out"), F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"))
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = substrings.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
     return parsed.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenfiles.write_ids(table(spark, sf_dir, "documents"))
+    return tokenfiles.read_ids(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
