@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcast.llm import decontam, langid, linededup, neardup, packing, quality, substrings, tokenfiles, warc
+from seqcast.llm import decontam, langid, linededup, lm, neardup, packing, quality, substrings, tokenfiles, warc
 from seqcast.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,14 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_ids(spark, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    counts, lexicon, weights = lm.fit(docs, ~held_out & F.col("doc_id").isNotNull())
+    return lm.score_texts(docs, counts, lexicon, weights, held_out=held_out)
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
