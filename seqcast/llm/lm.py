@@ -36,8 +36,10 @@ from seqcast.llm.words import Words
 KNOWN = 1 << 18
 VOCABULARY, CLASS_WORDS, UNITS = 1024, 32, 16
 #: Words of a window of training, texts side by side, and the step of the optimizer.
-STEPS, LANES, RATE = 64, 256, 0.01
+STEPS, LANES, RATE = 64, 256, 1.0
 #: Words that a task folds into counts before it sends them on.
+MOMENTUM, CLIP = 0.9, 0.25
+RATES = {"inputs": 4.0, "recurrent": 0.5, "class_weights": 0.5, "class_bias": 0.5, "word_weights": 2.0, "word_bias": 2.0}
 FOLD_WORDS = 1 << 21
 #: Weights that one task averages, and rows that the driver averages at the end, at most.
 FAN_IN = 64
@@ -239,8 +241,7 @@ def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: fl
     """One pass over the texts by truncated backpropagation; returns how many words it saw."""
     lanes = Lanes(texts)
     state = np.zeros((lanes.lanes, network.units), np.float32)
-    first = {n: np.zeros_like(v) for n, v in network.arrays.items()}
-    second = {n: np.zeros_like(v) for n, v in network.arrays.items()}
+    speed = {n: np.zeros_like(v) for n, v in network.arrays.items()}
     seen, step = 0, 0
     for live, given, wanted, fresh, owner in lanes.windows():
         kept: list = []
@@ -254,12 +255,11 @@ def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: fl
         by_state[at] = back
         network.backward(given, fresh, kept, by_state.reshape(states.shape), grads)
         seen, step = seen + len(at), step + 1
-        pace = rate * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-        for n, g in grads.items():  # Adam on the mean gradient, each number clipped
-            g = np.clip(g / max(1, len(at)), -1, 1)
-            first[n] += np.float32(0.1) * (g - first[n])
-            second[n] += np.float32(0.001) * (g * g - second[n])
-            network.arrays[n] -= np.float32(pace) * first[n] / (np.sqrt(second[n]) + np.float32(1e-8))
+        for n, g in grads.items():
+            g /= lanes.lanes * lanes.steps  # the few long texts at the end weigh no more than any other words
+            norm = float(np.sqrt((g * g).sum()))
+            speed[n] = np.float32(MOMENTUM) * speed[n] - np.float32(rate * RATES[n] * min(1.0, CLIP / (norm + 1e-12))) * g
+            network.arrays[n] += speed[n]
         lanes.owners.clear()  # nobody asks for them here
     return seen
 
