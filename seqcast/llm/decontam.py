@@ -66,7 +66,8 @@ class Index:
             self.shingle.append(words.window_hash(at + offsets, wide))
         self.window_of, self.offset, self.shingle = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.window_of, self.offset, self.shingle))
         self.widths = sorted({min(SHINGLE, n) for n in self.length.tolist()})
-        self.keys = np.unique(self.shingle.astype(np.uint64))
+        self.shingle = self.shingle.astype(np.uint64)
+        self.keys = np.unique(self.shingle)
         self._sieve()
 
     def _sieve(self) -> None:
