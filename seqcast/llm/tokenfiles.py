@@ -148,19 +148,23 @@ def _tokenized(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
+        counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             ids = [np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc", "ids"])
+            counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc", "ids", "counts"])
+        some = np.flatnonzero(counts)
+        if len(some):  # one row for the counts of the whole task, beside those of documents
+            packed = np.stack([some, counts[some]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=["doc", "ids", "counts"])
 
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << 16, np.int64)
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], names=["id", "n"])
+        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["id", "n"])
 
 
 def _coded(lengths: np.ndarray):
@@ -244,13 +248,14 @@ def write_ids(docs: DataFrame, folder: str | None = None, key: str = "doc_id", t
     system, path = file_system(folder)
     system.create_dir(path, recursive=True)
     slim = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("text"))
-    tokens = written(slim.mapInArrow(_tokenized(vocabulary or vocabulary_path(), end_id), "doc long, ids binary"), "tokens")
-    totals = tokens.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    tokens = written(slim.mapInArrow(_tokenized(vocabulary or vocabulary_path(), end_id), "doc long, ids binary, counts binary"), "tokens")
+    of_tasks = tokens.where("counts is not null").select("counts").mapInArrow(_unpacked, "id long, n long")
+    totals = of_tasks.groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(1 + max((r["id"] for r in totals), default=0), np.int64)
     for r in totals:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    coded = tokens.mapInArrow(_coded(lengths), "doc long, n long, marks binary, bits binary")
+    coded = tokens.where("ids is not null").select("doc", "ids").mapInArrow(_coded(lengths), "doc long, n long, marks binary, bits binary")
     ordered = coded.repartitionByRange("doc").sortWithinPartitions("doc", "n", "bits")
     return written(ordered.mapInArrow(_writer(folder, lengths), "file string, part long, nth long, documents long, ids long, bytes long"), "files")
 

@@ -13,6 +13,21 @@ import numpy as np
 #: Two white-space characters in a row. Between any others, a lone space opens a new piece of the byte-level
 #: splitting rule and a lone line feed is a piece of its own, whatever stands around them.
 _WHITE_RUN = re.compile(r"\s\s")
+#: A word of Latin letters and the marks behind it: the splitting rule takes each of the two as one piece.
+_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
+
+
+def _byte_signs() -> list[str]:
+    """The sign of each byte in a byte-level vocabulary: itself where it prints, else the next free one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    signs = {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [signs[b] for b in range(256)]
+
+
+_SIGNS = _byte_signs()
+_SPACE_SIGN = _SIGNS[32]
+_BYTE_SIGNS = {c: "".join(_SIGNS[b] for b in chr(c).encode()) for c in range(0x80, 0x250)}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,7 +52,10 @@ class PieceEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.line_feed = self.library.encode("\n", add_special_tokens=False).ids[0]
+        self.library.model._resize_cache(0)  # words are remembered here
+        self.merges = self.library.model.tokenize
+        self.line_feed = self._encoded(["\n"])[0]
+        self.of_marks: dict[str, bytes] = {}
         self.remember = remember
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -55,31 +73,61 @@ class PieceEncoder:
             some = lines[at : at + 20_000]
             texts = ["\n".join(some[i : i + 200]) + "\n" for i in range(0, len(some), 200)]
             ids = np.array([x for e in self.library.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], "<u4")
-            cuts = 4 * np.flatnonzero(ids == self.line_feed)
+            cuts = 4 * np.flatnonzero(ids == int.from_bytes(self.line_feed, "little"))
             raw = ids.tobytes()
             out += [raw[a:b] for a, b in zip([0, *(cuts[:-1] + 4).tolist()], cuts.tolist(), strict=True)]
         return out
 
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """Ids of Latin letters, after a space or not: one piece of the splitting rule, so the merges alone decide."""
+        mapped = word if word.isascii() else word.translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self.merges(f"{_SPACE_SIGN}{mapped}" if spaced else mapped)]).tobytes()
+
     def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of pieces. One led by a line feed opens a line, any other has lost the space before it."""
+        """Remembers the ids of pieces. One led by a line feed opens a line, any other has lost the space before it.
+
+        Most are a word with or without a mark behind it, which the splitting rule parts: the word is looked up or merged
+        by itself. Others go to the library as they are.
+        """
         spaced, leading, rest = [], [], []
+        young, old = self.young, self.old
         for piece in pieces:
-            ids = self.old.get(piece)
+            ids = old.get(piece)
             if ids is not None:
-                self.young[piece] = ids
+                young[piece] = ids
+                continue
+            opens = piece[:1] == "\n"
+            found = _WORD.fullmatch(piece, 1 if opens else 0)
+            if found:
+                word, marks = found.groups()
+                if opens:
+                    young[piece] = self.line_feed + self._word(word, False) + self._marks(marks)
+                    continue
+                ids = young.get(word) or old.get(word)
+                if ids is None:
+                    ids = young[word] = self._word(word, True)
+                if marks:
+                    young[piece] = ids + self._marks(marks)
             elif not piece or piece[-1].isspace():
                 rest.append(piece)
-            elif piece[0] == "\n":
+            elif opens:
                 leading.append(piece)
             else:
                 spaced.append(piece)
         if spaced:
-            self.young.update(zip(spaced, self._encoded_lines([f" {p}" for p in spaced]), strict=True))
+            young.update(zip(spaced, self._encoded_lines([f" {p}" for p in spaced]), strict=True))
         if leading:
-            first = array("I", [self.line_feed]).tobytes()
-            self.young.update(zip(leading, (first + x for x in self._encoded_lines([p[1:] for p in leading])), strict=True))
+            young.update(zip(leading, (self.line_feed + x for x in self._encoded_lines([p[1:] for p in leading])), strict=True))
         if rest:
-            self.young.update(zip(rest, self._encoded([p if p[:1] == "\n" else f" {p}" for p in rest]), strict=True))
+            young.update(zip(rest, self._encoded([p if p[:1] == "\n" else f" {p}" for p in rest]), strict=True))
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.of_marks.get(marks)
+        if ids is None:
+            ids = self._encoded([marks])[0] if marks else b""
+            if len(marks) < 4:
+                self.of_marks[marks] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; none for a null or empty one."""
