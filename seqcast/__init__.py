@@ -29,11 +29,11 @@ from seqcast.operators.stats import (
     weighted_param_average,
     window_counts,
 )
-from seqcast.operators.windows import assign_batches, make_windows, unfold_windows, window_blocks
+from seqcast.operators.windows import assign_batches, both_blocks, make_windows, unfold_windows, window_blocks
 from seqcast.schema import FEATURES, Category, SequenceConfig
 from seqcast.session import build_session
 from seqcast.sources.lineitem import bars_from_lineitem
-from seqcast.sources.readers import read_bars_csv, read_symbol_files, read_symbols
+from seqcast.sources.readers import read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols
 from seqcast.sources.writers import (
     load_model,
     predictions_as_documents,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from seqcast.schema import FEATURES, Category
+from seqcast.schema import HORIZON, FEATURES, Category
 
 
 def target_column(category: str) -> Column:
@@ -20,9 +20,9 @@ def split_position(n: Column, ratio: float) -> Column:
     return F.floor(n * F.lit(float(ratio)) + F.lit(0.5)).cast("bigint")
 
 
-def window_count(rows: Column, length: int, horizon: int) -> Column:
-    """Windows cut from a part of ``rows`` rows: one per start in [0, rows - (length + horizon))."""
-    return F.greatest(rows - F.lit(length + horizon), F.lit(0)).cast("bigint")
+def window_count(rows: Column, length: int) -> Column:
+    """Windows cut from a part of ``rows`` rows: one per start in [0, rows - (length + HORIZON))."""
+    return F.greatest(rows - F.lit(length + HORIZON), F.lit(0)).cast("bigint")
 
 
 def scaled(value: Column, low: Column, high: Column) -> Column:

@@ -16,6 +16,8 @@ ON_BAD = ("drop", "null", "fail")
 
 def _typed(name: str, type_name: str, on_bad: str) -> Column:
     parsed = F.col(name).try_cast(type_name)
+    if type_name == "double":  # NaN and infinities are no prices
+        parsed = F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
     if on_bad == "fail":
         message = F.concat(F.lit(f"cannot read {name}: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
         parsed = F.coalesce(parsed, F.raise_error(message).cast(type_name))
@@ -26,17 +28,19 @@ def cast_bars(df: DataFrame, on_bad: str = "drop", date_type: str = "date") -> D
     """Text columns to typed bars, in the order symbol, date, open, close, low, high, volume.
 
     ``on_bad`` says what happens to a row with an unreadable field: it is
-    dropped, kept with NULL, or ends the job. ``date_type`` is ``date`` or
-    ``timestamp`` for intraday bars.
+    dropped, kept with NULL, or ends the job. Numbers that aren't finite are
+    unreadable. A bar belongs to a symbol: a row without one is dropped, or
+    ends the job, but is never kept. ``date_type`` is ``date`` or ``timestamp``
+    for intraday bars.
     """
     if on_bad not in ON_BAD:
         raise ValueError(f"on_bad must be one of {ON_BAD}")
     typed = df.select(
-        F.col("symbol").cast("string").alias("symbol"),
+        _typed("symbol", "string", on_bad),
         _typed("date", date_type, on_bad),
         *[_typed(name, "double", on_bad) for name in FEATURES],
     )
-    return typed.dropna(subset=list(BAR_COLUMNS)) if on_bad == "drop" else typed
+    return typed.dropna(subset=list(BAR_COLUMNS) if on_bad == "drop" else ["symbol"])
 
 
 def select_symbols(bars: DataFrame, symbols: str | Iterable[str] | DataFrame) -> DataFrame:

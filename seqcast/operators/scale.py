@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqcast.functions.columns import scaled, unscaled
-from seqcast.operators.series import BUCKET, join_facts, number_bars, series_facts, split_columns, with_bucket
+from seqcast.operators.series import BUCKET, join_facts, number_bars, series_facts, split_columns
 from seqcast.operators.skew import join_on_symbol
 from seqcast.operators.stats import feature_ranges
 from seqcast.schema import FEATURES, TRAIN_RATIO, VECTOR_FEATURES, Category
@@ -56,12 +56,8 @@ def minmax_scale(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN
     values may leave [0, 1] but nothing of the future is used.
     """
     _check_scope(stats_scope)
-    bucketed = with_bucket(bars)  # the bars themselves need no positions
-    if stats_scope == "all":
-        facts = series_facts(bucketed, FEATURES)
-    else:
-        facts = _train_facts(split_columns(number_bars(bars, keep_bucket=True), ratio))
-    ranged = join_facts(bucketed, facts)
+    # Only the ranges need positions; the bars meet one row per symbol, which Spark broadcasts where it finds it small.
+    ranged = join_on_symbol(bars, training_ranges(bars, stats_scope, ratio))
     return ranged.select("symbol", "date", *[scaled_feature(name).alias(name) for name in FEATURES])
 
 

@@ -19,21 +19,28 @@ from seqcast.functions.columns import split_position
 from seqcast.schema import FEATURES, TRAIN_RATIO
 
 BUCKET = "_bucket"
+# Buckets that the undated bars of a symbol are spread over.
+UNDATED = 4096
+
+
+def _undated(bars: DataFrame) -> Column:
+    return F.pmod(F.xxhash64(*[c for c in FEATURES if c in bars.columns]), F.lit(UNDATED))
 
 
 def calendar_bucket(bars: DataFrame) -> Column:
-    """Year of a daily bar, hour number of an intraday bar; a number below all others for a bar without a date.
+    """Year of a daily bar, hour number of an intraday bar; one of ``UNDATED`` numbers below all others without a date.
 
-    The bucket is never NULL: an undated bar keeps its place at the start of its
-    series, and the joins on the bucket need no filter, which lets Spark reuse
-    one shuffle of the bars for both of their sides.
+    The bucket is never NULL: undated bars keep their place at the start of
+    their series, spread by a hash of their values, and the joins on the bucket
+    need no filter, which lets Spark reuse one shuffle of the bars for both of
+    their sides.
     """
     kind = bars.schema["date"].dataType
     if isinstance(kind, T.DateType):
-        return F.coalesce(F.year("date"), F.lit(-(2**31)))
+        return F.coalesce(F.year("date"), (_undated(bars) - 2**31).cast("int"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         hour = F.expr("unix_seconds(cast(date as timestamp)) div 3600")
-        return F.coalesce(hour, F.lit(-(2**62)))
+        return F.coalesce(hour, _undated(bars) - 2**62)
     raise TypeError(f"date must be a date or a timestamp, not {kind.simpleString()}")
 
 

@@ -8,17 +8,18 @@ SALTS = 16
 SALT = "_salt"
 
 
-def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread_by: str = "date") -> DataFrame:
+def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread_by: str = "date", salts: int = SALTS) -> DataFrame:
     """Joins ``rows`` with a table of one row per symbol.
 
-    Each symbol is split into ``SALTS`` keys by the value of ``spread_by``, and
-    the small table repeated for each of them. If Spark finds the table small
+    Each symbol is split into ``salts`` keys by the value of ``spread_by``, and
+    the small table repeated for each of them; raise it with the bars of the
+    largest symbol, to about one key per few gigabytes. If Spark finds the table small
     enough to broadcast, it does; if not, a hot symbol is many keys, and since
     nothing after the join can rely on its partitioning, adaptive execution is
     free to split what is still too large.
     """
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     # Never NULL, so that the join puts no filter below itself and shuffles can be reused.
-    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
     salted = rows.withColumn(SALT, salt)
-    return salted.join(table.withColumn(SALT, salts), ["symbol", SALT], how).drop(SALT)
+    return salted.join(table.withColumn(SALT, each), ["symbol", SALT], how).drop(SALT)

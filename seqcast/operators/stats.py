@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seqcast.functions.columns import split_position, truncated_int, window_count
-from seqcast.schema import FEATURES, HORIZON, TRAIN_RATIO, WINDOW_LENGTH
+from seqcast.schema import FEATURES, TRAIN_RATIO, WINDOW_LENGTH
 
 
 def symbol_counts(bars: DataFrame) -> DataFrame:
@@ -30,14 +30,14 @@ def feature_ranges(bars: DataFrame, by: str | None = "symbol") -> DataFrame:
 
 
 def window_counts(
-    bars: DataFrame, length: int = WINDOW_LENGTH, horizon: int = HORIZON, ratio: float = TRAIN_RATIO
+    bars: DataFrame, length: int = WINDOW_LENGTH, ratio: float = TRAIN_RATIO
 ) -> DataFrame:
     """Series length, split position and number of train and test windows per symbol."""
     return (
         series_length(bars)
         .withColumn("split", split_position(F.col("n"), ratio))
-        .withColumn("train_windows", window_count(F.col("split"), length, horizon))
-        .withColumn("test_windows", window_count(F.col("n") - F.col("split"), length, horizon))
+        .withColumn("train_windows", window_count(F.col("split"), length))
+        .withColumn("test_windows", window_count(F.col("n") - F.col("split"), length))
     )
 
 

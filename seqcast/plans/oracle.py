@@ -61,6 +61,26 @@ _CTES = {
             select symbol, y, unnest(x) as v, generate_subscripts(x, 1) - 1 as k from vectors
             union all select symbol, y, 1.0e0, {L * len(FEATURES)} from vectors)
         group by symbol, k""",
+    "test_vectors": f"""select symbol, "window", any_value(date) as date, flatten(list([{_cols('x_{f}')}] order by t)) as x,
+        {_cols('any_value(y_{f}) as y_{f}')} from test_steps group by symbol, "window\"""",
+    "weight_lists": "select symbol, list(v order by k) as w from weights group by symbol",
+    "one_round": f"""select symbol, "window", date, 'close' as category,
+        round((list_inner_product(x, w[1:{L * len(FEATURES)}]) + w[-1]) * (max_close - min_close) + min_close, 4) as prediction,
+        y_close as actual from test_vectors join weight_lists using (symbol) join ranges using (symbol)""",
+    "vectors_all": f"""select symbol, i, flatten(list([{_cols('x_{f}')}] order by t)) as x,
+        [{_cols('max(y_{f}) filter (where t = ' + str(L - 1) + ')')}] as y from train_steps group by symbol, i""",
+    "weights_all": f"""select symbol, o, list(v order by k) as w from (
+            select symbol, o, k, 2 * 0.01e0 / {len(FEATURES)} * avg(v * y) as v from (
+                select symbol, i, o, y, unnest(x) as v, generate_subscripts(x, 1) - 1 as k from targets
+                union all select symbol, i, o, y, 1.0e0, {L * len(FEATURES)} from targets)
+            group by symbol, o, k) group by symbol, o""",
+    "targets": "select symbol, i, x, unnest(y) as y, generate_subscripts(y, 1) as o from vectors_all",
+    "second": f"""select symbol, k, first.v - 2 * 0.01e0 * second.v as v from weights first join (
+            select symbol, k, avg(v * e) as v from (
+                select symbol, e, unnest(x) as v, generate_subscripts(x, 1) - 1 as k from errors
+                union all select symbol, e, 1.0e0, {L * len(FEATURES)} from errors) group by symbol, k) second using (symbol, k)""",
+    "errors": f"""select symbol, x, list_inner_product(x, w[1:{L * len(FEATURES)}]) + w[-1] - y as e
+        from vectors join weight_lists using (symbol)""",
 }
 
 _NEEDS = {
@@ -78,6 +98,14 @@ _NEEDS = {
     "forecast": ["persisted"],
     "vectors": ["train_steps"],
     "weights": ["vectors"],
+    "test_vectors": ["test_steps"],
+    "weight_lists": ["weights"],
+    "one_round": ["test_vectors", "weight_lists", "ranges"],
+    "vectors_all": ["train_steps"],
+    "targets": ["vectors_all"],
+    "weights_all": ["targets"],
+    "errors": ["vectors", "weight_lists"],
+    "second": ["weights", "errors"],
 }
 
 
@@ -194,11 +222,32 @@ ORACLE: dict[str, str] = {
             from lineitem join part on l_partkey = p_partkey group by p_brand, l_suppkey)
         group by symbol, k""",
     "averaged_round": _with("select symbol, k, round(v, 9) as v from weights", "weights"),
+    "averaged_round_sized": _with("select symbol, k, round(v, 9) as v from weights", "weights"),
+    "continued_round": _with("select symbol, k, round(v, 9) as v from second", "second"),
     "training_history": _with(
-        f"""select symbol, 1 as epoch, round(avg((p - y) * (p - y)), 9) as loss from (
-            select v.symbol, v.y, list_inner_product(v.x, w.w[1:{L * len(FEATURES)}]) + w.w[-1] as p
-            from vectors v join (select symbol, list(v order by k) as w from weights group by symbol) w using (symbol))
-        group by symbol""",
-        "weights",
+        f"""select symbol, 1 as epoch, round(train_loss, 9) as train_loss, round(test_loss, 9) as test_loss
+        from (select symbol, avg(e * e) as train_loss from errors group by symbol) left join (
+            select symbol, avg((p - y) * (p - y)) as test_loss from (
+                select symbol, list_inner_product(x, w[1:{L * len(FEATURES)}]) + w[-1] as p,
+                    case when max_close > min_close then (y_close - min_close) / (max_close - min_close) else 0.5e0 end as y
+                from test_vectors join weight_lists using (symbol) join ranges using (symbol))
+            group by symbol) using (symbol)""",
+        "errors", "test_vectors", "weight_lists", "ranges",
+    ),
+    "one_round_forecast": _with("select * from one_round", "one_round"),
+    "reloaded_forecast": _with("select * from one_round", "one_round"),
+    "one_round_forecast_all": _with(
+        f"""select symbol, "window", date, 'all' as category, {", ".join(f'round((list_inner_product(x, w{k}[1:{L * len(FEATURES)}]) + w{k}[-1]) * (max_{f} - min_{f}) + min_{f}, 4) as prediction_{f}' for k, f in enumerate(FEATURES, 1))},
+            {_cols('y_{f} as actual_{f}')}
+            from test_vectors join ranges using (symbol) join (
+                select symbol, {", ".join(f'any_value(w) filter (where o = {k}) as w{k}' for k in range(1, len(FEATURES) + 1))}
+                from weights_all group by symbol) using (symbol)""",
+        "test_vectors", "ranges", "weights_all",
+    ),
+    "linear_gradient": f"select unnest(range({L * len(FEATURES) + 1})) as k, 0.0e0 as slope",
+    "documents_all": _with(
+        f"""select symbol, "window" // 100 as page, "window", {_cols('prediction_{f}')}, {_cols('actual_{f}')} from persisted""",
+        "persisted",
     ),
+    "bars_from_symbol_files": _BRAND,
 }

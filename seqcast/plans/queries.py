@@ -13,23 +13,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqcast.functions.columns import target_column
 from seqcast.operators import prep, scale, series, stats, windows
-from seqcast.schema import FEATURES, Category, SequenceConfig
+from seqcast.schema import FEATURES, Category
 from seqcast.session import new_table_folder
 from seqcast.sources.lineitem import bars_from_lineitem
-from seqcast.sources.readers import read_bars_csv, read_symbols
-from seqcast.sources.writers import predictions_as_documents, write_predictions
+from seqcast.sources.readers import SYMBOL_FILE_COLUMNS, read_bars_csv, read_symbol_folders, read_symbols
+from seqcast.sources.writers import load_model, predictions_as_documents, save_model, write_predictions
 from seqcast.training import predict
 from seqcast.training.averaging import fit_averaged
-from seqcast.training.forecaster import fit_forecaster
-from seqcast.training.kernels import LinearKernel, LstmKernel
+from seqcast.training.forecaster import fit_forecaster, window_features
+from seqcast.training.kernels import LinearKernel
 
 Query = Callable[..., DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-# Small sizes, so that the recurrent kernel trains within a check.
-SMALL_NET = SequenceConfig(layer1=8, layer2=8, dense=8, learning_rate=0.01)
-
-
 def _query(fn: Query) -> Query:
     REGISTRY[fn.__name__] = fn
     return fn
@@ -84,10 +80,22 @@ def cast_project(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFra
 
 @_query
 def bars_from_csv(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    """Bars written as CSV to the shared folder and read from there."""
+    """Bars written as CSV to the shared folder, in two folders with columns in different orders, and read from there."""
     path = new_table_folder(spark, "bars-csv")
-    bars_from_lineitem(spark, sf_dir, by).write.csv(path, header=True)
-    return read_bars_csv(spark, path)
+    bars = bars_from_lineitem(spark, sf_dir, by)
+    early = F.year("date") < 1995
+    bars.where(early).write.csv(f"{path}/early", header=True)
+    bars.where(~early).select(*reversed(bars.columns)).write.csv(f"{path}/late", header=True)
+    return read_bars_csv(spark, [f"{path}/early", f"{path}/late"])
+
+
+@_query
+def bars_from_symbol_files(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Bars written as seven positional columns in a folder per symbol, and read by position from there."""
+    path = new_table_folder(spark, "bars-by-symbol")
+    bars = bars_from_lineitem(spark, sf_dir, by).withColumn("unadjusted_close", F.col("close") * 2)
+    bars.select("symbol", *SYMBOL_FILE_COLUMNS).repartition("symbol", F.year("date")).write.partitionBy("symbol").csv(path, header=True)
+    return read_symbol_folders(spark, path)
 
 
 @_query
@@ -248,6 +256,19 @@ def documents(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
     return read.select("symbol", "page", F.inline(points))
 
 
+@_query
+def documents_all(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The points of the JSON documents of all features, one row each."""
+    pages = predictions_as_documents(_persistence(bars_from_lineitem(spark, sf_dir, by), "all"), page_size=100)
+    shape = "window array<bigint>, result map<string, array<array<double>>>"
+    read = pages.select("symbol", "page", F.from_json("document", shape).alias("d"))
+    points = F.arrays_zip(
+        F.col("d.window").alias("window"), F.col("d.result.predict").alias("prediction"), F.col("d.result.actual").alias("actual")
+    )
+    spelled = [*_spelled("prediction", "prediction"), *_spelled("actual", "actual")]
+    return read.select("symbol", "page", F.inline(points)).select("symbol", "page", "window", *spelled)
+
+
 @_query
 def written_predictions(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
     """Predictions written by symbol to the shared folder and read from there."""
@@ -286,44 +307,112 @@ def averaged_round(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataF
     """Weights after one round of parameter averaging with the linear kernel."""
     blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
     model, _ = fit_averaged(blocks, LinearKernel(), **ONE_ROUND)
+    return _weights(model)
+
+
+@_query
+def training_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Losses of the weights of that round over all train and all test windows."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    _, history = fit_averaged(train, LinearKernel(), holdout=test, **ONE_ROUND)
+    return history.select("symbol", "epoch", *[F.round(c, 9).alias(c) for c in ("train_loss", "test_loss")])
+
+
+def _weights(model) -> DataFrame:
     weights = model.states.select("symbol", F.posexplode("state").alias("k", "v"))
     return weights.select("symbol", F.col("k").cast("bigint").alias("k"), F.round("v", 9).alias("v"))
 
 
 @_query
-def training_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    """Loss of the weights of that round over all train windows."""
+def averaged_round_sized(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The same round with mini-batches of each symbol's own size, which here is not less than a block."""
+    bars = bars_from_lineitem(spark, sf_dir, by)
+    sizes = stats.minibatch_size(bars, batch_split=1)
+    model, _ = fit_averaged(windows.window_blocks(bars, "train"), LinearKernel(), **{**ONE_ROUND, "batch_size": sizes})
+    return _weights(model)
+
+
+@_query
+def continued_round(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """A second round, begun from the saved and loaded weights of the first."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    model, _ = fit_averaged(blocks, LinearKernel(), start=_reloaded(spark, fit_averaged(blocks, LinearKernel(), **ONE_ROUND)[0]), **ONE_ROUND)
+    return _weights(model)
+
+
+def _reloaded(spark: SparkSession, model):
+    path = new_table_folder(spark, "model")
+    save_model(model, path)
+    return load_model(spark, path)
+
+
+def _one_round_forecast(spark: SparkSession, sf_dir: str, by: str, reload: bool) -> DataFrame:
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    model, _ = fit_averaged(train, LinearKernel(), **ONE_ROUND)
+    out = predict.predict_one_ahead(_reloaded(spark, model) if reload else model, test)
+    return out.withColumn("prediction", F.round("prediction", 4))
+
+
+@_query
+def one_round_forecast(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Forecast of the model after one round."""
+    return _one_round_forecast(spark, sf_dir, by, reload=False)
+
+
+@_query
+def reloaded_forecast(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The same with the model saved and loaded in between."""
+    return _one_round_forecast(spark, sf_dir, by, reload=True)
+
+
+@_query
+def one_round_forecast_all(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Forecast of all features by the model after one round."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by), category="all")
+    model, _ = fit_averaged(train, LinearKernel("all"), **ONE_ROUND)
+    out = predict.predict_all(model, test)
+    spelled = [F.round(F.get("prediction", F.lit(k)), 4).alias(f"prediction_{f}") for k, f in enumerate(FEATURES)]
+    return out.select("symbol", "window", "date", "category", *spelled, *_spelled("actual", "actual"))
+
+
+@_query
+def linear_gradient(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Slope of the ridge objective at the fitted linear model: zero for every coefficient and the intercept."""
     blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
-    _, history = fit_averaged(blocks, LinearKernel(), **ONE_ROUND)
-    return history.select("symbol", "epoch", F.round("loss", 9).alias("loss"))
+    fitted = fit_forecaster(blocks, "linear", standardization=False, solver="normal")
+    rows = window_features(windows.unfold_windows(blocks)).withColumn("label", F.element_at("y", -1))
+    error = F.col("prediction") - F.col("label")
+    scored = fitted.transform(rows).select(error.alias("error"), F.posexplode(F.concat(F.flatten("x"), F.array(F.lit(1.0)))).alias("k", "v"))
+    line = fitted.stages[-1]
+    weights = F.array(*[F.lit(float(w)) for w in line.coefficients], F.lit(0.0))
+    # The learner divides its penalty by the spread of the label.
+    penalty = line.getRegParam() / rows.agg(F.stddev("label")).first()[0]
+    slope = F.avg(F.col("error") * F.col("v")) + penalty * F.get(weights, F.col("k"))
+    return scored.groupBy("k").agg(slope.alias("slope")).select(F.col("k").cast("bigint").alias("k"), F.round(F.abs("slope"), 9).alias("slope"))
 
 
 def _forecast(bars: DataFrame, algo: str, **params) -> DataFrame:
-    model = fit_forecaster(windows.window_blocks(bars, "train"), algo, **params)
-    return predict.predict_one_ahead(model, windows.window_blocks(bars, "test"))
+    train, test = windows.both_blocks(bars)
+    return predict.predict_one_ahead(fit_forecaster(train, algo, **params), test)
 
 
 _on_bars("linear_forecast", lambda bars: _forecast(bars, "linear"))
-_on_bars("tree_forecast", lambda bars: _forecast(bars, "gbt", maxIter=3, maxDepth=3, seed=12345))
+_on_bars("tree_forecast", lambda bars: _forecast(bars, "gbt", seed=12345))
 
 
 def _averaged(bars: DataFrame, kernel, category: str, **settings) -> DataFrame:
-    model, _ = fit_averaged(windows.window_blocks(bars, "train", category=category), kernel, **settings)
-    test = windows.window_blocks(bars, "test", category=category)
+    train, test = windows.both_blocks(bars, category=category)
+    model, _ = fit_averaged(train, kernel, holdout=test, **settings)
     if category == "all":
         return predict.predict_all(model, test)
     return predict.predict_one_ahead(model, test, category)
 
 
-_on_bars("averaged_forecast", lambda bars: _averaged(bars, LinearKernel(), "close", averaging_frequency=8, max_epochs=3))
-_on_bars(
-    "sequence_forecast",
-    lambda bars: _averaged(bars, LstmKernel("close", SMALL_NET), "close", averaging_frequency=8, max_epochs=2, patience=1),
-)
+_on_bars("averaged_forecast", lambda bars: _averaged(bars, LinearKernel(), "close", averaging_frequency=8))
 
 
 def _all_features(bars: DataFrame) -> DataFrame:
-    out = _averaged(bars, LinearKernel("all"), "all", averaging_frequency=8, max_epochs=2, per_symbol=False)
+    out = _averaged(bars, LinearKernel("all"), "all", averaging_frequency=8, per_symbol=False)
     spelled = [*_spelled("prediction", "prediction"), *_spelled("actual", "actual")]
     return out.select("symbol", "window", "date", "category", *spelled)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark.cloudpickle import register_pickle_by_value
@@ -24,21 +23,11 @@ def build_session(app_name: str = "seqcast", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables, shared by all executors.
 
-    It is the one named in ``spark.checkpoint.dir``, or the checkpoint folder
-    already set on the context. Only a local session without either gets a
-    temporary one; a cluster must name its own.
+    It is the one named in ``spark.checkpoint.dir``, or else a folder below the
+    warehouse, which executors share as well; the same on every master.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    existing = spark.sparkContext.getCheckpointDir()
-    if existing:
-        return existing
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="seqcast-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir() or folder
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/seqcast-work"
 
 
 def new_table_folder(spark: SparkSession, name: str) -> str:

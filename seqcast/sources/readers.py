@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -10,17 +11,28 @@ from seqcast.operators.prep import cast_bars, select_symbols
 from seqcast.schema import BAR_COLUMNS
 
 # Positions of a per-symbol file: the close of a bar is the adjusted one.
+# Names of a table that are turned into a filter on files.
+LISTED_FILES = 10_000
 SYMBOL_FILE_COLUMNS = ("date", "open", "high", "low", "unadjusted_close", "volume", "close")
 
 
 def read_bars_csv(spark: SparkSession, path: str | list[str], on_bad: str = "drop", date_type: str = "date") -> DataFrame:
     """Bars of many symbols from CSV with the header names symbol, date, open, close, low, high, volume.
 
-    Columns are matched by header name, whatever their order, and everything is
-    read as text first, so there is no schema inference over the data.
+    Columns are matched by header name, whatever their order. The files of one
+    path must have one header: a file with another ends the job. The paths of a
+    list may differ. Everything is read as text first, so there is no schema
+    inference over the data.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
-    return cast_bars(raw.select(*BAR_COLUMNS), on_bad, date_type)
+
+    def one(place: str) -> DataFrame:
+        names = spark.read.csv(place, header=True, inferSchema=False).columns
+        text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        # Without enforceSchema every file's header is held against these names.
+        return spark.read.schema(text).csv(place, header=True, enforceSchema=False).select(*BAR_COLUMNS)
+
+    raw = reduce(DataFrame.unionByName, [one(place) for place in ([path] if isinstance(path, str) else path)])
+    return cast_bars(raw, on_bad, date_type)
 
 
 def read_symbol_files(
@@ -33,18 +45,40 @@ def read_symbol_files(
     """Bars from one CSV file per symbol, the file name being the symbol.
 
     One scan covers all files. A list of names reads only these files and fails
-    on a missing one; a table of names becomes a semi join.
+    on a missing one. A table of up to ``LISTED_FILES`` names becomes a filter
+    on the file name, so that only these files are opened; a longer one becomes
+    a semi join, for which :func:`read_symbol_folders` is the better layout.
     """
     text = T.StructType([T.StructField(name, T.StringType()) for name in SYMBOL_FILE_COLUMNS])
     base = directory.rstrip("/")
     listed = symbols is not None and not isinstance(symbols, DataFrame)
     paths = [f"{base}/{name}.csv" for name in symbols] if listed else f"{base}/*.csv"
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    raw = spark.read.schema(text).csv(paths, header=True).withColumn("symbol", symbol)
-    bars = cast_bars(raw, on_bad, date_type)
+    raw = spark.read.schema(text).csv(paths, header=True)
+    if isinstance(symbols, DataFrame):
+        names = [r["symbol"] for r in symbols.select("symbol").distinct().limit(LISTED_FILES + 1).collect()]
+        if len(names) <= LISTED_FILES:
+            raw = raw.where(F.col("_metadata.file_name").isin([f"{name}.csv" for name in names]))
+            symbols = None
+    bars = cast_bars(raw.withColumn("symbol", symbol), on_bad, date_type)
     return select_symbols(bars, symbols) if isinstance(symbols, DataFrame) else bars
 
 
+def read_symbol_folders(
+    spark: SparkSession, directory: str, symbols: DataFrame | None = None, on_bad: str = "drop", date_type: str = "date"
+) -> DataFrame:
+    """Bars from folders ``symbol=<name>`` of CSV files in the positions of a per-symbol file.
+
+    The symbol is a partition column: a join with a table of wanted symbols
+    prunes folders at run time, however long the table.
+    """
+    text = T.StructType([T.StructField(name, T.StringType()) for name in (*SYMBOL_FILE_COLUMNS, "symbol")])
+    raw = spark.read.schema(text).csv(directory, header=True)
+    if symbols is not None:
+        raw = raw.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    return cast_bars(raw, on_bad, date_type)
+
+
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """Symbol list from text, one symbol per line; blank lines are skipped."""
     return spark.read.text(path).select(F.trim("value").alias("symbol")).where(F.col("symbol") != "").distinct()

@@ -64,9 +64,10 @@ def predictions_as_documents(predictions: DataFrame, page_size: int = 10_000) ->
 
 
 def save_model(model: PipelineModel | AveragedModel, path: str) -> None:
-    """Saves a model; an averaged one with the running state of its kernel."""
+    """Saves a model, and beside it what kind it is; an averaged one with the running state of its kernel."""
     if isinstance(model, PipelineModel):
-        model.write().overwrite().save(path)
+        model.write().overwrite().save(f"{path}/pipeline")
+        _write_about({"kernel": None}, path)
         return
     name = next(key for key, kind in KERNELS.items() if isinstance(model.kernel, kind))
     about = {
@@ -77,16 +78,19 @@ def save_model(model: PipelineModel | AveragedModel, path: str) -> None:
         "models": model.models,
     }
     model.states.write.mode("overwrite").parquet(f"{path}/states")
-    spark = model.states.sparkSession
+    _write_about(about, path)
+
+
+def _write_about(about: dict, path: str) -> None:
+    spark = SparkSession.getActiveSession()
     spark.range(1).select(F.lit(json.dumps(about)).alias("value")).write.mode("overwrite").text(f"{path}/about")
 
 
 def load_model(spark: SparkSession, path: str) -> PipelineModel | AveragedModel:
     """Loads what :func:`save_model` wrote."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/about")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return PipelineModel.load(path)
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
+    if about["kernel"] is None:
+        return PipelineModel.load(f"{path}/pipeline")
     settings = dict(about["settings"])
     if "config" in settings:
         settings["config"] = SequenceConfig(**settings["config"])

@@ -8,10 +8,16 @@ weights back; the weights of a model are averaged over its blocks, weighted by
 windows seen. One Spark job per round serves all models. An epoch is as many
 rounds as the largest block needs, a number fixed by the settings.
 
+Up to ``BLOCKS_PER_UNIT`` neighbouring blocks of a symbol are one *unit*, a row
+of a table written once; in a round every unit gets the weights of its model
+once, whatever their size, and a task adds up its units of one symbol before it
+hands on chunks of weights, which Spark averages with map-side combine.
+
 The first round of an epoch also scores the weights it was given, over all
-windows of the block, so the loss of an epoch costs no pass of its own. The
-weights of every round are written to the shared folder and read back, which
-cuts the lineage and survives lost executors. Only counts come to the driver.
+windows of the block and of the held-out blocks if there are any, so the losses
+of an epoch cost no pass of their own. The weights of every round are written
+to the shared folder and read back, which cuts the lineage and survives lost
+executors. Only counts come to the driver.
 """
 
 from __future__ import annotations
@@ -23,26 +29,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seqcast.operators.stats import best_epoch, weighted_param_average
+from seqcast.operators.skew import join_on_symbol
+from seqcast.operators.stats import best_epoch
 from seqcast.session import new_table_folder, ship_package
 from seqcast.training.kernels import LinearKernel, LstmKernel
 
 Kernel = LinearKernel | LstmKernel
 
-# Weights of all models together are broadcast up to this many bytes.
+# Weights of all models together are broadcast up to this many bytes; beyond
+# that they are joined, on the model and a share of its units.
 BROADCAST_BYTES = 64 << 20
 # Aim for the bytes of one Arrow batch handed to Python.
 ARROW_BYTES = 64 << 20
-# Neighbouring blocks of one symbol that stay together, and the blocks of a task:
-# the work is bound by arithmetic, not bytes, so tasks are counted in blocks.
-BLOCKS_PER_SALT = 8
-BLOCKS_PER_TASK = 64
-MAX_TASKS = 200_000
+# Neighbouring blocks of one symbol that share a row, and the units of a task:
+# the work is bound by arithmetic, not bytes, so tasks are counted in units.
+BLOCKS_PER_UNIT = 8
+UNITS_PER_TASK = 8
 # Weights per output row.
 CHUNK = 1 << 16
+# Places of the losses in the rows of a round, before those of the weights.
+TRAIN_LOSS, TEST_LOSS = -2, -1
 
 POOLED = "*"
 
@@ -73,43 +83,51 @@ class AveragedModel:
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in range(batch.num_rows):
-                    m = batch["m"][row].as_py()
-                    x = _windows(_matrix(batch["x"][row]), length, m)
-                    low, high = _vector(batch["low"][row]), _vector(batch["high"][row])
-                    predicted = kernel.predict(_vector(batch["state"][row]), x) * (high - low) + low
-                    actual = _matrix(batch["y"][row])[length : length + m]
-                    start = batch["start"][row].as_py()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([batch["owner"][row].as_py()] * m, pa.string()),
-                            pa.array(np.arange(start, start + m)),
-                            batch["date"][row].values.slice(length, m),
-                            _numbers(predicted, wide),
-                            _numbers(actual, wide),
-                        ],
-                        names=["symbol", "window", "date", "prediction", "actual"],
-                    )
+                    owner, state, unit = batch["owner"][row].as_py(), _vector(batch["state"][row]), batch["unit"][row].values
+                    for k in range(len(unit)):
+                        m, start = unit.field("m")[k].as_py(), unit.field("start")[k].as_py()
+                        x = _windows(_matrix(unit.field("x")[k]), length, m)
+                        low, high = _vector(unit.field("low")[k]), _vector(unit.field("high")[k])
+                        predicted = kernel.predict(state, x) * (high - low) + low
+                        actual = _matrix(unit.field("y")[k])[length : length + m]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([owner] * m, pa.string()),
+                                pa.array(np.arange(start, start + m)),
+                                unit.field("date")[k].values.slice(length, m),
+                                _numbers(predicted, wide),
+                                _numbers(actual, wide),
+                            ],
+                            names=["symbol", "window", "date", "prediction", "actual"],
+                        )
 
         date = blocks.schema["date"].dataType.elementType.simpleString()
         out = f"symbol string, window bigint, date {date}, prediction {number}, actual {number}"
-        keyed = blocks.withColumnRenamed("symbol", "owner").withColumn("symbol", _model_key("owner", self.per_symbol))
+        units = _units(blocks, self.per_symbol, ("block", "start", "m", "x", "y", "date", "low", "high"))
         states = self.states.select("symbol", "state")
         if _fits_broadcast(self.models, kernel):
-            states = F.broadcast(states)
-        # Otherwise a merge join, whose skewed partitions adaptive execution splits.
-        attached = keyed.join(states, "symbol").select(
-            "owner", "start", "m", "x", "y", "date", "low", "high", "state"
-        )
-        return attached.mapInArrow(score, out)
+            attached = units.join(F.broadcast(states), "symbol")
+        else:
+            attached = join_on_symbol(units, states, spread_by="place")
+        return attached.select("owner", "unit", "state").mapInArrow(score, out)
 
 
 def _model_key(symbol: str, per_symbol: bool):
     return F.col(symbol) if per_symbol else F.lit(POOLED)
 
 
+def _units(blocks: DataFrame, per_symbol: bool, fields: tuple[str, ...]) -> DataFrame:
+    """``symbol, owner, salt, place, unit``: rows of neighbouring blocks, and a number to spread them by."""
+    salt = F.expr(f"block div {BLOCKS_PER_UNIT}").alias("salt")
+    return (
+        blocks.groupBy(F.col("symbol").alias("owner"), salt)
+        .agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("unit"))
+        .select(_model_key("owner", per_symbol).alias("symbol"), "owner", "salt", F.xxhash64("owner", "salt").alias("place"), "unit")
+    )
+
+
 def _fits_broadcast(models: int, kernel: Kernel) -> bool:
-    # The one pooled model has a size set by the kernel, not by the data.
-    return models == 1 or models * kernel.state_size * 8 <= BROADCAST_BYTES
+    return models * kernel.state_size * 8 <= BROADCAST_BYTES
 
 
 def _vector(value: pa.ListScalar) -> np.ndarray:
@@ -138,7 +156,7 @@ def _numbers(table: np.ndarray, wide: bool) -> pa.Array:
 
 @contextmanager
 def _arrow_rows(spark: SparkSession, row_bytes: int):
-    """Bounds the rows per Arrow batch, for rows as large as a block with its weights."""
+    """Bounds the rows per Arrow batch, for rows as large as a unit with its weights."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, str(max(1, min(int(before) if int(before) > 0 else 10000, ARROW_BYTES // row_bytes))))
@@ -148,69 +166,85 @@ def _arrow_rows(spark: SparkSession, row_bytes: int):
         spark.conf.set(key, before)
 
 
-def _trainer(kernel: Kernel, length: int, first: int, stop: int, batch_size: int, score: bool, train: bool, seed: list[int]):
-    """The function one round applies to the blocks of a task.
+def _trainer(kernel: Kernel, length: int, frequency: int, r: int, train: bool, seed: list[int]):
+    """The function one round applies to the units of a task.
 
     It gives rows ``(symbol, first, n, v)``: weights ``v`` from index ``first``
-    on, averaged over the ``n`` windows seen; the loss stands at index -1.
+    on, averaged over the ``n`` windows seen; the losses stand at
+    ``TRAIN_LOSS`` and ``TEST_LOSS``. Units of one symbol lie together, so one
+    running sum is held at a time.
     """
 
+    def rows(symbol: str, total: dict) -> Iterator[tuple[str, int, int, np.ndarray]]:
+        for place in (TRAIN_LOSS, TEST_LOSS):
+            n, loss = total[place]
+            if n:
+                yield symbol, place, n, np.array([loss / n])
+        if total["seen"]:
+            average = total["sum"] / total["seen"]
+            for at in range(0, len(average), CHUNK):
+                yield symbol, at, total["seen"], average[at : at + CHUNK]
+
+    def table(found: list[tuple[str, int, int, np.ndarray]]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["symbol", "first", "n", "v"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, {}
         for batch in batches:
-            sums: dict[str, list] = {}
             for row in range(batch.num_rows):
-                symbol, m = batch["symbol"][row].as_py(), batch["m"][row].as_py()
-                given = batch["state"][row]
-                state = _vector(given) if given.is_valid else kernel.initial_state(seed[0])
-                x = _windows(_matrix(batch["x"][row]), length, m)
-                y = _windows(_matrix(batch["y"][row])[1:], length, m)
-                total = sums.setdefault(symbol, [0, 0.0, 0, None])
-                if score:
-                    total[0] += m
-                    total[1] += m * kernel.loss(state, x, y)
-                last = min(stop, m)
-                if train and first < last:
-                    place = [zlib.crc32(batch["owner"][row].as_py().encode()), batch["block"][row].as_py()]
-                    rng = np.random.default_rng(seed + place)
-                    for at in range(first, last, batch_size):
-                        end = min(at + batch_size, last)
-                        state = kernel.step(state, x[at:end], y[at:end], rng)
-                    total[2] += last - first
-                    weighted = state * (last - first)
-                    total[3] = weighted if total[3] is None else total[3] + weighted
-            rows: list[tuple[str, int, int, np.ndarray]] = []
-            for symbol, (scored, loss, seen, weighted) in sums.items():
-                if scored:
-                    rows.append((symbol, -1, scored, np.array([loss / scored])))
-                if seen:
-                    average = weighted / seen
-                    rows += [(symbol, at, seen, average[at : at + CHUNK]) for at in range(0, len(average), CHUNK)]
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.string()),
-                        pa.array([r[1] for r in rows], pa.int32()),
-                        pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.list_(pa.float64())),
-                    ],
-                    names=["symbol", "first", "n", "v"],
-                )
+                symbol, owner = batch["symbol"][row].as_py(), batch["owner"][row].as_py()
+                if symbol != now:
+                    if now is not None and (found := list(rows(now, total))):
+                        yield table(found)
+                    now, total = symbol, {TRAIN_LOSS: (0, 0.0), TEST_LOSS: (0, 0.0), "seen": 0, "sum": None}
+                given, held, size = batch["state"][row], batch["held"][row].as_py(), batch["size"][row].as_py()
+                start = _vector(given) if given.is_valid else kernel.initial_state(seed[0])
+                unit = batch["unit"][row].values
+                for k in range(len(unit)):
+                    m = unit.field("m")[k].as_py()
+                    x = _windows(_matrix(unit.field("x")[k]), length, m)
+                    y = _matrix(unit.field("y")[k])
+                    if held:  # targets of held-out blocks are in their units
+                        low, high = _vector(unit.field("low")[k]), _vector(unit.field("high")[k])
+                        y = np.where(high > low, (y - low) / np.where(high > low, high - low, 1.0), 0.5)
+                    y = _windows(y[1:], length, m)
+                    if r == 0:
+                        place = TEST_LOSS if held else TRAIN_LOSS
+                        total[place] = (total[place][0] + m, total[place][1] + m * kernel.loss(start, x, y))
+                    first, last = r * frequency * size, min((r + 1) * frequency * size, m)
+                    if train and not held and first < last:
+                        state = start
+                        rng = np.random.default_rng([*seed, zlib.crc32(owner.encode()), unit.field("block")[k].as_py()])
+                        for at in range(first, last, size):
+                            end = min(at + size, last)
+                            state = kernel.step(state, x[at:end], y[at:end], rng)
+                        total["seen"] += last - first
+                        weighted = state * (last - first)
+                        total["sum"] = weighted if total["sum"] is None else total["sum"] + weighted
+        if now is not None and (found := list(rows(now, total))):
+            yield table(found)
 
     return work
 
 
 def _average(updates: DataFrame) -> DataFrame:
-    """``symbol, state, loss`` from the rows of all workers."""
-    long = updates.select("symbol", "first", "n", F.posexplode("v").alias("at", "v")).select(
-        "symbol", (F.col("first") + F.col("at")).alias("k"), "v", "n"
-    )
-    averaged = weighted_param_average(long)
-    weights = F.sort_array(F.collect_list(F.when(F.col("k") >= 0, F.struct("k", "v"))))
-    return (
-        averaged.groupBy("symbol")
-        .agg(weights.alias("weights"), F.max(F.when(F.col("k") == -1, F.col("v"))).alias("loss"))
-        .select("symbol", F.col("weights.v").alias("state"), "loss")
-    )
+    """``symbol, state, train_loss, test_loss`` from the rows of all workers, a chunk of weights at a time."""
+    mean = Summarizer.mean(array_to_vector("v"), F.col("n").cast("double"))
+    chunks = updates.groupBy("symbol", "first").agg(vector_to_array(mean).alias("v"))
+    weights = F.sort_array(F.collect_list(F.when(F.col("first") >= 0, F.struct("first", "v"))))
+
+    def loss(place: int, name: str):
+        return F.max(F.when(F.col("first") == place, F.get("v", F.lit(0)))).alias(name)
+
+    found = chunks.groupBy("symbol").agg(weights.alias("weights"), loss(TRAIN_LOSS, "train_loss"), loss(TEST_LOSS, "test_loss"))
+    state = F.when(F.size("weights") > 0, F.flatten("weights.v"))
+    return found.select("symbol", state.alias("state"), "train_loss", "test_loss")
+
+
+def _judged(history: DataFrame) -> DataFrame:
+    """``symbol, epoch, loss``: the held-out loss where there is one, else the training loss."""
+    return history.select("symbol", "epoch", F.coalesce("test_loss", "train_loss").alias("loss"))
 
 
 def _stopped(history: DataFrame, patience: int | None, max_score: float | None) -> DataFrame:
@@ -229,55 +263,73 @@ def fit_averaged(
     blocks: DataFrame,
     kernel: Kernel,
     averaging_frequency: int = 1,
-    batch_size: int = 64,
+    batch_size: int | DataFrame = 64,
     max_epochs: int = 25,
     patience: int | None = None,
     max_score: float | None = None,
     per_symbol: bool = True,
     seed: int = 12345,
+    holdout: DataFrame | None = None,
+    start: AveragedModel | None = None,
 ) -> tuple[AveragedModel, DataFrame]:
     """Trains one model per symbol, or one for all, on train blocks.
 
+    ``batch_size`` is one number, or a table ``symbol, batch_size`` as
+    :func:`minibatch_size` gives it. ``holdout`` are test blocks, whose loss
+    then decides the best epoch and early stopping. ``start`` is a model whose
+    weights, running state included, training goes on from.
+
     Returns the model with the weights of the best epoch, and the history
-    ``symbol, epoch, loss`` of the training loss. Without ``patience`` and
+    ``symbol, epoch, train_loss, test_loss``. Without ``patience`` and
     ``max_score`` training runs for ``max_epochs``.
     """
-    if min(averaging_frequency, batch_size, max_epochs) < 1:
+    sized = isinstance(batch_size, DataFrame)
+    if min(averaging_frequency, 1 if sized else batch_size, max_epochs) < 1:
         raise ValueError("averaging_frequency, batch_size and max_epochs must be at least 1")
+    if start is not None and (start.kernel != kernel or start.per_symbol != per_symbol):
+        raise ValueError("training goes on with the same kernel and kind of model")
     spark = blocks.sparkSession
     ship_package()
     folder = new_table_folder(spark, "averaging")
-    state_row = "symbol string, state array<double>, loss double"
-
-    keyed = blocks.select(
-        _model_key("symbol", per_symbol).alias("symbol"),
-        F.col("symbol").alias("owner"),
-        "block",
-        F.expr(f"block div {BLOCKS_PER_SALT}").alias("salt"),
-        "m",
-        "x",
-        "y",
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = keyed.agg(
-        F.count(F.lit(1)).alias("blocks"),
-        F.countDistinct("symbol").alias("models"),
-        F.max("m").alias("largest"),
-        F.max(F.size("x")).alias("bars"),
-        F.min(F.size("x") - F.col("m")).alias("length"),
+    loss_row = "train_loss double, test_loss double"
+    state_row = f"symbol string, state array<double>, {loss_row}"
+
+    fields = ("block", "m", "x", "y", "low", "high")
+    none = F.lit(None).cast("array<double>")
+    units = _units(blocks.withColumns({"low": none, "high": none}), per_symbol, fields).withColumn("held", F.lit(False))
+    if holdout is not None:  # of symbols that have a model
+        held = _units(holdout, per_symbol, fields).join(units.select("symbol").distinct(), "symbol", "left_semi")
+        units = units.unionByName(held.withColumn("held", F.lit(True)))
+    if sized:
+        sizes = batch_size.select(F.col("symbol").alias("owner"), F.greatest(F.col("batch_size"), F.lit(1)).cast("int").alias("size"))
+        units = units.join(sizes, "owner", "left").withColumn("size", F.coalesce("size", F.lit(64)))
+    else:
+        units = units.withColumn("size", F.lit(batch_size))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    path = f"{folder}/units"
+    # Units of a model lie together in the order of the files, so that a task adds them up before it hands them on.
+    units.repartition(tasks, "place").sortWithinPartitions("symbol", "owner", "salt").write.parquet(path)
+    work = spark.read.schema(units.schema).parquet(path)
+    windows = F.array_max(F.col("unit.m"))
+    facts = work.agg(
+        F.count(F.when(~F.col("held"), 1)).alias("units"),
+        F.count_distinct("symbol").alias("models"),
+        F.max(F.when(~F.col("held"), F.ceil(windows / (F.lit(averaging_frequency) * F.col("size"))))).alias("rounds"),
+        F.max(F.size(F.get("unit.x", F.lit(0)))).alias("bars"),
+        F.min(F.size(F.get("unit.x", F.lit(0))) - F.get("unit.m", F.lit(0))).alias("length"),
     ).first()
-    if not sizes["blocks"]:
-        keyed.unpersist()
+    if not facts["units"]:
         raise ValueError("there is no training window")
-    length, per_round = sizes["length"], averaging_frequency * batch_size
-    rounds = -(-sizes["largest"] // per_round)
-    small = _fits_broadcast(sizes["models"], kernel)
-    row_bytes = 8 * (sizes["bars"] * (kernel.outputs + 5) + kernel.state_size)
-    enough = max(-(-sizes["blocks"] // BLOCKS_PER_TASK), 2 * spark.sparkContext.defaultParallelism)
-    tasks = min(enough, sizes["blocks"], MAX_TASKS)
-    # Blocks are moved once, not per round; weights are sent to them.
-    work = keyed.repartition(tasks, "symbol" if per_symbol else "owner", "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    work.count()
-    keyed.unpersist()
+    length, rounds = facts["length"], facts["rounds"]
+    small = _fits_broadcast(facts["models"], kernel)
+    row_bytes = 8 * (BLOCKS_PER_UNIT * facts["bars"] * (kernel.outputs + 5) + kernel.state_size)
+    shares = None
+    if not small:
+        share = F.pmod("place", F.lit(max(tasks, -(-facts["units"] // UNITS_PER_TASK))))
+        work = work.withColumn("share", share)
+        shares_path = f"{folder}/shares"
+        work.select("symbol", "share").distinct().write.parquet(shares_path)
+        shares = spark.read.schema("symbol string, share bigint").parquet(shares_path)
 
     def with_weights(states: DataFrame | None) -> DataFrame:
         if states is None:
@@ -285,50 +337,45 @@ def fit_averaged(
         states = states.select("symbol", "state")
         if small:
             return work.join(F.broadcast(states), "symbol")
-        salted = work.select("symbol", "salt").distinct().join(states, "symbol")
-        return work.join(salted, ["symbol", "salt"])
+        return work.join(shares.join(states, "symbol"), ["symbol", "share"])
 
     def run(states: DataFrame | None, epoch: int, r: int, train: bool = True) -> DataFrame:
-        task = _trainer(
-            kernel, length, r * per_round, (r + 1) * per_round, batch_size, r == 0, train, [seed, epoch, r]
-        )
-        inputs = with_weights(states).select("symbol", "owner", "block", "m", "x", "y", "state")
+        task = _trainer(kernel, length, averaging_frequency, r, train, [seed, epoch, r])
+        inputs = with_weights(states).select("symbol", "owner", "unit", "held", "size", "state")
         result = _average(inputs.mapInArrow(task, "symbol string, first int, n bigint, v array<double>"))
         if r > 0:  # a model without a window left for this round keeps its weights
             kept = states.select("symbol", F.col("state").alias("kept"))
-            result = kept.join(result, "symbol", "left").select("symbol", F.coalesce("state", "kept").alias("state"), "loss")
-        path = f"{folder}/epoch={epoch}/round={r}"
+            result = kept.join(result, "symbol", "left").select("symbol", F.coalesce("state", "kept").alias("state"), "train_loss", "test_loss")
+        path = f"{folder}/rounds/epoch={epoch}/round={r}"
         with _arrow_rows(spark, row_bytes):
             result.write.parquet(path)
         return spark.read.schema(state_row).parquet(path)
 
     def written() -> DataFrame:
-        return spark.read.schema(f"{state_row}, epoch int, round int").option("basePath", folder).parquet(folder)
+        path = f"{folder}/rounds"
+        return spark.read.schema(f"{state_row}, epoch int, round int").option("basePath", path).parquet(path)
 
     def losses() -> DataFrame:
         # Round 0 of an epoch scores the weights the epoch before ended with.
         scored = written().where((F.col("round") == 0) & (F.col("epoch") > 1))
-        return scored.select("symbol", (F.col("epoch") - 1).cast("int").alias("epoch"), "loss")
+        return scored.select("symbol", (F.col("epoch") - 1).cast("int").alias("epoch"), "train_loss", "test_loss")
 
     stops_early = patience is not None or max_score is not None
-    try:
-        states, active = None, True
-        for epoch in range(1, max_epochs + 1):
-            for r in range(rounds):
-                states = run(states, epoch, r)
-                if r == 0 and epoch > 1 and stops_early:
-                    states = states.join(_stopped(losses(), patience, max_score), "symbol", "left_anti")
-                    active = not states.isEmpty()
-                    if not active:
-                        break
-            if not active:
-                break
-        if active:
-            run(states, max_epochs + 1, 0, train=False)
-    finally:
-        work.unpersist()
+    states, active = (None if start is None else start.states), True
+    for epoch in range(1, max_epochs + 1):
+        for r in range(rounds):
+            states = run(states, epoch, r)
+            if r == 0 and epoch > 1 and stops_early:
+                states = states.join(_stopped(_judged(losses()), patience, max_score), "symbol", "left_anti")
+                active = not states.isEmpty()
+                if not active:
+                    break
+        if not active:
+            break
+    if active:
+        run(states, max_epochs + 1, 0, train=False)
 
     history = losses()
     ended = written().where(F.col("round") == rounds - 1).select("symbol", "epoch", "state")
-    best = ended.join(best_epoch(history), ["symbol", "epoch"]).select("symbol", "epoch", "loss", "state")
-    return AveragedModel(kernel, length, per_symbol, sizes["models"], best), history
+    best = ended.join(best_epoch(_judged(history)), ["symbol", "epoch"]).select("symbol", "epoch", "loss", "state")
+    return AveragedModel(kernel, length, per_symbol, facts["models"], best), history

@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,11 +12,14 @@ from seqcast.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
+    folder = Path(tempfile.mkdtemp(prefix="seqcast-tests-"))
     session = build_session(
         "seqcast-tests",
         master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=(folder / "shared").as_uri(),
+        spark__sql__warehouse__dir=(folder / "warehouse").as_uri(),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

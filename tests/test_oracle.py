@@ -4,9 +4,12 @@ import os
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as contract
+from seqcast.plans.oracle import ORACLE
+from seqcast.plans.queries import REGISTRY
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,21 +40,24 @@ def _sorted(table):
     return out.sort_by([(name, "ascending") for name in keys])
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, duck, name):
-    got = _sorted(contract.queries()[name](spark, SF_DIR).toArrow())
-    want = _sorted(duck.sql(contract.oracle_sql()[name]).to_arrow_table())
+    got = _sorted(REGISTRY[name](spark, SF_DIR).toArrow())
+    want = _sorted(duck.sql(ORACLE[name]).to_arrow_table())
     assert [(f.name, _kind(f.type)) for f in got.schema] == [(f.name, _kind(f.type)) for f in want.schema]
     assert got.num_rows == want.num_rows > 0
     for column in got.column_names:
         assert got.column(column).equals(want.column(column)), column
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - set(contract.oracle_sql())))
-def test_query_without_sql_gives_rows(spark, name):
-    rows = contract.queries()[name](spark, "/root/testdata/sf0.01").toArrow()
+@pytest.mark.parametrize("name", sorted(set(REGISTRY) - set(ORACLE)))
+def test_trained_forecasts_are_finite(spark, name):
+    rows = REGISTRY[name](spark, "/root/testdata/sf0.01").toArrow()
     assert rows.num_rows == 3262
-    assert not any(column.null_count for column in rows.columns)
+    for column in rows.columns:
+        assert not column.null_count
+        if pa.types.is_floating(column.type):
+            assert pc.all(pc.is_finite(column)).as_py()
 
 
 def test_entry(spark):
@@ -62,3 +68,4 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(REGISTRY) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())

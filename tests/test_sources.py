@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from fixtures import bar_rows, bars_of
 from seqcast.operators import prep, scale, stats
 from seqcast.operators.windows import make_windows
-from seqcast.sources.readers import read_bars_csv, read_symbol_files, read_symbols
+from seqcast.sources.readers import SYMBOL_FILE_COLUMNS, read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols
 
 HEADER = "Date,Open,High,Low,Close,Volume,Adj Close"
 
@@ -102,6 +102,47 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert [row[c] for c in ("open", "close", "low", "high", "volume")] == [1.0, 2.0, 3.0, 4.0, 5.0]
 
 
+def test_files_with_different_headers(spark, tmp_path):
+    for name, header, row in (("a", "symbol,date,open,close,low,high,volume", "X,2016-01-05,1,2,3,4,5"), ("b", "symbol,date,volume,close,low,high,open", "X,2016-01-06,5,2,3,4,1")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "bars.csv").write_text(f"{header}\n{row}\n")
+    rows = read_bars_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).collect()
+    assert [(r["open"], r["volume"]) for r in rows] == [(1.0, 5.0), (1.0, 5.0)]
+    with pytest.raises(Exception, match="(?i)header"):
+        read_bars_csv(spark, str(tmp_path / "*")).collect()
+
+
+@pytest.mark.parametrize("cell", ["Infinity", "-Infinity", "NaN", "1e999"])
+def test_numbers_that_are_not_finite_are_unreadable(spark, tmp_path, cell):
+    (tmp_path / "a.csv").write_text(f"symbol,date,open,close,low,high,volume\nX,2016-01-05,{cell},2,3,4,5\nX,2016-01-06,1,2,3,4,5\n,2016-01-07,1,2,3,4,5\n")
+    path = str(tmp_path / "a.csv")
+    assert read_bars_csv(spark, path).count() == 1
+    assert [r["open"] for r in read_bars_csv(spark, path, on_bad="null").orderBy("date").collect()] == [None, 1.0]
+    with pytest.raises(Exception, match="cannot read"):
+        read_bars_csv(spark, path, on_bad="fail").collect()
+
+
+def test_a_listed_symbol_reads_its_file_alone(spark, tmp_path):
+    for name in "ABC":
+        (tmp_path / f"{name}.csv").write_text("Date,Open,High,Low,Close,Volume,Adj\n2016-01-05,1,2,3,4,5,6\n")
+    listed = spark.createDataFrame([("B",)], "symbol string")
+    bars = read_symbol_files(spark, str(tmp_path), listed)
+    assert [r["symbol"] for r in bars.collect()] == ["B"]
+    scan = bars._jdf.queryExecution().executedPlan().toString()
+    assert "file_name" in scan and "Join" not in scan
+    (tmp_path / "A.csv").unlink()  # a file that isn't read may be missing by now
+    assert bars.count() == 1
+
+
+def test_folders_by_symbol(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    bars = bars_of(spark, bar_rows("A", 3) + bar_rows("B/x", 2)).withColumn("unadjusted_close", F.lit(0.0))
+    bars.select("symbol", *SYMBOL_FILE_COLUMNS).write.partitionBy("symbol").csv(path, header=True)
+    assert {r["symbol"]: r["count"] for r in stats.symbol_counts(read_symbol_folders(spark, path)).collect()} == {"A": 3, "B/x": 2}
+    listed = read_symbol_folders(spark, path, spark.createDataFrame([("B/x",)], "symbol string"))
+    assert {r["symbol"] for r in listed.collect()} == {"B/x"}
+
+
 def test_selecting_dropping_and_combining(spark):
     bars = bars_of(spark, bar_rows("A", 6) + bar_rows("B", 1) + bar_rows("C", 3))
     assert prep.select_symbols(bars, "A").count() == 6

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fixtures import bar_rows, bars_of, expected_windows
 from seqcast.operators import stats
-from seqcast.operators.windows import window_blocks
+from seqcast.operators.windows import both_blocks, window_blocks
 from seqcast.schema import FEATURES, SequenceConfig
 from seqcast.sources.writers import load_model, predictions_as_documents, save_model, with_run_label, write_predictions
 from seqcast.training import averaging
@@ -99,7 +99,7 @@ def test_one_worker_is_plain_gradient_descent(spark, bars):
     blocks = window_blocks(bars, "train", length=6)
     model, history = fit_averaged(blocks, kernel, averaging_frequency=100, batch_size=16, max_epochs=3)
     got = {r["symbol"]: np.array(r["state"]) for r in model.states.collect()}
-    losses = {(r["symbol"], r["epoch"]): r["loss"] for r in history.collect()}
+    losses = {(r["symbol"], r["epoch"]): r["train_loss"] for r in history.collect()}
     assert len(losses) == 6
     for symbol in "AB":
         x, y = _arrays(rows, 6, 0.9, "close", symbol)
@@ -148,6 +148,60 @@ def test_joined_weights_train_as_broadcast_ones(spark, bars, monkeypatch):
     assert [r["prediction"] for r in one] == pytest.approx([r["prediction"] for r in two])
 
 
+def test_pooled_weights_beyond_the_broadcast_limit(spark, bars, monkeypatch):
+    blocks = window_blocks(bars, "train", length=6, block_size=20)
+    settings = dict(kernel=LinearKernel(length=6), batch_size=10, max_epochs=2, per_symbol=False)
+    small, _ = fit_averaged(blocks, **settings)
+    monkeypatch.setattr(averaging, "BROADCAST_BYTES", 0)
+    large, _ = fit_averaged(blocks, **settings)
+    assert small.states.first()["state"] == pytest.approx(large.states.first()["state"])
+    test = window_blocks(bars, "test", length=6)
+    assert large.transform(test).count() == small.transform(test).count() > 0
+
+
+def test_batch_size_of_each_symbol(spark, bars):
+    blocks = window_blocks(bars, "train", length=6, block_size=20)
+    sizes = spark.createDataFrame([("A", 5), ("B", 10)], "symbol string, batch_size int")
+    model, _ = fit_averaged(blocks, LinearKernel(length=6), batch_size=sizes, max_epochs=2)
+    got = {r["symbol"]: r["state"] for r in model.states.collect()}
+    for symbol, size in (("A", 5), ("B", 10)):
+        alone, _ = fit_averaged(blocks.where(F.col("symbol") == symbol), LinearKernel(length=6), batch_size=size, max_epochs=2)
+        assert got[symbol] == pytest.approx(alone.states.first()["state"])
+
+
+def test_training_goes_on_from_a_saved_model(spark, bars, tmp_path):
+    blocks = window_blocks(bars, "train", length=6, block_size=20)
+    settings = dict(kernel=LinearKernel(length=6, learning_rate=1e-3), batch_size=20)
+    four, _ = fit_averaged(blocks, **settings, max_epochs=4)
+    first, _ = fit_averaged(blocks, **settings, max_epochs=3)
+    save_model(first, str(tmp_path / "model"))
+    more, _ = fit_averaged(blocks, **settings, max_epochs=1, start=load_model(spark, str(tmp_path / "model")))
+    a, b = ({r["symbol"]: r["state"] for r in m.states.collect()} for m in (four, more))
+    assert all(a[s] == pytest.approx(b[s]) for s in a)
+    with pytest.raises(ValueError, match="same kernel"):
+        fit_averaged(blocks, LinearKernel(length=6), start=first)
+
+
+def test_held_out_loss_decides(spark, bars):
+    train, test = both_blocks(bars, length=6, block_size=20)
+    kernel = LinearKernel(length=6)
+    model, history = fit_averaged(train, kernel, batch_size=10, max_epochs=3, holdout=test)
+    rows = history.collect()
+    for r in model.states.collect():
+        mine = {h["epoch"]: h["test_loss"] for h in rows if h["symbol"] == r["symbol"]}
+        assert r["epoch"] == min(mine, key=mine.get) and r["loss"] == min(mine.values())
+    last = {h["symbol"]: h["test_loss"] for h in rows if h["epoch"] == 3}
+    ranges = {r["symbol"]: (r["min_close"], r["max_close"]) for r in stats.feature_ranges(bars).collect()}
+    final, _ = fit_averaged(train, kernel, batch_size=10, max_epochs=3)
+    if all(r["epoch"] == 3 for r in final.states.collect()):
+        errors = {}
+        for p in final.transform(test).collect():
+            low, high = ranges[p["symbol"]]
+            errors.setdefault(p["symbol"], []).append(((p["prediction"] - p["actual"]) / (high - low)) ** 2)
+        for symbol, found in errors.items():
+            assert last[symbol] == pytest.approx(sum(found) / len(found))
+
+
 def test_pooled_model_serves_every_symbol(spark, bars):
     blocks = window_blocks(bars, "train", length=6, block_size=20)
     model, history = fit_averaged(blocks, LinearKernel(length=6), batch_size=10, max_epochs=2, per_symbol=False)
@@ -161,7 +215,7 @@ def test_loss_falls_and_the_best_epoch_is_kept(spark, bars):
     model, history = fit_averaged(blocks, LstmKernel("close", TINY), batch_size=16, max_epochs=6)
     losses = {}
     for r in history.collect():
-        losses.setdefault(r["symbol"], {})[r["epoch"]] = r["loss"]
+        losses.setdefault(r["symbol"], {})[r["epoch"]] = r["train_loss"]
     for r in model.states.collect():
         mine = losses[r["symbol"]]
         assert sorted(mine) == [1, 2, 3, 4, 5, 6]

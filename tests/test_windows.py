@@ -30,8 +30,8 @@ def test_windows_equal_plain_loops(spark, category):
 @pytest.mark.parametrize("block_size", [3, 4, 7, 64, 4096])
 def test_blocks_do_not_change_windows(spark, block_size):
     rows = bar_rows("A", 100) + bar_rows("B", 31)
-    want_train, want_test = expected_windows(rows, 3, 2, 0.5, "high")
-    train, test = make_windows(bars_of(spark, rows), 3, 2, 0.5, "high", block_size)
+    want_train, want_test = expected_windows(rows, 3, 1, 0.5, "high")
+    train, test = make_windows(bars_of(spark, rows), 3, 0.5, "high", block_size)
     assert _train(train) == want_train
     assert _test(test) == want_test
 
