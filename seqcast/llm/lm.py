@@ -1,7 +1,7 @@
 """Language-model scoring: a unigram base over all words, and a gated recurrent network over the frequent ones.
 
 Counts of all words of the training texts are gathered by a shuffle; they are a table and never come to the driver whole.
-The most frequent ``KNOWN`` words (a fixed number) go to every task as an array, so that only rarer words of a text meet
+The most frequent words, at most ``KNOWN`` of them, go to every task as an array, so that only rarer words of a text meet
 the table in a join.
 
 The network reads the last word and predicts the next among the ``VOCABULARY`` most frequent words, the end, and one
@@ -388,8 +388,18 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame,
     counts = written(training.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     texts = training.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()  # at most KNOWN rows
+    # The most frequent words, down to a count above which there are no more than KNOWN of them: no sort of all words.
+    level = F.when(F.col("n") < 256, F.col("n")).otherwise(256 + F.floor((F.log2("n") - 8) * 32))
+    lowest, held = None, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["level"]):  # some 2,000 rows
+        held += r["n"]
+        if held > KNOWN:
+            break
+        lowest = r["level"]
+    top = counts.where(level >= lowest if lowest is not None else F.lit(False)).toArrow()  # at most KNOWN rows
     hashes, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.lexsort((hashes, -n))
+    hashes, n = hashes[order], n[order]
     inside = min(len(n), VOCABULARY - 2)
     number = np.full(len(n), OTHER, np.int64)
     number[:inside] = np.arange(2, 2 + inside)
