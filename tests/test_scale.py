@@ -74,3 +74,12 @@ def test_null_stays_null(spark):
     rows = bar_rows("A", 4) + [("A", None, None, 1.0, 1.0, 1.0, 1.0)]
     got = scale.minmax_scale(bars_of(spark, rows)).where("date is null").first()
     assert got["open"] is None and got["close"] is not None
+
+
+@pytest.mark.parametrize("scope", ["all", "train"])
+def test_scaling_moves_no_bars_for_small_ranges(spark, tmp_path, scope):
+    path = str(tmp_path / "bars")
+    bars_of(spark, bar_rows("A", 50) + bar_rows("B", 20)).write.parquet(path)
+    plan = scale.minmax_scale(spark.read.parquet(path), stats_scope=scope)._jdf.queryExecution().executedPlan().toString()
+    above_bars = plan.split("BroadcastHashJoin")[1].split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning" not in above_bars and "SortMergeJoin" not in above_bars

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fixtures import bar_rows, bars_of, expected_windows
-from seqcast.operators import series, stats
+from seqcast.operators import series, stats, windows
 from seqcast.operators.windows import assign_batches, make_windows, unfold_windows, window_blocks
 from seqcast.schema import FEATURES
 
@@ -147,3 +147,16 @@ def test_bars_partitioned_by_symbol_are_spread_before_numbering(spark):
     bars = bars_of(spark, bar_rows("A", 50)).repartition(4, "symbol")
     plan = series.index_bars(bars)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [symbol" in plan and "_bucket" in plan.split("RepartitionByExpression")[1][:60]
+
+
+def test_both_parts_are_numbered_in_one_pass(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    bars_of(spark, bar_rows("A", 200)).write.parquet(path)
+    bars = spark.read.parquet(path)
+    one = windows._cut(bars, ("train",), 5, 0.9, "close", 64, "all")._jdf.queryExecution().optimizedPlan().toString()
+    both = windows._cut(bars, windows.PARTS, 5, 0.9, "close", 64, "all")._jdf.queryExecution().optimizedPlan().toString()
+    assert both.count("row_number") == one.count("row_number") and both.count("Relation ") == one.count("Relation ")
+    train, test = windows.both_blocks(bars, length=5, block_size=64)
+    key = lambda r: r["start"]
+    assert sorted(train.collect(), key=key) == sorted(window_blocks(bars, "train", length=5, block_size=64).collect(), key=key)
+    assert sorted(test.collect(), key=key) == sorted(window_blocks(bars, "test", length=5, block_size=64).collect(), key=key)
