@@ -206,7 +206,7 @@ def _writer(folder: str, lengths: np.ndarray):
             if stream is None:
                 name = f"ids-{part:06d}-{len(done):05d}-{attempt}.huff"
                 system, path = file_system(f"{folder}/{name}")
-                stream = system.open_output_stream(path)
+                stream = system.open_output_stream(path, compression=None)
                 stream.write(head)
                 done.append([f"{folder}/{name}", part, len(done), 0, 0, len(head)])
             data = segment(*held)
@@ -303,7 +303,7 @@ def _reader(with_ids: bool):
         for batch in batches:
             for uri, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = file_system(uri)
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for docs, counts, ids in segments(stream, uri):
                         ends = np.cumsum(counts)
                         raw = ids.astype("<u4").tobytes()

@@ -123,7 +123,7 @@ class _Archive:
 
     def __init__(self, folder: str, name: str):
         system, path = file_system(f"{folder}/{name}")
-        self.name, self.stream = name, system.open_output_stream(path)
+        self.name, self.stream = name, system.open_output_stream(path, compression=None)
         self.waiting: list[bytes] = []
         self.packer, self.records, self.payload, self.size = None, 0, 0, 0
 
@@ -250,7 +250,7 @@ def _reader(with_payload: bool):
             for uri, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = file_system(uri)
                 found, held, n = [], 0, 0
-                with system.open_input_stream(path) as stream:
+                with system.open_input_stream(path, compression=None) as stream:
                     for raw in frames(stream, uri):
                         try:
                             found.append(parsed(raw))

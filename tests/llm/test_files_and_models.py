@@ -168,7 +168,7 @@ def expected_pages(rows):
 
 def test_archives(spark, tmp_path):
     frame = spark.createDataFrame(pages(), "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "first", "page")})
-    archives = warc.write_archives(frame, folder=str(tmp_path / "archives"), archive_bytes=40_000)
+    archives = warc.write_archives(frame, folder=str(tmp_path / "archives"), archive_bytes=20_000)
     assert archives.count() > 3
     rows = warc.read_archives(spark, archives).collect()
     cases.same([(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows], expected_pages(pages()))

@@ -88,7 +88,8 @@ def test_stages_and_run(spark, tmp_path):
     assert 20 < len(expected) < len(rows) - 6
     docs = frame
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, str(tmp_path))
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         assert docs.dtypes == frame.dtypes, name
     cases.same([(r["doc_id"], r["text"]) for r in docs.collect()], expected)
     pieces = corpus_pipeline.run(spark, str(tmp_path))
