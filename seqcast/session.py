@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
 
@@ -30,9 +31,30 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/seqcast-work"
 
 
+# Folders handed out and not removed yet.
+_FOLDERS: list[str] = []
+
+
 def new_table_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def remove_folders() -> int:
+    """Removes every folder this process has had from :func:`new_table_folder`, and says how many there were.
+
+    For the end of a run, when no frame that reads them is needed any more.
+    """
+    from pyarrow import fs
+
+    removed = 0
+    while _FOLDERS:
+        system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", _FOLDERS.pop()))
+        if system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+            removed += 1
+    return removed
 
 
 def ship_package() -> None:

@@ -16,7 +16,7 @@ def spark():
     session = build_session(
         "seqcast-tests",
         master="local[8]",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
         spark__checkpoint__dir=(folder / "shared").as_uri(),
         spark__sql__warehouse__dir=(folder / "warehouse").as_uri(),

@@ -5,8 +5,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from fixtures import bar_rows, bars_of
+from seqcast import session
 from seqcast.operators import prep, scale, stats
 from seqcast.operators.windows import make_windows
+from seqcast.session import new_table_folder
 from seqcast.sources.readers import SYMBOL_FILE_COLUMNS, read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols
 
 HEADER = "Date,Open,High,Low,Close,Volume,Adj Close"
@@ -134,6 +136,19 @@ def test_a_listed_symbol_reads_its_file_alone(spark, tmp_path):
     assert bars.count() == 1
 
 
+def test_folders_are_removed(spark):
+    path = new_table_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    kept = list(session._FOLDERS)
+    session._FOLDERS[:] = [path, f"{path}-never-written"]
+    try:
+        assert session.remove_folders() == 1 and not session._FOLDERS
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(path)
+    finally:
+        session._FOLDERS[:] = [f for f in kept if f != path]
+
+
 def test_folders_by_symbol(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars = bars_of(spark, bar_rows("A", 3) + bar_rows("B/x", 2)).withColumn("unadjusted_close", F.lit(0.0))
