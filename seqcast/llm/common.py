@@ -13,8 +13,9 @@ from seqcast.session import new_table_folder, ship_package
 
 #: Texts that an Arrow batch holds at most. Batches are cut again by bytes inside the tasks.
 BATCH_ROWS = 512
-#: Bytes of text that are worked on at a time inside a task; a longer text is worked on alone.
-PIECE_BYTES = 2 << 20
+#: Bytes of text that are worked on at a time inside a task, so that the arrays over them stay in a core's cache; a
+#: longer text is worked on alone.
+PIECE_BYTES = 128 << 10
 
 
 def prepare(spark: SparkSession) -> None:

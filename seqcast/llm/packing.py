@@ -97,8 +97,9 @@ def _packer(path: str, end_id: int, capacity: int, key_type: pa.DataType):
         out: list[tuple] = []
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for key, ids in zip(keys, encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids += end
+            ids_of_all, first = encoder.encode_column(batch.column(1))
+            for key, a, b in zip(keys, first[:-1].tolist(), first[1:].tolist(), strict=True):
+                ids = ids_of_all[a:b].astype("<u4").tobytes() + end
                 n, start = len(ids) // 4, 0
                 for length in cuts(n, capacity):
                     out += bins.put((key, start, length, ids[4 * start : 4 * (start + length)], n))

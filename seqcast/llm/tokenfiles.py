@@ -144,14 +144,15 @@ def decode_lanes(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, sy
 
 
 def _tokenized(path: str, end_id: int):
-    end = end_id.to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype("<u2").tobytes() for x in encoder.encode(batch.column(1).to_pylist())]
-            counts += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+            found, first = encoder.encode_column(batch.column(1))
+            raw = np.insert(found, first[1:], end_id).astype("<u2").tobytes()
+            first = 2 * (first + np.arange(len(first)))
+            ids = [raw[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            counts += np.bincount(np.frombuffer(raw, "<u2"), minlength=1 << 16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc", "ids", "counts"])
         some = np.flatnonzero(counts)
         if len(some):  # one row for the counts of the whole task, beside those of documents

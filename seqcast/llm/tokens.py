@@ -9,10 +9,19 @@ from array import array
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+
+from seqcast.llm.common import pieces
+from seqcast.llm.words import mixed, span_hashes, text_bytes
 
 #: Two white-space characters in a row. Between any others, a lone space opens a new piece of the byte-level
 #: splitting rule and a lone line feed is a piece of its own, whatever stands around them.
 _WHITE_RUN = re.compile(r"\s\s")
+#: Bytes that are white space other than a space or a line feed, or begin such a character.
+_MAY_BE_WHITE = np.zeros(256, bool)
+_MAY_BE_WHITE[[9, 11, 12, 13, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: The first three bytes of the white space of more than one byte, as one number; those of two bytes end in 0.
+_WIDE_WHITE = np.array(sorted(int.from_bytes(chr(c).encode().ljust(3, b"\0")[:3]) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A word of Latin letters and the marks behind it: the splitting rule takes each of the two as one piece.
 _WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)")
 
@@ -37,16 +46,68 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class PieceTable:
+    """Ids of known pieces by the pieces' 64-bit keys: open addressing in flat arrays, looked up many at a time."""
+
+    def __init__(self, bits: int, kind: type):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.entry = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.first, self.length = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.ids, self.used, self.filled = np.zeros(1 << 12, kind), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry of each key, or -1."""
+        slot = (keys >> self.shift).astype(np.int64)
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        while len(left):
+            found = self.keys[slot]
+            same = found == keys[left]
+            out[left[same]] = self.entry[slot[same]]
+            on = ~same & (found != 0)
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        """New keys, each once, with their ids."""
+        values = np.frombuffer(b"".join(ids), "<u4").astype(self.ids.dtype)
+        lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        end = self.used + len(keys)
+        self.first, self.length = (_grown(x, end) for x in (self.first, self.length))
+        self.ids = _grown(self.ids, self.filled + len(values))
+        self.first[self.used : end] = self.filled + np.cumsum(lengths) - lengths
+        self.length[self.used : end] = lengths
+        self.ids[self.filled : self.filled + len(values)] = values
+        number = np.arange(self.used, end, dtype=np.int32)
+        self.used, self.filled = end, self.filled + len(values)
+        slot = (keys >> self.shift).astype(np.int64)
+        while len(keys):  # of those that want one free slot the first gets it; the others try the next
+            _, winner = np.unique(slot, return_index=True)
+            winner = winner[self.keys[slot[winner]] == 0]
+            self.keys[slot[winner]], self.entry[slot[winner]] = keys[winner], number[winner]
+            rest = np.ones(len(keys), bool)
+            rest[winner] = False
+            keys, number, slot = keys[rest], number[rest], (slot[rest] + 1) & self.mask
+
+
+def _grown(values: np.ndarray, least: int) -> np.ndarray:
+    if len(values) >= least:
+        return values
+    out = np.zeros(max(least, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class PieceEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.
+    """Encodes texts with the tokenizers library.
 
-    A text is cut before each single space and each single line feed, where the byte-level vocabulary never joins
+    A text is cut before each single space and at each single line feed, where the byte-level vocabulary never joins
     characters, and every distinct piece is encoded once by the library. Texts with runs of white space are encoded
-    whole. Pieces are remembered in two generations of at most ``remember`` entries, which bounds memory; what is
-    forgotten is encoded anew, so results do not depend on it. Strings of special tokens in a text are ordinary text.
+    whole. At most ``remember`` pieces are remembered, which bounds memory; then all are forgotten and learnt anew, so
+    results do not depend on it. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -54,11 +115,11 @@ class PieceEncoder:
         self.library.encode_special_tokens = True
         self.library.model._resize_cache(0)  # words are remembered here
         self.merges = self.library.model.tokenize
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.line_feed = self._encoded(["\n"])[0]
         self.of_marks: dict[str, bytes] = {}
-        self.remember = remember
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.remember, self.bits = remember, max(8, (remember * 2).bit_length())
+        self.table = PieceTable(self.bits, self.kind)
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,43 +144,31 @@ class PieceEncoder:
         mapped = word if word.isascii() else word.translate(_BYTE_SIGNS)
         return array("I", [t.id for t in self.merges(f"{_SPACE_SIGN}{mapped}" if spaced else mapped)]).tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remembers the ids of pieces. One led by a line feed opens a line, any other has lost the space before it.
+    def _learnt(self, pieces: list[tuple[str, bool]]) -> list[bytes]:
+        """Ids of pieces, each with whether a space stands before it.
 
-        Most are a word with or without a mark behind it, which the splitting rule parts: the word is looked up or merged
-        by itself. Others go to the library as they are.
+        Most are a word with or without a mark behind it, which the splitting rule parts: the word is merged by itself.
+        Others go to the library as they are.
         """
-        spaced, leading, rest = [], [], []
-        young, old = self.young, self.old
-        for piece in pieces:
-            ids = old.get(piece)
-            if ids is not None:
-                young[piece] = ids
-                continue
-            opens = piece[:1] == "\n"
-            found = _WORD.fullmatch(piece, 1 if opens else 0)
+        out, rest, plain = [b""] * len(pieces), [], []
+        words: dict[tuple[str, bool], bytes] = {}
+        for i, (piece, spaced) in enumerate(pieces):
+            found = _WORD.fullmatch(piece)
             if found:
                 word, marks = found.groups()
-                if opens:
-                    young[piece] = self.line_feed + self._word(word, False) + self._marks(marks)
-                    continue
-                ids = young.get(word) or old.get(word)
+                ids = words.get((word, spaced))
                 if ids is None:
-                    ids = young[word] = self._word(word, True)
-                if marks:
-                    young[piece] = ids + self._marks(marks)
-            elif not piece or piece[-1].isspace():
-                rest.append(piece)
-            elif opens:
-                leading.append(piece)
+                    ids = words[word, spaced] = self._word(word, spaced)
+                out[i] = ids + self._marks(marks) if marks else ids
+            elif not piece or piece[-1].isspace() or piece[0].isspace() or "\n" in piece:
+                rest.append(i)
             else:
-                spaced.append(piece)
-        if spaced:
-            young.update(zip(spaced, self._encoded_lines([f" {p}" for p in spaced]), strict=True))
-        if leading:
-            young.update(zip(leading, (self.line_feed + x for x in self._encoded_lines([p[1:] for p in leading])), strict=True))
-        if rest:
-            young.update(zip(rest, self._encoded([p if p[:1] == "\n" else f" {p}" for p in rest]), strict=True))
+                plain.append(i)
+        for some, encoded in ((plain, self._encoded_lines), (rest, self._encoded)):
+            if some:
+                for i, ids in zip(some, encoded([f" {pieces[i][0]}" if pieces[i][1] else pieces[i][0] for i in some]), strict=True):
+                    out[i] = ids
+        return out
 
     def _marks(self, marks: str) -> bytes:
         ids = self.of_marks.get(marks)
@@ -129,35 +178,86 @@ class PieceEncoder:
                 self.of_marks[marks] = ids
         return ids
 
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts (null: empty), one text after another, and where each begins, with the end."""
+        ids, counts = zip(*map(self._encode_slice, pieces(column)), strict=True)
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; none for a null or empty one."""
-        if len(self.young) > self.remember:
-            self.old, self.young = self.young, {}
-        known = self.young.get
-        ids, open_texts, whole, unknown = [b""] * len(texts), [], [], set()
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if text[0].isspace() or _WHITE_RUN.search(text):
-                whole.append(i)
-                continue
-            # The line feed in front keeps the first piece from getting a space; its id is cut off below.
-            pieces = f"\n{text}".replace("\n", " \n")[1:].split(" ")
-            found = list(map(known, pieces))
-            gaps = [k for k, x in enumerate(found) if x is None]
-            if gaps:
-                unknown.update([pieces[k] for k in gaps])
-                open_texts.append((i, found, [(k, pieces[k]) for k in gaps]))
-            else:
-                ids[i] = b"".join(found)[4:]
-        self._learn(unknown)
-        for i, found, gaps in open_texts:
-            for k, piece in gaps:
-                found[k] = self.young[piece]
-            ids[i] = b"".join(found)[4:]
-        for i, encoded in zip(whole, self._encoded([texts[i] for i in whole]), strict=True):
-            ids[i] = encoded
-        return ids
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        ids, first = self.encode_column(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+    def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, and how many each has."""
+        raw, places = text_bytes(texts)
+        n = len(raw)
+        space, feed = raw == 32, raw == 10
+        head = space | feed
+        odd = self._odd(texts, raw, head, places)
+        head[places[:-1][places[:-1] < places[1:]]] = True
+        at = np.flatnonzero(head)
+        spaced, opens = space[at], feed[at]
+        begin, end = at + (spaced | opens), np.append(at[1:], n)
+        end = np.maximum(end, begin)
+        first = np.searchsorted(at, places)
+        keys = mixed(span_hashes(raw, begin, end) * np.uint64(2) + spaced) | np.uint64(1)
+        entry = self.table.find(keys)
+        wanted = entry < 0
+        for row in odd:
+            wanted[first[row] : first[row + 1]] = False
+            entry[first[row] : first[row + 1]] = -1
+        if wanted.any():
+            new, one = np.unique(keys[wanted], return_index=True)
+            one = np.flatnonzero(wanted)[one]
+            if self.table.used + len(new) > self.remember:
+                self.table = PieceTable(self.bits, self.kind)
+                return self._encode_slice(texts) if self.remember > len(keys) else self._whole(texts)
+            data = raw.tobytes()
+            learnt = self._learnt([(data[a:b].decode(), s) for a, b, s in zip(begin[one].tolist(), end[one].tolist(), spaced[one].tolist(), strict=True)])
+            self.table.add(new, learnt)
+            entry[wanted] = self.table.find(keys[wanted])
+        known = entry >= 0
+        length = np.where(known, self.table.length[entry], 0)
+        total = length + (opens & known)
+        start = np.cumsum(total) - total
+        ids = np.empty(int(total.sum()), self.kind)
+        feeds = start[opens & known]
+        ids[feeds] = int.from_bytes(self.line_feed, "little")
+        body = np.ones(len(ids), bool)
+        body[feeds] = False
+        ids[body] = self.table.ids[np.repeat(self.table.first[entry] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))]
+        sums = np.concatenate([[0], np.cumsum(total)])
+        counts = sums[first[1:]] - sums[first[:-1]]
+        if not len(odd):
+            return ids, counts
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        rows = [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        for row, whole in zip(odd, self._encoded([texts[row].as_py() for row in odd]), strict=True):
+            rows[row] = np.frombuffer(whole, "<u4").astype(self.kind)
+        return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.frombuffer(x, "<u4").astype(self.kind) for x in self._encoded(texts.to_pylist())]
+        return np.concatenate([*rows, np.zeros(0, self.kind)]), np.array([len(r) for r in rows], np.int64)
+
+    @staticmethod
+    def _odd(texts: pa.Array, raw: np.ndarray, head: np.ndarray, places: np.ndarray) -> list[int]:
+        """Rows that begin with white space or have two such characters in a row."""
+        starts = places[:-1][places[:-1] < places[1:]]
+        pairs = np.flatnonzero(head[:-1] & head[1:]) + 1
+        rows = set((np.searchsorted(places, pairs[~np.isin(pairs, starts)], side="right") - 1).tolist())
+        rows.update((np.searchsorted(places, starts[head[starts]], side="right") - 1).tolist())
+        at = np.flatnonzero(_MAY_BE_WHITE[raw])
+        if len(at):
+            three = np.concatenate([raw, np.zeros(2, np.uint8)]).astype(np.int64)
+            lead = three[at]
+            code = lead << 16 | three[at + 1] << 8 | np.where(lead == 0xC2, 0, three[at + 2])
+            at = at[(lead < 0x80) | np.isin(code, _WIDE_WHITE)]
+            found = set((np.searchsorted(places, at, side="right") - 1).tolist())
+            rows.update(row for row in found - rows if (text := texts[row].as_py())[0].isspace() or _WHITE_RUN.search(text))
+        return sorted(rows)
 
 
 def worker_encoder(path: str) -> PieceEncoder:

@@ -56,6 +56,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column without nulls, and where each begins, with the end."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    texts = texts if pa.types.is_large_string(texts.type) else texts.cast(pa.large_string())
+    places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data else np.zeros(0, np.uint8)
+    return raw, places - places[0]
+
+
+def span_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes."""
+    n = len(raw)
+    up, down = _Tables.to(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    return mixed((sums[end] - sums[begin]) * down[begin] ^ (end - begin).astype(np.uint64))
+
+
 class Words:
     """The words of a slice of texts.
 
@@ -64,11 +84,7 @@ class Words:
     """
 
     def __init__(self, texts: pa.Array, separators: np.ndarray = WHITE, lower: bool = False):
-        texts = texts.cast(pa.large_string()) if texts.type != pa.large_string() else texts
-        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        data = texts.buffers()[2] if len(texts) else None
-        self.raw = np.frombuffer(data, np.uint8)[places[0] : places[-1]] if data else np.zeros(0, np.uint8)
-        self.places = places - places[0]
+        self.raw, self.places = text_bytes(texts)
         n = len(self.raw)
         self.low = _LOWER[self.raw] if lower else self.raw
         inside = ~separators[self.raw]
@@ -80,10 +96,7 @@ class Words:
         self.first = np.searchsorted(self.begin, self.places)
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        up, down = _Tables.to(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.low] * up[:n], out=sums[1:])
-        self.hash = mixed((sums[self.end] - sums[self.begin]) * down[self.begin] ^ (self.end - self.begin).astype(np.uint64))
+        self.hash = span_hashes(self.low, self.begin, self.end)
 
     def __len__(self) -> int:
         return len(self.begin)
