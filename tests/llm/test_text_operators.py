@@ -118,7 +118,7 @@ def test_without_repeated_lines(docs):
 ITEMS = [(1, "one two three"), (2, cases.prose(random.Random(8), 30)), (2, "one two three"), (30, None), (4, ""), (None, "a b c d"), (5, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 150])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100_000])
 def test_contamination(spark, docs, block_bytes):
     passage = cases.texts()[30]
     items = [*ITEMS, (100, passage.upper()), (7, " ".join(passage.split()[3:17]))]
