@@ -1,5 +1,9 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables."""
 
+from __future__ import annotations
+
+from seqcast.llm import quality
+
 ORACLE: dict[str, str] = {}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -71,3 +75,38 @@ SELECT d.doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT
        sha256(CASE WHEN n IS NULL THEN coalesce(text, '') ELSE coalesce(x, '') END) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+# The phrases, signs and limits of the line rules, which the module of the operator documents.
+_SEPARATORS = ", ".join(f"'{s}'" for s in quality.SEPARATORS)
+_ENDINGS = "".join("\\" + e if e in "]\\" else "''" if e == "'" else e for e in quality.ENDINGS)
+_NOTICES = " OR ".join(f"contains(lower(x), '{p}')" for p in quality.NOTICES)
+_SYMBOLS = "length(regexp_replace({}, '[^#*$%&|<>]', '', 'g'))"
+
+ORACLE["op8_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
+     l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+     lw AS (SELECT doc_id, x, {_WORDS.format("x")} AS w, row_number() OVER (PARTITION BY doc_id, x ORDER BY k) AS nth FROM l),
+     c AS (SELECT *, len(w) AS n, {_SYMBOLS.format("x")} AS symbols,
+                  length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) AS upper_case, length(regexp_replace(x, '[^\p{{Ll}}]', '', 'g')) AS lower_case,
+                  length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM lw),
+     j AS (SELECT doc_id, chars, nth > 1 AND n > 0 AS repeated,
+                  n = 0 OR nth > 1
+                  OR len(list_filter(w, lambda y: y IN ({_SEPARATORS}))) >= greatest(1, 0.2e0 * n)
+                  OR symbols >= greatest(2, 0.5e0 * n)
+                  OR (upper_case >= 18 AND upper_case >= 0.9e0 * greatest(20, upper_case + lower_case))
+                  OR (n >= 10 AND (len(list_filter(w, lambda y: y = list_aggregate(w, 'mode'))) >= 0.5e0 * n
+                                   OR len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) >= 0.5e0 * n))
+                  OR (n <= 40 AND ({_NOTICES}))
+                  OR (n <= 2 AND NOT regexp_matches(x, '[{_ENDINGS}][\x20\x09-\x0D]*$')) AS failed FROM c),
+     t AS (SELECT doc_id, count(*) FILTER (repeated) AS dup, coalesce(sum(chars) FILTER (NOT failed), 0) AS stays FROM j GROUP BY doc_id),
+     win AS (SELECT doc_id, k, array_to_string(w[k : k + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d WHERE len(w) >= 8)),
+     again AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM win) WHERE c > 1),
+     r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 8)) AS p FROM again) GROUP BY doc_id),
+     b AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, {_SYMBOLS.format("text")} AS n_symbols FROM d),
+     f AS (SELECT b.*, dup, stays, coalesce(r.n, 0) AS again, n_words < 20 OR 100 * coalesce(r.n, 0) > 30 * n_words AS base_failed
+           FROM b JOIN t USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines,
+       again::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND stays >= 0.5e0 * word_chars AS kept,
+       CASE WHEN word_chars > 0 THEN stays::DOUBLE / word_chars ELSE 0.0e0 END AS kept_share
+FROM f
+"""
