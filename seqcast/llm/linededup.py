@@ -41,8 +41,9 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc, mark, runs): for each document with later copies, its maximal runs of them as structs of the first and the
-    last line (from 0, lines with content only), in order. ``mark`` is the 64-bit hash of the text."""
+    """(doc, mark, runs, removed): for each document with later copies, its maximal runs of them as structs of the first
+    and the last line (from 0, lines with content only), in order, and how many lines they hold. ``mark`` is the 64-bit
+    hash of the text."""
     prepare(docs.sparkSession)
     whole = F.col(f"`{text}`").cast("string")
     rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("mark"), F.posexplode(_lines(whole)).alias("k", "line"))
@@ -63,21 +64,22 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     gone = later.select("doc", "mark", F.explode(F.sequence("k", F.col("k") + (min_lines - 1))).alias("k")).distinct()
     one = Window.partitionBy("doc", "mark").orderBy("k")
     runs = gone.withColumn("island", F.col("k") - F.row_number().over(one)).groupBy("doc", "mark", "island").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
     """The documents with a struct column ``lines`` (underscores follow if the name is taken) as their last: ``n_lines``,
-    ``n_removed``, the ``runs`` that go (null: none) and ``kept_text``."""
+    ``n_removed``, the ``runs`` that go (null: none) and ``kept_text``.
+
+    Write the result before a Python function is applied to it: Spark 4.1 does not find one above these nested lambdas."""
     name = fresh(docs, "lines")
-    runs = written(repeated_runs(docs, key, text, min_lines), "runs").select(*(F.col(c).alias(f"{name}_{c}_") for c in ("doc", "mark", "runs")))
+    runs = written(repeated_runs(docs, key, text, min_lines), "runs").select(*(F.col(c).alias(f"{name}_{c}_") for c in ("doc", "mark", "runs", "removed")))
     whole, gone = docs[f"`{text}`"].cast("string"), F.col(f"{name}_runs_")
     met = docs.join(runs.hint("shuffle_hash"), (docs[f"`{key}`"] == F.col(f"{name}_doc_")) & (F.xxhash64(whole) == F.col(f"{name}_mark_")), "left")
     stay = F.filter(_lines(whole), lambda _, k: ~F.exists(gone, lambda r: (k >= r["first"]) & (k <= r["last"])))
-    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"] + 1)
     judged = F.struct(
         F.coalesce(F.size(_lines(whole)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.col(f"{name}_removed_"), F.lit(0)).cast("long").alias("n_removed"),
         gone.alias("runs"),
         F.when(gone.isNull(), whole).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
     )
