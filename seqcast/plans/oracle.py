@@ -65,7 +65,7 @@ _CTES = {
         {_cols('any_value(y_{f}) as y_{f}')} from test_steps group by symbol, "window\"""",
     "weight_lists": "select symbol, list(v order by k) as w from weights group by symbol",
     "one_round": f"""select symbol, "window", date, 'close' as category,
-        round((list_inner_product(x, w[1:{L * len(FEATURES)}]) + w[-1]) * (max_close - min_close) + min_close, 4) as prediction,
+        round((list_inner_product(x, w[1:{L * len(FEATURES)}]) + w[-1]) * (max_close - min_close) + min_close, 2) as prediction,
         y_close as actual from test_vectors join weight_lists using (symbol) join ranges using (symbol)""",
     "vectors_all": f"""select symbol, i, flatten(list([{_cols('x_{f}')}] order by t)) as x,
         [{_cols('max(y_{f}) filter (where t = ' + str(L - 1) + ')')}] as y from train_steps group by symbol, i""",
@@ -237,7 +237,7 @@ ORACLE: dict[str, str] = {
     "one_round_forecast": _with("select * from one_round", "one_round"),
     "reloaded_forecast": _with("select * from one_round", "one_round"),
     "one_round_forecast_all": _with(
-        f"""select symbol, "window", date, 'all' as category, {", ".join(f'round((list_inner_product(x, w{k}[1:{L * len(FEATURES)}]) + w{k}[-1]) * (max_{f} - min_{f}) + min_{f}, 4) as prediction_{f}' for k, f in enumerate(FEATURES, 1))},
+        f"""select symbol, "window", date, 'all' as category, {", ".join(f'round((list_inner_product(x, w{k}[1:{L * len(FEATURES)}]) + w{k}[-1]) * (max_{f} - min_{f}) + min_{f}, 2) as prediction_{f}' for k, f in enumerate(FEATURES, 1))},
             {_cols('y_{f} as actual_{f}')}
             from test_vectors join ranges using (symbol) join (
                 select symbol, {", ".join(f'any_value(w) filter (where o = {k}) as w{k}' for k in range(1, len(FEATURES) + 1))}

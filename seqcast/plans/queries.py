@@ -350,7 +350,7 @@ def _one_round_forecast(spark: SparkSession, sf_dir: str, by: str, reload: bool)
     train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
     model, _ = fit_averaged(train, LinearKernel(), **ONE_ROUND)
     out = predict.predict_one_ahead(_reloaded(spark, model) if reload else model, test)
-    return out.withColumn("prediction", F.round("prediction", 4))
+    return out.withColumn("prediction", F.round("prediction", 2))
 
 
 @_query
@@ -371,7 +371,7 @@ def one_round_forecast_all(spark: SparkSession, sf_dir: str, by: str = "brand")
     train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by), category="all")
     model, _ = fit_averaged(train, LinearKernel("all"), **ONE_ROUND)
     out = predict.predict_all(model, test)
-    spelled = [F.round(F.get("prediction", F.lit(k)), 4).alias(f"prediction_{f}") for k, f in enumerate(FEATURES)]
+    spelled = [F.round(F.get("prediction", F.lit(k)), 2).alias(f"prediction_{f}") for k, f in enumerate(FEATURES)]
     return out.select("symbol", "window", "date", "category", *spelled, *_spelled("actual", "actual"))
 
 
