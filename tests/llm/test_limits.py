@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 from seqcast.llm import neardup
 from tests.llm import brute, cases
 
@@ -35,3 +36,25 @@ def test_small_sets_link(spark):
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     cases.same([tuple(r) for r in found], expected)
     assert neardup.links_others(6) and not neardup.links_others(5)
+
+
+def test_stage_drops_from_four_fifths_on(spark):
+    rng, base = random.Random(4), cases.prose(random.Random(5), 150).split(" ")
+    rows = short_texts()
+    for k in range(150):
+        copy = list(base) if k % 2 else cases.prose(rng, 60).split(" ")
+        edited = list(copy)
+        for _ in range(3 if k % 2 else 1):
+            edited[rng.randrange(len(edited))] = f"new{rng.randrange(10**6)}"
+        rows += [(len(rows) + j, " ".join(x)) for j, x in enumerate((copy, edited))]
+    stay, by_op1 = ({r[0] for r in linked(rows, p) if r[3]} for p in (80, 85))
+    assert len(stay) < len(by_op1) - 20
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], cases.SCHEMA)
+    cases.same([(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()], [r for r in rows if r[0] in stay])
+    cases.same([tuple(r) for r in neardup.near_duplicates(docs, percent=80).collect()], linked(rows, 80))
+
+
+def test_bands_follow_the_threshold():
+    assert neardup.banding(85) == (25, 5) and neardup.banding(80) == (32, 4)
+    assert neardup.margin(85) == neardup.MARGIN and neardup.margin(80) > 0.176
+    assert neardup.links_others(4, 80) and not neardup.links_others(3, 80)
