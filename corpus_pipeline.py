@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines of later copies of a run; one without any line left goes."""
-    return linededup.without_repeated_lines(docs)
+    """Documents less the lines of later copies of a run (three lines, or fewer with 50 words); one without any left goes."""
+    return linededup.without_repeated_lines(docs, min_words=linededup.MIN_WORDS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ longest common prefix is at least that long are then just the groups of equal ra
 the first copy of its run; lines that any other suffix of it covers are deleted. What follows each other in a document
 makes its maximal repeated runs.
 
+With ``min_words``, a run of fewer lines counts too if it holds that many words: ranks then grow by one line a round, and
+of each round the intervals whose lines hold enough words are taken as well. Words lie between ASCII white space.
+
 All of it is DataFrame functions. Ranks come from a range partitioning of *distinct* keys with their counts, and are the
 places in that order (with gaps), so that no window or sort holds a hot line: a line that a third of all documents have
 is one key. Suffixes whose rank is theirs alone cannot begin a repeated run and leave after each round, which leaves a
@@ -27,7 +30,10 @@ from seqcast.llm.common import fresh, prepare, written
 
 #: Lines of the shortest run that counts as repeated.
 MIN_LINES = 3
+#: Words from which a shorter run counts in a corpus; the query goes by lines alone, as its SQL does.
+MIN_WORDS = 50
 _CONTENT = r"[^\x20\x09-\x0D]"
+_WORD = _CONTENT + "+"
 
 
 def _lines(text: Column) -> Column:
@@ -40,40 +46,59 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
     return written(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()), "ranks")
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def _later(suffixes: DataFrame, lines: int) -> DataFrame:
+    """The lines that suffixes beyond the first of their rank cover."""
+    place = F.struct("doc", "mark", "k")
+    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
+    later = suffixes.join(first, "rank").where(place > F.col("first"))
+    return later.select("doc", "mark", F.explode(F.sequence("k", F.col("k") + (lines - 1))).alias("k"))
+
+
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """(doc, mark, runs, removed): for each document with later copies, its maximal runs of them as structs of the first
     and the last line (from 0, lines with content only), in order, and how many lines they hold. ``mark`` is the 64-bit
-    hash of the text."""
+    hash of the text. A run has ``min_lines`` lines or, if given, ``min_words`` words."""
     prepare(docs.sparkSession)
     whole = F.col(f"`{text}`").cast("string")
     rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").alias("doc"), F.xxhash64(whole).alias("mark"), F.posexplode(_lines(whole)).alias("k", "line"))
-    lines = written(rows.select("doc", "mark", "k", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")).distinct(), "lines")
+    # Words of the first line, and of all lines that the rank stands for.
+    own = [] if min_words is None else [F.regexp_count("line", F.lit(_WORD)).alias("own")]
+    counted = [] if min_words is None else ["own", "total"]
+    lines = written(rows.select("doc", "mark", "k", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *own).distinct(), "lines")
     ranks = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "h1", "h2")
-    suffixes = written(lines.join(ranks, ["h1", "h2"]).select("doc", "mark", "k", F.col("place").alias("rank")), "suffixes")
-    known = 1
+    met = lines.join(ranks, ["h1", "h2"])
+    if counted:
+        met = met.withColumn("total", F.col("own"))
+    suffixes = written(met.select("doc", "mark", "k", F.col("place").alias("rank"), *counted), "suffixes")
+    known, short = 1, []
     while known < min_lines:
-        step = min(known, min_lines - known)
-        on = suffixes.select("doc", "mark", (F.col("k") - step).alias("k"), F.col("rank").alias("then"))
-        pairs = written(suffixes.join(on, ["doc", "mark", "k"]), "pairs")
+        if counted:
+            short.append(_later(suffixes.where(F.col("total") >= min_words), known))
+        step = 1 if counted else min(known, min_lines - known)
+        on = suffixes.select("doc", "mark", (F.col("k") - step).alias("k"), F.col("rank").alias("then"), *(F.col(c).alias("rest") for c in counted[1:]))
+        pairs = suffixes.join(on, ["doc", "mark", "k"])
+        if counted:
+            pairs = pairs.withColumn("total", F.col("own") + F.col("rest")).drop("rest")
+        pairs = written(pairs, "pairs")
         ranks = _ranked(pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1").select("rank", "then"), "rank", "then")
-        suffixes = written(pairs.join(ranks, ["rank", "then"]).select("doc", "mark", "k", F.col("place").alias("rank")), "suffixes")
+        suffixes = written(pairs.join(ranks, ["rank", "then"]).select("doc", "mark", "k", F.col("place").alias("rank"), *counted), "suffixes")
         known += step
-    place = F.struct("doc", "mark", "k")
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
-    later = suffixes.join(first, "rank").where(place > F.col("first"))
-    gone = later.select("doc", "mark", F.explode(F.sequence("k", F.col("k") + (min_lines - 1))).alias("k")).distinct()
+    gone = _later(suffixes, min_lines)
+    for found in short:
+        gone = gone.union(found)
+    gone = gone.distinct()
     one = Window.partitionBy("doc", "mark").orderBy("k")
     runs = gone.withColumn("island", F.col("k") - F.row_number().over(one)).groupBy("doc", "mark", "island").agg(F.min("k").alias("first"), F.max("k").alias("last"))
     return runs.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"), F.sum(F.col("last") - F.col("first") + 1).alias("removed"))
 
 
-def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """The documents with a struct column ``lines`` (underscores follow if the name is taken) as their last: ``n_lines``,
     ``n_removed``, the ``runs`` that go (null: none) and ``kept_text``.
 
     Write the result before a Python function is applied to it: Spark 4.1 does not find one above these nested lambdas."""
     name = fresh(docs, "lines")
-    runs = written(repeated_runs(docs, key, text, min_lines), "runs").select(*(F.col(c).alias(f"{name}_{c}_") for c in ("doc", "mark", "runs", "removed")))
+    runs = written(repeated_runs(docs, key, text, min_lines, min_words), "runs").select(*(F.col(c).alias(f"{name}_{c}_") for c in ("doc", "mark", "runs", "removed")))
     whole, gone = docs[f"`{text}`"].cast("string"), F.col(f"{name}_runs_")
     met = docs.join(runs.hint("shuffle_hash"), (docs[f"`{key}`"] == F.col(f"{name}_doc_")) & (F.xxhash64(whole) == F.col(f"{name}_mark_")), "left")
     stay = F.filter(_lines(whole), lambda _, k: ~F.exists(gone, lambda r: (k >= r["first"]) & (k <= r["last"])))
@@ -86,10 +111,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
     return met.select(*(docs[f"`{c}`"] for c in docs.columns), judged.alias(name))
 
 
-def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """The documents, with their columns, less the lines of later copies. One that loses all of its lines goes; a count
     of characters (``n_chars``) is brought up to date."""
-    judged = line_dedup(docs, key, text, min_lines)
+    judged = line_dedup(docs, key, text, min_lines, min_words)
     verdict = F.col(f"`{judged.columns[-1]}`")
     changed = verdict["n_removed"] > 0
     values = {c: F.col(f"`{c}`") for c in docs.columns}

@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from seqcast.llm import neardup
+from seqcast.llm import linededup, neardup
 from tests.llm import brute, cases
 
 
@@ -58,3 +60,44 @@ def test_bands_follow_the_threshold():
     assert neardup.banding(85) == (25, 5) and neardup.banding(80) == (32, 4)
     assert neardup.margin(85) == neardup.MARGIN and neardup.margin(80) > 0.176
     assert neardup.links_others(4, 80) and not neardup.links_others(3, 80)
+
+
+def long_runs(rows, least, words):
+    """rows (id, text) in order -> (id, text that stays): later copies of ``least`` lines, or fewer with enough words, go."""
+    first, out = {}, []
+    found = [(i, brute.lines(t)) for i, t in rows]
+    for i, x in found:
+        for h in range(1, least + 1):
+            for k, run in enumerate(brute.windows(x, h)):
+                first.setdefault(run, (i, k))
+    for (i, x), (_, t) in zip(found, rows, strict=True):
+        gone = set()
+        for h in range(1, least + 1):
+            for k, run in enumerate(brute.windows(x, h)):
+                if first[run] < (i, k) and (h == least or len(brute.words("\n".join(run))) >= words):
+                    gone.update(range(k, k + h))
+        if len(gone) < len(x) or not x:
+            out.append((i, t if not gone else "\n".join(y for k, y in enumerate(x) if k not in gone)))
+    return out
+
+
+def texts_with_long_lines():
+    rng = random.Random(31)
+    long, just, below = (cases.prose(rng, n) for n in (80, 50, 49))
+    two, short = [cases.prose(rng, 25), cases.prose(rng, 30)], "Read more below."
+    texts = [cases.prose(rng, 9) + "\n" + long, long, "Other start.\n" + long + "\n" + short, just, just, below, below, short, short]
+    texts += ["\n".join([cases.prose(rng, 7), *two]), "\n".join([*two, cases.prose(rng, 8)]), two[0] + "\n" + short, f"{long}\n{cases.prose(rng, 4)}\n{long}", "", " "]
+    run = [cases.prose(rng, 20) for _ in range(4)]
+    return list(enumerate([*texts, "\n".join(run), "\n".join([cases.prose(rng, 3), *run[1:], cases.prose(rng, 3)])]))
+
+
+@pytest.mark.parametrize("least", [3, 5])
+def test_runs_of_few_long_lines(spark, least):
+    rows = texts_with_long_lines()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], cases.SCHEMA)
+    left = linededup.without_repeated_lines(docs, min_lines=least, min_words=50)
+    expected = long_runs(rows, least, 50)
+    cases.same([(r["doc_id"], r["text"]) for r in left.collect()], expected)
+    assert {1, 4} & {i for i, _ in expected} == set() and {5, 6, 7, 8} <= {i for i, _ in expected}
+    if least == 3:
+        cases.same([(r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()], expected)
