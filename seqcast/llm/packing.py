@@ -1,7 +1,8 @@
 """Harmonic packing of tokenized documents into sequences of fixed length.
 
 Pieces are put into reciprocal-capacity classes: a piece of length n is of class k when n lies in (capacity / (k + 1),
-capacity / k], and a bin of class k is closed after exactly k pieces of one length. Every task fills the bins of its own
+capacity / k], and a bin of class k is closed after exactly k pieces of any lengths of that class; lengths that divide the
+capacity have bins of their own. Every task fills the bins of its own
 partition, so no rows move. Documents may be cut, so most lengths are made to be the upper ends of their classes: a
 document gives whole sequences first, then the binary digits of the rest down to ``SMALLEST``, which fill their bins
 without a gap, and a tail below ``SMALLEST``, whose bins waste less than one tail. What lies in bins that never get full
@@ -46,11 +47,11 @@ def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int
 
 
 class Bins:
-    """Open bins by length of piece; a closed one becomes rows with sequence and offset."""
+    """Open bins by class of piece; a closed one becomes rows with sequence and offset."""
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.open: dict[tuple[int, bool], list[tuple]] = defaultdict(list)
 
     def _closed(self, pieces: list[tuple]) -> list[tuple]:
         rows, offset = [], 0
@@ -62,11 +63,12 @@ class Bins:
 
     def put(self, piece: tuple) -> list[tuple]:
         """Adds a piece (key, start, length, ...); the rows of its bin if that is full now."""
-        pieces = self.open[piece[2]]
+        own = (self.capacity // piece[2], self.capacity % piece[2] == 0)
+        pieces = self.open[own]
         pieces.append(piece)
-        if len(pieces) < self.capacity // piece[2]:
+        if len(pieces) < own[0]:
             return []
-        return self._closed(self.open.pop(piece[2]))
+        return self._closed(self.open.pop(own))
 
     def rest(self) -> Iterator[list[tuple]]:
         """What is left, longest first into the first sequence with room."""

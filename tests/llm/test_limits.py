@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from seqcast.llm import linededup, neardup
+from seqcast.llm import linededup, neardup, packing
 from tests.llm import brute, cases
 
 
@@ -101,3 +101,11 @@ def test_runs_of_few_long_lines(spark, least):
     assert {1, 4} & {i for i, _ in expected} == set() and {5, 6, 7, 8} <= {i for i, _ in expected}
     if least == 3:
         cases.same([(r["doc_id"], r["text"]) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()], expected)
+
+
+def test_bins_hold_a_class():
+    bins = packing.Bins(2048, 0)
+    closed = [bins.put((k, 0, 50 + k % 2)) for k in range(40)]  # 2048 // 50 == 2048 // 51 == 40
+    assert closed[:-1] == [[]] * 39 and len(closed[-1]) == 40 and not bins.open
+    mixed = [bins.put((k, 0, 63 + k % 2)) for k in range(62)]  # one class, but 64 fills its bins without a gap
+    assert mixed == [[]] * 62 and len(bins.open) == 2
