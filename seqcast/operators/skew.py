@@ -1,25 +1,57 @@
-"""Joins on the symbol that stay even when one symbol holds much of the rows."""
+"""Joins with a table of one row per key that stay even when one key holds much of the rows."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
-SALTS = 16
-SALT = "_salt"
+#: A key is hot from this share of all rows on (one in ``HOT``); so there are at most ``HOT`` hot keys, whatever the data.
+HOT = 1024
+SALT, SALTS = "_salt", "_salts"
 
 
-def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread_by: str = "date", salts: int = SALTS) -> DataFrame:
-    """Joins ``rows`` with a table of one row per symbol.
+def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """``*keys, _salts`` of the hot keys of a table with the rows ``n`` of every key.
 
-    Each symbol is split into ``salts`` keys by the value of ``spread_by``, and
-    the small table repeated for each of them; raise it with the bars of the
-    largest symbol, to about one key per few gigabytes. If Spark finds the table small
-    enough to broadcast, it does; if not, a hot symbol is many keys, and since
-    nothing after the join can rely on its partitioning, adaptive execution is
-    free to split what is still too large.
+    ``_salts`` says into how many keys a hot key must be cut to leave at most
+    one in ``HOT`` of all rows in each. The table has at most ``HOT`` rows, and
+    its salts add up to at most twice as many.
     """
-    each = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    # Never NULL, so that the join puts no filter below itself and shuffles can be reused.
-    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"), F.lit(0))
-    salted = rows.withColumn(SALT, salt)
-    return salted.join(table.withColumn(SALT, each), ["symbol", SALT], how).drop(SALT)
+    total = counts.agg(F.sum(n)).scalar()
+    salts = F.ceil(F.col(n) * HOT / total).cast("int")
+    return counts.where(F.col(n) * HOT > total).select(*keys, salts.alias(SALTS))
+
+
+def join_on_key(
+    rows: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    how: str = "inner",
+    counts: DataFrame | None = None,
+    spread_by: Sequence[str] = (),
+) -> DataFrame:
+    """Joins ``rows`` with a table that has few rows per key, on the columns ``keys``.
+
+    Hot keys alone are cut into salted keys, by the values of ``spread_by``, and
+    only their rows of the table are repeated; all other keys join as they are.
+    ``counts`` (``*keys, n``) are the rows of each key where the caller has them,
+    else one aggregate with map-side combine counts them. The list of hot keys
+    is broadcast, as its size has a bound; if Spark finds the table small enough
+    to broadcast, it does that too, and nothing is shuffled. The join is an
+    inner, left, left semi or left anti join.
+    """
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = F.broadcast(hot_keys(counts, keys))
+    salts = F.coalesce(SALTS, F.lit(1))
+    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread_by or keys)), salts).cast("int")
+    salted = rows.join(hot, list(keys), "left").withColumn(SALT, spread).drop(SALTS)
+    each = F.explode(F.sequence(F.lit(0), salts - 1))
+    repeated = table.join(hot, list(keys), "left").withColumn(SALT, each).drop(SALTS)
+    return salted.join(repeated, [*keys, SALT], how).drop(SALT)
+
+
+def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread_by: str = "date", counts: DataFrame | None = None) -> DataFrame:
+    """Joins ``rows`` with a table of one row per symbol; ``counts`` (``symbol, n``) if the caller has them."""
+    return join_on_key(rows, table, ["symbol"], how, counts, [spread_by])
