@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqcast.llm import quality
+from seqcast.llm import quality, urlfilter
 
 ORACLE: dict[str, str] = {}
 
@@ -110,3 +110,57 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        CASE WHEN word_chars > 0 THEN stays::DOUBLE / word_chars ELSE 0.0e0 END AS kept_share
 FROM f
 """
+
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_sum([a.q[k] * b.q[k] FOR k IN range(1, len(a.q) + 1)])::BIGINT AS s
+           FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 100 = 0),
+     p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY p.a, p ORDER BY s DESC, b)::INTEGER AS rank,
+       b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT same AND 30 * ps <= 100 * s AND 100 * s <= 90 * ps
+QUALIFY rank <= 10
+"""
+
+# One step of the checksum for each of the eight bits of a byte.
+_CRC = "xor(list_reduce([4294967295] || [ord(d)::BIGINT FOR d IN string_split({}, '')], lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+ORACLE["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS l
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     h AS (SELECT conv_id, l, {_CRC.format("conv_id::VARCHAR")} % 9 AS h FROM t),
+     c AS (SELECT h.conv_id, coalesce(b.l[1 : h], []) || h.l[h + 1 :] AS l FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+     cut AS (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS depth FROM c),
+     node AS (SELECT md5(l[1 : depth]::VARCHAR) AS key, depth, min(conv_id) AS conv_id, count(*) AS n,
+                     any_value(CASE WHEN depth > 0 THEN md5(l[1 : depth - 1]::VARCHAR) END) AS up,
+                     any_value(CASE WHEN depth > 0 THEN strlen(l[depth].t) ELSE 0 END) AS bytes,
+                     sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = len(l)), '')) AS ends,
+                     any_value([md5(l[1 : k]::VARCHAR) FOR k IN range(0, depth + 1)]) AS path
+              FROM cut GROUP BY key, depth),
+     kids AS (SELECT up AS key, count(*) AS n FROM node GROUP BY up),
+     below AS (SELECT over AS key, sum((n - 1) * bytes) AS saved, count(*) FILTER (leaf) AS leaves
+               FROM (SELECT unnest(path) AS over, node.n, bytes, kids.n IS NULL AS leaf FROM node LEFT JOIN kids USING (key)) GROUP BY over)
+SELECT node.conv_id, node.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, node.n::BIGINT AS n_convs,
+       coalesce(kids.n, 0)::BIGINT AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, node.ends AS ends_sha256
+FROM node LEFT JOIN node parent ON parent.key = node.up LEFT JOIN kids ON kids.key = node.key JOIN below ON below.key = node.key
+"""
+
+_PATTERNS = [(rf"(^|$|[^a-z0-9]){r[1:-1]}(^|$|[^a-z0-9])" if r.startswith("^") else rf"^([^/]*[.])?{r[2:-1]}(^|$|[^a-z0-9])", r, v) for r, v in urlfilter.PATTERN_RULES]
+_SITE_VALUES = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in urlfilter.SITE_RULES)
+_PATTERN_VALUES = ", ".join(f"('{e}', '{r}', '{v}')" for e, r, v in _PATTERNS)
+
+ORACLE["op13_url_filters"] = rf"""
+WITH r(host, path, verdict) AS (VALUES {_SITE_VALUES}),
+     f(expression, pattern, verdict) AS (VALUES {_PATTERN_VALUES}),
+     p AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
+                  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+     s AS (SELECT page_id, max({{'n': len(r.host || r.path), 'rule': r.host || r.path, 'verdict': verdict}}) AS best
+           FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id),
+     q AS (SELECT page_id, max({{'allows': verdict = 'allow', 'pattern': pattern, 'verdict': verdict}}) AS best
+           FROM p JOIN f ON regexp_matches({_LOWER.format("host || path")}, expression) GROUP BY page_id)
+SELECT p.page_id, host, path, s.best.rule AS rule, q.best.pattern AS pattern, coalesce(s.best.verdict, q.best.verdict, 'allow') AS verdict
+FROM p LEFT JOIN s USING (page_id) LEFT JOIN q USING (page_id)
+"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqcast.llm import decontam, langid, linededup, lm, neardup, packing, quality, substrings, tokenfiles, warc
-from seqcast.llm.common import table
+from seqcast.llm import convtrie, decontam, langid, linededup, lm, neardup, negatives, packing, quality, substrings, tokenfiles, urlfilter, warc
+from seqcast.llm.common import table, written
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -83,3 +83,29 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.usable(vectors.withColumn("label", label)), F.col("id") % 100 == 0)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = written(convtrie.conversations_of(table(spark, sf_dir, "conversations")), "conversations")
+    taken = F.crc32(F.col("conv").cast("string")) % 9
+    # Conversation c begins with turns of conversation c - c % 5, which at most eight others begin with too.
+    bases = own.where("conv % 5 = 0").select(F.col("conv").alias("base"), convtrie.turns_between(F.col("turns"), F.lit(0), F.lit(8)).alias("lent"))
+    met = own.withColumn("base", F.expr("conv - conv % 5")).join(bases, "base", "left")
+    begin = convtrie.turns_between(F.coalesce("lent", F.lit(b"")), F.lit(0), taken)
+    rebuilt = met.select("conv", F.concat(begin, convtrie.turns_between(F.col("turns"), taken)).alias("turns"))
+    return convtrie.prefix_trie(rebuilt).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = urlfilter.rules_of(spark, urlfilter.SITE_RULES + urlfilter.PATTERN_RULES)
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.select("page_id", *(f"judged.{c}" for c in ("host", "path", "rule", "pattern", "verdict")))

@@ -19,7 +19,7 @@ SF_DIR = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.001")
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from read_parquet('{SF_DIR}/{table}.parquet')")
     got = REGISTRY[name](spark, SF_DIR)
     want = con.sql(ORACLE[name])
