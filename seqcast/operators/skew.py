@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: A key is hot from this share of all rows on (one in ``HOT``); so there are at most ``HOT`` hot keys, whatever the data.
 HOT = 1024
-SALT, SALTS = "_salt", "_salts"
+SALTS = "_salts"
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
@@ -43,13 +43,15 @@ def join_on_key(
     """
     if counts is None:
         counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.broadcast(hot_keys(counts, keys))
-    salts = F.coalesce(SALTS, F.lit(1))
+    taken = {c.lower() for c in (*rows.columns, *table.columns)}
+    salt, many = (next(name for k in range(len(taken) + 1) if (name := stem + "_" * k) not in taken) for stem in ("_salt", SALTS))
+    hot = F.broadcast(hot_keys(counts, keys).withColumnRenamed(SALTS, many))
+    salts = F.coalesce(many, F.lit(1))
     spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in spread_by or keys)), salts).cast("int")
-    salted = rows.join(hot, list(keys), "left").withColumn(SALT, spread).drop(SALTS)
+    salted = rows.join(hot, list(keys), "left").withColumn(salt, spread).drop(many)
     each = F.explode(F.sequence(F.lit(0), salts - 1))
-    repeated = table.join(hot, list(keys), "left").withColumn(SALT, each).drop(SALTS)
-    return salted.join(repeated, [*keys, SALT], how).drop(SALT)
+    repeated = table.join(hot, list(keys), "left").withColumn(salt, each).drop(many)
+    return salted.join(repeated, [*keys, salt], how).drop(salt)
 
 
 def join_on_symbol(rows: DataFrame, table: DataFrame, how: str = "inner", spread_by: str = "date", counts: DataFrame | None = None) -> DataFrame:

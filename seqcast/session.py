@@ -7,7 +7,7 @@ import sys
 import uuid
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "seqcast", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,6 +41,24 @@ def new_table_folder(spark: SparkSession, name: str) -> str:
     return _FOLDERS[-1]
 
 
+def bucketed_table(df: DataFrame, name: str, *keys: str, sorted_by: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """The rows, written once in the shared folder in buckets by ``keys`` and read back.
+
+    A join or aggregate on the keys then moves only its other side. There are as
+    many buckets as the session has shuffle partitions, if nothing else is
+    said, and one file for each. The catalog of the session knows the table by
+    the name of its folder.
+    """
+    spark = df.sparkSession
+    path = new_table_folder(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys)
+    writer = dealt.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*(sorted_by or keys))
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def remove_folders() -> int:
     """Removes every folder this process has had from :func:`new_table_folder`, and says how many there were.
 
