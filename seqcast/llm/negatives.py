@@ -73,7 +73,7 @@ def _nearest(rows: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def codebook(rows: np.ndarray, codes: int = CODES, rounds: int = ROUNDS) -> np.ndarray:
     """Codes of one half by k-means, from evenly spread rows of the sample."""
-    rows = rows.astype(np.float64)
+    rows = rows.astype(np.float64) if len(rows) else np.zeros((1, rows.shape[1]))
     now = rows[np.linspace(0, len(rows) - 1, min(codes, len(rows))).astype(int)].copy()
     for _ in range(rounds):
         mine = _nearest(rows, now)

@@ -3,16 +3,19 @@
 The reference is every document with a smaller id. Its index holds *phrases*: the windows of ``WINDOW`` words that
 follow one another and have the same least shingle (of ``ANCHOR`` words), taken with all their words. Where two texts
 have a passage in common, they have its phrases in common, whatever stands around it; so one row for about five words is
-enough to index, and equal phrases fold into one row with the first document that has it. Index blocks are the
-partitions of that table: a document is looked up in each block that holds one of its anchors.
+enough to index. Index blocks are the shuffle partitions of the phrases by their anchor: there each phrase meets the
+first document, and the place in it, where it stands whole.
 
-A document is then parsed greedily: phrases that an earlier document holds whole are factors. At factor boundaries, where
-a phrase is new but its anchor is not, the windows inside the phrase are looked up one by one in the same way, in an
-index of the boundary windows. Factors of at least ``WINDOW`` words are the duplicate spans.
+A document is then parsed greedily from left to right: a factor begins at the first phrase with a place in the reference,
+and goes on as long as the next phrase's place follows in the same document; it ends at a mismatch or where an earlier
+reference takes over. At factor boundaries, where a phrase has no place but its anchor also stands elsewhere, the
+windows inside it are looked up one by one in the same way, and lengthen the factors. All factors have at least
+``WINDOW`` words: they are the duplicate spans, given with the document and the place that they copy.
 
-Only anchors that occur in more than one document go on to the lookups, which leaves a small part of a clean corpus.
-Hot passages fold before they are shuffled, and the joins that bring the first document back are on an index with one
-row per key, so that adaptive execution may split the other side.
+A text is hashed into phrases once, and moved once, into a table of buckets by document, which meets the lists of places
+without moving again. In an index block rows are sorted and passed over (with room on disk), so that no group is held.
+An anchor that much of a sample of documents has (``HOT_DOCS`` of ``SAMPLE_DOCS``, for how rows are dealt out alone) is
+aggregated before the shuffle instead, and its rows meet the first places in a join that splits hot keys.
 
 Defined cases. Null text, text without words or with fewer than a window: nothing is removed. A null id: the row is
 never a reference and loses nothing. Rows with one id are one document with several texts, none earlier than the other;
@@ -26,18 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcast.llm.common import pieces, prepare, written
 from seqcast.llm.words import Words
+from seqcast.operators.skew import hot_keys, join_on_key
+from seqcast.session import bucketed_table
 
 #: Words of a window, the least length of a duplicate span.
 WINDOW = 13
 #: Words of an anchor shingle.
 ANCHOR = 6
-#: Phrases that a task folds before it sends them on.
-FOLD_ROWS = 1 << 19
+#: An anchor is hot if at least so many of a sample of so many documents have it.
+HOT_DOCS, SAMPLE_DOCS = 64, 4096
+#: Rows of windows that are sampled to find hot ones.
+SAMPLE_WINDOWS = 1 << 18
 
 
 def phrases(words: Words, size: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -71,135 +78,169 @@ def phrases(words: Words, size: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.
     return least[first].view(np.int64), whole.view(np.int64), row, first - words.first[row], many
 
 
-def _phrase_rows(size: int, anchor: int, places: bool):
-    """Rows (anchor, phrase, doc, place) of all phrases, or distinct (anchor, doc) pairs without their places."""
-    names = ["anchor", "phrase", "doc", "place"] if places else ["anchor", "low", "high"]
+def _first_word(place):
+    """The first word of a phrase or window, from its place."""
+    return place >> 5 & 0x3FFFFFFFF
 
-    def folded(anchors: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
-        a, d = np.concatenate(anchors), np.concatenate(docs)
-        order = np.lexsort((d, a))
-        a, d = a[order], d[order]
-        first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        last = np.append(first[1:], len(a)) - 1
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(d[first]), pa.array(d[last])], names=names)
+
+def _phrase_rows(size: int, anchor: int):
+    """Rows (anchor, phrase, doc, place) of all phrases of (doc, mark, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, anchors, docs = 0, [], []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            marks = batch.column(1).to_numpy(zero_copy_only=False)
+            marks = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             at = 0
             for part in pieces(batch.column(2)):
                 a, p, row, start, many = phrases(Words(part), size, anchor)
-                doc = ids[at + row]
-                if places:
-                    # In one number: 24 bits of the text's hash, 34 of the first word, 5 of the number of windows.
-                    place = (marks[at + row].astype(np.int64) & 0xFFFFFF) << 39 | start << 5 | many
-                    for i in range(0, len(a), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, p, doc, place)], names=names)
-                else:
-                    anchors.append(a)
-                    docs.append(doc)
-                    held += len(a)
-                    if held >= FOLD_ROWS:
-                        yield folded(anchors, docs)
-                        held, anchors, docs = 0, [], []
+                # In one number: 24 bits of the text's hash, 34 of the first word, 5 of the number of windows.
+                place = marks[at + row] << 39 | start << 5 | many
+                for i in range(0, len(a), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (a, p, ids[at + row], place)], names=["anchor", "phrase", "doc", "place"])
                 at += len(part)
-        if held:
-            yield folded(anchors, docs)
 
     return run
 
 
 def _window_rows(size: int):
-    """Rows (w1, w2, doc, place) of the single windows of the phrases listed beside a text."""
+    """Rows (w1, w2, doc, place) of the single windows of the phrases listed beside a text, in (doc, text, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, listed = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            ids, (places, offsets) = batch.column(0).to_numpy(zero_copy_only=False), _lists(batch.column(2))
             at = 0
             for part in pieces(batch.column(1)):
                 words = Words(part)
-                begin, row, place = [], [], []
-                for i in range(len(part)):
-                    for p in listed[at + i].as_py():
-                        begin.append(int(words.first[i]) + ((p >> 5) & 0x3FFFFFFFF) + np.arange(p & 31))
-                        row.append(np.full(p & 31, i))
-                        place.append((p >> 39 << 39 | ((p >> 5) & 0x3FFFFFFFF) << 5 | 1) + (np.arange(p & 31) << 5))
-                if begin:
-                    begin, row, place = np.concatenate(begin), np.concatenate(row), np.concatenate(place)
-                    columns = (words.window_hash(begin, size, 1).view(np.int64), words.window_hash(begin, size, 2).view(np.int64), ids[at + row], place)
-                    for i in range(0, len(begin), 50_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in columns], names=["w1", "w2", "doc", "place"])
+                listed = places.to_numpy(zero_copy_only=False)[offsets[at] : offsets[at + len(part)]]
+                row = np.repeat(np.arange(len(part)), np.diff(offsets[at : at + len(part) + 1]))
+                many = listed & 31
+                nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                listed, row = np.repeat(listed, many), np.repeat(row, many)
+                begin = words.first[row] + _first_word(listed) + nth
+                place = (listed >> 5 << 5 | 1) + (nth << 5)
+                for i in range(0, len(begin), 50_000):
+                    to = begin[i : i + 50_000]
+                    columns = (words.window_hash(to, size, 1).view(np.int64), words.window_hash(to, size, 2).view(np.int64), ids[at + row[i : i + 50_000]], place[i : i + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["w1", "w2", "doc", "place"])
                 at += len(part)
 
     return run
 
 
+def _lists(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a column of lists (null: empty), and where each list begins, with the end."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def factors(begin: np.ndarray, many: np.ndarray, row: np.ndarray, reference: np.ndarray, position: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Row, first word, length, reference and position of the factors, from phrases and windows with their places in
+    the reference: one goes on as long as the next place follows in the same text, without a window between."""
+    order = np.lexsort((begin, row))
+    begin, many, row, reference, position = (x[order] for x in (begin, many, row, reference, position))
+    same = (row[1:] == row[:-1]) & (reference[1:] == reference[:-1]) & (position[1:] >> 39 == position[:-1] >> 39)
+    follows = (begin[1:] == begin[:-1] + many[:-1]) & (_first_word(position[1:]) == _first_word(position[:-1]) + many[:-1])
+    starts = np.flatnonzero(np.append(True, ~(same & follows)))
+    length = np.add.reduceat(many, starts) + size - 1
+    return row[starts], begin[starts], length, reference[starts], _first_word(position[starts])
+
+
 def _parsed(size: int, with_text: bool):
+    def nested(rows: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)), values)
+
     def run(table: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, places in table:
-            out: list[list] = [[], [], [], [], [], []]
-            at = 0
+        for texts, spans in table:
+            found: list[pa.Array] = []
+            (all_spans, offsets), at = _lists(spans), 0
+            place, reference, position = (all_spans.field(k).to_numpy(zero_copy_only=False) for k in range(3))
             for part in pieces(texts):
-                words = Words(part)
-                spans = [np.array(places[at + i].as_py() or [], np.int64) for i in range(len(part))]
-                begin = np.concatenate([int(words.first[i]) + (s >> 5 & 0x3FFFFFFFF) for i, s in enumerate(spans)]) if spans else np.zeros(0, np.int64)
-                gone = words.covered(begin, (np.concatenate(spans) & 31) + size - 1) if len(begin) else np.zeros(len(words), bool)
-                edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
-                starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-                # Marked words of two texts never make one factor.
-                cut = words.first[1:-1]
-                cut = cut[(cut > 0) & (cut < len(words))]
-                cut = np.unique(cut[gone[cut - 1] & gone[cut]]) if len(cut) else cut
-                starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
-                rows = words.doc[starts] if len(starts) else starts
+                words, n = Words(part), len(part)
+                here = slice(offsets[at], offsets[at + n])
+                row = np.repeat(np.arange(n), np.diff(offsets[at : at + n + 1]))
+                begin, many = _first_word(place[here]), place[here] & 31
+                gone = words.covered(words.first[row] + begin, many + size - 1) if len(row) else np.zeros(len(words), bool)
+                # Runs of words that go; one of two texts that follow each other is two.
+                change = np.zeros(len(words) + 1, bool)
+                change[1:-1], change[words.first] = gone[1:] != gone[:-1], True
+                edges = np.flatnonzero(change) if len(words) else np.zeros(0, np.int64)
+                runs = edges[:-1][gone[edges[:-1]]] if len(words) else edges
+                ends = edges[1:][gone[edges[:-1]]] if len(words) else edges
+                owner = words.doc[runs]
+                cut = factors(begin, many, row, reference[here], position[here], size) if len(row) else [np.zeros(0, np.int64)] * 5
                 left = words.joined(~gone)
-                removed = words.per_text(gone)
-                for i in range(len(part)):
-                    mine = rows == i
-                    out[0].append(int(words.counts[i]))
-                    out[1].append(int(removed[i]))
-                    out[2].append(hashlib.sha256(left[i]).hexdigest())
-                    out[3].append((starts[mine] - words.first[i]).tolist())
-                    out[4].append((ends[mine] - starts[mine]).tolist())
-                    out[5].append(left[i].decode() if with_text else None)
-                at += len(part)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string()]
-            names = ["n_words", "n_removed", "kept_sha256", "begins", "lengths", "kept_text"]
-            yield pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names)
-
-    return F.arrow_udf(run, "n_words long, n_removed long, kept_sha256 string, begins array<long>, lengths array<long>, kept_text string")
+                copied = pa.StructArray.from_arrays([pa.array(x) for x in cut[1:]], ["begin", "length", "reference", "position"])
+                columns = [
+                    pa.array(words.counts.astype(np.int64)),
+                    pa.array(words.per_text(gone)),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
+                    nested(owner, n, pa.array(runs - words.first[owner])),
+                    nested(owner, n, pa.array(ends - runs)),
+                    nested(cut[0], n, copied),
+                    pa.array([x.decode() if with_text else None for x in left], pa.string()),
+                ]
+                found.append(pa.StructArray.from_arrays(columns, ["n_words", "n_removed", "kept_sha256", "begins", "lengths", "factors", "kept_text"]))
+                at += n
+            yield pa.concat_arrays(found)
+
+    kind = "n_words long, n_removed long, kept_sha256 string, begins array<long>, lengths array<long>, factors array<struct<begin long, length long, reference long, position long>>, kept_text string"
+    return F.arrow_udf(run, kind)
+
+
+def _looked_up(rows: DataFrame, group: str, exact: str, hot: DataFrame, wanted: Column) -> DataFrame:
+    """Rows (doc, place, reference, position) of the rows (group, exact, doc, place) that equal one of an earlier
+    document, with the first of these; and, if ``wanted``, a condition on ``several`` (their group has rows of several
+    documents and is not all equal), those that don't, without a reference."""
+    place = F.struct("doc", "place")
+    hot = F.broadcast(hot)
+    alike = Window.partitionBy(group, exact).orderBy("doc", "place")
+    together = Window.partitionBy(group)
+    cold = rows.join(hot, group, "left_anti").repartition(group)
+    many = (F.min(exact).over(together) != F.max(exact).over(together)) & (F.min("doc").over(together) != F.max("doc").over(together))
+    cold = cold.select("doc", "place", F.first(place).over(alike).alias("first"), many.alias("several"))
+    # Hot groups: one row for each different one before anything is moved.
+    busy = rows.join(hot, group, "left_semi")
+    index = busy.groupBy(group, exact).agg(F.min(place).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    groups = index.groupBy(group).agg(((F.count("*") > 1) & (F.min("first.doc") != F.max("last"))).alias("several"))
+    index = written(join_on_key(index, groups, [group], spread_by=[exact]), "hot")
+    met = join_on_key(busy, index.drop("n", "last"), [group, exact], counts=index.select(group, exact, "n"), spread_by=["doc", "place"])
+    found = cold.unionByName(met.select("doc", "place", "first", "several"))
+    copies = F.col("first.doc") < F.col("doc")
+    reference, position = (F.when(copies, F.col(f"first.{c}")) for c in ("doc", "place"))
+    return found.where(copies | wanted).select("doc", "place", reference.alias("reference"), position.alias("position"))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256, begins, lengths, kept_text) for every row: the duplicate spans as first
-    word and length, and the words that stay, joined by one space. The key must be integral; sizes must leave an anchor
-    room in a window, and a phrase at most 31 windows."""
+    """(key, n_words, n_removed, kept_sha256, begins, lengths, factors, kept_text) for every row: the duplicate spans as
+    first word and length, the factors that make them (begin, length, reference document and position of the first word
+    there), and the words that stay, joined by one space. The key must be integral; sizes must leave an anchor room in a
+    window, and a phrase at most 31 windows."""
     if not 1 <= anchor <= size or size - anchor >= 31:
         raise ValueError("an anchor must fit into a window, with at most 30 places to stand")
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.hash(F.col(f"`{text}`").cast("string")).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
-    referenced = rows.where("doc is not null and text is not null")
-    # Anchors that occur in more than one document.
-    pairs = referenced.mapInArrow(_phrase_rows(size, anchor, False), "anchor long, low long, high long")
-    shared = written(pairs.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor"), "anchors")
-    all_phrases = referenced.mapInArrow(_phrase_rows(size, anchor, True), "anchor long, phrase long, doc long, place long")
-    found = written(all_phrases.join(shared.hint("shuffle_hash"), "anchor"), "phrases")
-    # The first document of every phrase, and whether the anchor stands in several phrases.
-    index = written(found.groupBy("anchor", "phrase").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "index")
-    factors = written(found.join(index.where("first < last").select("anchor", "phrase", "first"), ["anchor", "phrase"]).where("first < doc").select("doc", "place"), "factors")
-    several = index.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    edges = index.join(several, "anchor", "left_semi").select("anchor", "phrase", "first")
-    edge = found.join(edges, ["anchor", "phrase"]).where("doc = first").groupBy("doc").agg(F.collect_list("place").alias("places"))
-    edge = written(edge, "boundaries")
-    # A text meets the places whose mark is that of the text.
-    here = F.filter("places", lambda p: F.shiftright(p, 39) == F.col("mark").bitwiseAND(F.lit(0xFFFFFF)))
-    beside = referenced.join(edge.hint("shuffle_hash"), "doc").select("doc", "text", here.alias("places"))
+    whole = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.hash(whole).bitwiseAND(F.lit(0xFFFFFF)).alias("mark"), whole.alias("text"))
+    mark = F.shiftright("place", 39).cast("int").alias("mark")
+    is_referenced = F.col("doc").isNotNull() & F.col("text").isNotNull()
+    texts = bucketed_table(rows.where(is_referenced), "texts", "doc", "mark")
+
+    def phrases_of(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(_phrase_rows(size, anchor), "anchor long, phrase long, doc long, place long")
+
+    drawn = phrases_of(texts.sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=1))
+    hot = written(drawn.groupBy("anchor").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= HOT_DOCS).select("anchor"), "hot")
+    marked = written(_looked_up(phrases_of(texts), "anchor", "phrase", hot, F.col("several")), "phrases")
+    edges = marked.where("reference is null").groupBy("doc", mark).agg(F.collect_list("place").alias("places"))
+    beside = texts.join(edges, ["doc", "mark"]).select("doc", "text", "places")
     windows = written(beside.mapInArrow(_window_rows(size), "w1 long, w2 long, doc long, place long"), "windows")
-    lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("w1", "w2", "first")
-    single = windows.join(lowest, ["w1", "w2"]).where("first < doc").select("doc", "place")
-    spans = written(factors.union(single).groupBy("doc").agg(F.collect_list("place").alias("places")), "spans")
-    judged = rows.join(spans.hint("shuffle_hash"), "doc", "left").select("doc", "text", here.alias("places"))
-    parsed = judged.select("doc", _parsed(size, with_text)("text", "places").alias("p"))
+    sampled = windows.sample(min(1.0, SAMPLE_WINDOWS / max(1, windows.count())), seed=1).groupBy("w1").agg(F.count("*").alias("n"))
+    hot = written(hot_keys(sampled, ["w1"]).where(F.col("n") >= HOT_DOCS).select("w1"), "hot")
+    single = _looked_up(windows, "w1", "w2", hot, F.lit(False))
+    spans = marked.where("reference is not null").unionByName(single)
+    spans = spans.groupBy("doc", mark).agg(F.collect_list(F.struct("place", "reference", "position")).alias("spans"))
+    spans = written(spans, "spans")
+    none = F.lit(None).cast(spans.schema["spans"].dataType)
+    judged = texts.join(spans, ["doc", "mark"], "left").select("doc", "text", "spans")
+    judged = judged.unionByName(rows.where(~is_referenced).select("doc", "text", none.alias("spans")))
+    parsed = judged.select("doc", _parsed(size, with_text)("text", "spans").alias("p"))
     return parsed.select(F.col("doc").alias(key), "p.*")
