@@ -14,8 +14,8 @@ windows inside it are looked up one by one in the same way, and lengthen the fac
 
 A text is hashed into phrases once, and moved once, into a table of buckets by document, which meets the lists of places
 without moving again. In an index block rows are sorted and passed over (with room on disk), so that no group is held.
-An anchor that much of a sample of documents has (``HOT_DOCS`` of ``SAMPLE_DOCS``, for how rows are dealt out alone) is
-aggregated before the shuffle instead, and its rows meet the first places in a join that splits hot keys.
+The rows of an anchor that much of a sample of documents has (``HOT_DOCS`` of ``SAMPLE_DOCS``, for how rows are dealt out
+alone) are dealt out by ``SHARES`` shares of the documents first, and only the first of each share meet.
 
 Defined cases. Null text, text without words or with fewer than a window: nothing is removed. A null id: the row is
 never a reference and loses nothing. Rows with one id are one document with several texts, none earlier than the other;
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from seqcast.llm.common import pieces, prepare, written
 from seqcast.llm.words import Words
-from seqcast.operators.skew import hot_keys, join_on_key
+from seqcast.operators.skew import hot_keys
 from seqcast.session import bucketed_table
 
 #: Words of a window, the least length of a duplicate span.
@@ -43,6 +43,8 @@ WINDOW = 13
 ANCHOR = 6
 #: An anchor is hot if at least so many of a sample of so many documents have it.
 HOT_DOCS, SAMPLE_DOCS = 64, 4096
+#: Shares of the documents that the rows of a hot anchor are dealt out by.
+SHARES = 256
 #: Rows of windows that are sampled to find hot ones.
 SAMPLE_WINDOWS = 1 << 18
 
@@ -189,22 +191,22 @@ def _parsed(size: int, with_text: bool):
 
 def _looked_up(rows: DataFrame, group: str, exact: str, hot: DataFrame, wanted: Column) -> DataFrame:
     """Rows (doc, place, reference, position) of the rows (group, exact, doc, place) that equal one of an earlier
-    document, with the first of these; and, if ``wanted``, a condition on ``several`` (their group has rows of several
+    document, with the first of these (in a hot group, the first of a share of them); and, if ``wanted``, a condition on ``several`` (their group has rows of several
     documents and is not all equal), those that don't, without a reference."""
-    place = F.struct("doc", "place")
-    hot = F.broadcast(hot)
-    alike = Window.partitionBy(group, exact).orderBy("doc", "place")
+    place, hot = F.struct("doc", "place"), F.broadcast(hot)
+
+    def first(*by: str) -> Column:
+        return F.first(place).over(Window.partitionBy(*by).orderBy("doc", "place")).alias("first")
+
     together = Window.partitionBy(group)
-    cold = rows.join(hot, group, "left_anti").repartition(group)
     many = (F.min(exact).over(together) != F.max(exact).over(together)) & (F.min("doc").over(together) != F.max("doc").over(together))
-    cold = cold.select("doc", "place", F.first(place).over(alike).alias("first"), many.alias("several"))
-    # Hot groups: one row for each different one before anything is moved.
-    busy = rows.join(hot, group, "left_semi")
-    index = busy.groupBy(group, exact).agg(F.min(place).alias("first"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    groups = index.groupBy(group).agg(((F.count("*") > 1) & (F.min("first.doc") != F.max("last"))).alias("several"))
-    index = written(join_on_key(index, groups, [group], spread_by=[exact]), "hot")
-    met = join_on_key(busy, index.drop("n", "last"), [group, exact], counts=index.select(group, exact, "n"), spread_by=["doc", "place"])
-    found = cold.unionByName(met.select("doc", "place", "first", "several"))
+    cold = rows.join(hot, group, "left_anti").repartition(group).select("doc", "place", first(group, exact), many.alias("several"))
+    # Rows of hot groups meet the first of a share of the documents; what is first there, the first of all.
+    busy = rows.join(hot, group, "left_semi").withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int"))
+    met = busy.select(group, exact, "doc", "place", first(group, exact, "share"))
+    new = met.where("doc = first.doc").select("doc", "place", first(group, exact), F.lit(True).alias("several"))
+    known = met.where("first.doc < doc").select("doc", "place", "first", F.lit(True).alias("several"))
+    found = cold.unionByName(known).unionByName(new)
     copies = F.col("first.doc") < F.col("doc")
     reference, position = (F.when(copies, F.col(f"first.{c}")) for c in ("doc", "place"))
     return found.where(copies | wanted).select("doc", "place", reference.alias("reference"), position.alias("position"))

@@ -16,7 +16,7 @@ All of it is DataFrame functions. Rules, index and counts are tables, so the lis
 are judged once. A token or URL that much of the table has is split into as many keys as its count asks for.
 
 Defined cases. A null URL or one without ``://`` has an empty host and path: no site rule fits, patterns hardly do.
-Repeated rows get the same verdict, each its own row. A null rule or one with another verdict is ignored; of equal rules
+Repeated rows get the same verdict, each its own row. A null or empty rule, or one with another verdict, is ignored; of equal rules
 with both verdicts ``block`` counts. An empty table gives an empty result, an empty list of rules allows everything.
 """
 
@@ -33,7 +33,7 @@ _PARTS = r"^[\s\S]*?://([^/?#]*)([^?#]*)"
 _TOKEN = "[a-z0-9]+"
 # A token that nothing can lengthen: between characters that are neither part of a token nor a run of any characters.
 _WHOLE_TOKEN = r"(?<=[^a-z0-9*])[a-z0-9]+(?=[^a-z0-9*])"
-_EDGE = "(?:^|$|[^A-Za-z0-9])"
+_EDGE = r"(?:^|\z|[^A-Za-z0-9])"
 
 
 def host_of(url: Column) -> Column:
@@ -48,7 +48,7 @@ def path_of(url: Column) -> Column:
 
 def compiled(rules: DataFrame) -> DataFrame:
     """(rule, site, verdict, expression, tokens) of every rule (rule, verdict)."""
-    kept = rules.where("rule is not null and verdict in ('allow', 'block')").groupBy("rule").agg(F.max("verdict").alias("verdict"))
+    kept = rules.where("rule != '' and verdict in ('allow', 'block')").groupBy("rule").agg(F.max("verdict").alias("verdict"))
     site = ~F.col("rule").rlike(r"^(?:\^|\*|\|\|)")
     host = F.regexp_extract("rule", r"^[^/]*", 0)
     rest = F.expr("substring(rule, length(regexp_extract(rule, '^[^/]*', 0)) + 1)")
@@ -58,7 +58,7 @@ def compiled(rules: DataFrame) -> DataFrame:
     anchor = F.when(F.col("text").startswith("||"), F.lit("^(?:[^/]*[.])?")).otherwise(F.lit(""))
     runs = F.replace(literal, F.lit("*"), F.lit(r"[\s\S]*"))
     # In a site rule every character but the end of a bare host stands for itself.
-    plain = F.when(F.col("rest") == "", F.concat(F.expr("regexp_replace(left(literal, length(literal) - 1), '([*^])', '[$1]')"), F.lit("(?:/|$)"))).otherwise(F.regexp_replace("literal", r"([*^])", r"\\$1"))
+    plain = F.when(F.col("rest") == "", F.concat(F.expr("regexp_replace(left(literal, length(literal) - 1), '([*^])', '[$1]')"), F.lit(r"(?:/|\z)"))).otherwise(F.regexp_replace("literal", r"([*^])", r"\\$1"))
     expression = F.when(F.col("site"), F.concat(anchor, plain)).otherwise(F.concat(F.lit("(?i)"), anchor, F.replace(runs, F.lit("^"), F.lit(_EDGE))))
     tokens = F.array_distinct(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(_WHOLE_TOKEN), F.lit(0)))
     parts = kept.select("rule", "verdict", site.alias("site"), rest.alias("rest"), text.alias("text")).withColumn("literal", literal)

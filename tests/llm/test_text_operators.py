@@ -194,3 +194,28 @@ def test_empty_tables(spark):
     assert linededup.without_repeated_lines(none).count() == 0
     assert decontam.contamination(none, bench).count() == 0
     assert quality.line_clean(none).count() == 0
+
+
+def test_repeated_passages_of_hot_anchors(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_DOCS", 1)  # every anchor
+    monkeypatch.setattr(substrings, "SHARES", 3)
+    found = substrings.remove_repeats(docs, with_text=False)
+    cases.same(bare(found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), brute.repeats(cases.plain()))
+
+
+def test_factors_copy_their_reference(docs):
+    by_id = {}
+    for i, t in cases.plain():
+        by_id.setdefault(i, []).append(brute.words(t))
+    found = [r for r in substrings.remove_repeats(docs).collect() if r["n_removed"]]
+    for r in found:
+        covered = set()
+        for f in r["factors"]:
+            assert f["reference"] < r["doc_id"] and f["length"] >= substrings.WINDOW
+            own = {tuple(w[f["begin"] : f["begin"] + f["length"]]) for w in by_id[r["doc_id"]]}
+            theirs = {tuple(w[f["position"] : f["position"] + f["length"]]) for w in by_id[f["reference"]]}
+            assert own & theirs
+            covered.update(range(f["begin"], f["begin"] + f["length"]))
+        assert len(covered) == r["n_removed"]
+    whole = max(found, key=lambda r: r["n_words"])  # half of the longest text is a copy of the other's begin
+    assert max(f["length"] for f in whole["factors"]) > 1000
