@@ -12,6 +12,8 @@ from seqcast.operators.skew import join_on_symbol
 from seqcast.schema import BAR_COLUMNS, FEATURES
 
 ON_BAD = ("drop", "null", "fail")
+# Names of a list that are broadcast; more are joined, with the bars of hot symbols split.
+BROADCAST_SYMBOLS = 200_000
 
 
 def _typed(name: str, type_name: str, on_bad: str) -> Column:
@@ -46,10 +48,14 @@ def cast_bars(df: DataFrame, on_bad: str = "drop", date_type: str = "date") -> D
 def select_symbols(bars: DataFrame, symbols: str | Iterable[str] | DataFrame) -> DataFrame:
     """Bars of the wanted symbols: one name, a few names, or a table with a ``symbol`` column.
 
-    A table becomes a left semi join.
+    A table becomes a left semi join, whose list is broadcast if it is counted
+    as short; else the bars of every symbol are counted too, and hot ones split.
     """
     if isinstance(symbols, DataFrame):
-        return join_on_symbol(bars, symbols.select("symbol"), "left_semi")
+        listed = symbols.select("symbol").distinct()
+        if listed.limit(BROADCAST_SYMBOLS + 1).count() <= BROADCAST_SYMBOLS:
+            return bars.join(F.broadcast(listed), "symbol", "left_semi")
+        return join_on_symbol(bars, listed, "left_semi").select(*bars.columns)
     if isinstance(symbols, str):
         return bars.where(F.col("symbol") == symbols)
     return bars.where(F.col("symbol").isin(list(symbols)))

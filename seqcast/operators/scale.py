@@ -6,10 +6,11 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from seqcast.functions.columns import scaled, unscaled
-from seqcast.operators.series import BUCKET, join_facts, number_bars, series_facts, split_columns
+from seqcast.operators.series import BUCKET, SLICE, join_facts, number_bars, series_facts, split_columns
 from seqcast.operators.skew import join_on_symbol
-from seqcast.operators.stats import feature_ranges
+from seqcast.operators.stats import feature_ranges, series_length
 from seqcast.schema import FEATURES, TRAIN_RATIO, VECTOR_FEATURES, Category
+from seqcast.session import new_table_folder
 
 SCOPES = ("all", "train")
 
@@ -39,14 +40,27 @@ def ranged_series(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAI
     if stats_scope == "all":
         return split_columns(number_bars(bars, FEATURES), ratio)
     parts = split_columns(number_bars(bars, keep_bucket=True), ratio)
-    return join_facts(parts, _train_facts(parts)).drop(BUCKET)
+    return join_facts(parts, _train_facts(parts)).drop(BUCKET, SLICE)
 
 
 def training_ranges(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN_RATIO) -> DataFrame:
-    """The ranges :func:`minmax_scale` uses, one row per symbol, for the inverse."""
-    if stats_scope == "all":
-        return feature_ranges(bars)
-    return feature_ranges(split_columns(number_bars(bars), ratio).where(F.col("part") == "train"))
+    """The ranges :func:`minmax_scale` uses, one row per symbol, for the inverse.
+
+    ``n`` are the bars of the symbol in the scope, by which joins with the
+    ranges split what is hot. The table is written once and read from there.
+    """
+    _check_scope(stats_scope)
+    scope = bars if stats_scope == "all" else split_columns(number_bars(bars), ratio).where(F.col("part") == "train")
+    ranges = feature_ranges(scope, counted=True)
+    path = new_table_folder(bars.sparkSession, "ranges")
+    ranges.write.parquet(path)
+    return bars.sparkSession.read.schema(ranges.schema).parquet(path)
+
+
+def _with_ranges(rows: DataFrame, ranges: DataFrame, picked: DataFrame, spread_by: str) -> DataFrame:
+    """Rows beside what is picked of the ranges; the bars of a symbol say how hot it is, where the ranges know them."""
+    counts = ranges.select("symbol", "n") if "n" in ranges.columns else series_length(rows)
+    return join_on_symbol(rows, picked, spread_by=spread_by, counts=counts)
 
 
 def minmax_scale(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN_RATIO) -> DataFrame:
@@ -57,7 +71,8 @@ def minmax_scale(bars: DataFrame, stats_scope: str = "all", ratio: float = TRAIN
     """
     _check_scope(stats_scope)
     # Only the ranges need positions; the bars meet one row per symbol, which Spark broadcasts where it finds it small.
-    ranged = join_on_symbol(bars, training_ranges(bars, stats_scope, ratio))
+    ranges = training_ranges(bars, stats_scope, ratio)
+    ranged = _with_ranges(bars, ranges, ranges.drop("n"), "date")
     return ranged.select("symbol", "date", *[scaled_feature(name).alias(name) for name in FEATURES])
 
 
@@ -82,7 +97,7 @@ def inverse_scale(df: DataFrame, ranges: DataFrame, category: str, columns: tupl
     name = Category.of(category).value
     picked = ranges.select("symbol", F.col(f"min_{name}").alias("_low"), F.col(f"max_{name}").alias("_high"))
     back = {c: unscaled(F.col(c), F.col("_low"), F.col("_high")) for c in columns}
-    return join_on_symbol(df, picked, spread_by=_spread_column(df, columns)).withColumns(back).select(*df.columns)
+    return _with_ranges(df, ranges, picked, _spread_column(df, columns)).withColumns(back).select(*df.columns)
 
 
 def inverse_scale_all(df: DataFrame, ranges: DataFrame, columns: tuple[str, ...] = ("prediction",)) -> DataFrame:
@@ -92,4 +107,4 @@ def inverse_scale_all(df: DataFrame, ranges: DataFrame, columns: tuple[str, ...]
     back = {
         c: F.zip_with(F.col(c), F.col("_ranges"), lambda value, r: unscaled(value, r["low"], r["high"])) for c in columns
     }
-    return join_on_symbol(df, picked, spread_by=_spread_column(df, columns)).withColumns(back).select(*df.columns)
+    return _with_ranges(df, ranges, picked, _spread_column(df, columns)).withColumns(back).select(*df.columns)

@@ -23,9 +23,10 @@ def series_length(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-def feature_ranges(bars: DataFrame, by: str | None = "symbol") -> DataFrame:
-    """Minimum and maximum of each feature, per symbol or over the whole table."""
-    ranges = [f(name).alias(f"{tag}_{name}") for name in FEATURES for tag, f in (("min", F.min), ("max", F.max))]
+def feature_ranges(bars: DataFrame, by: str | None = "symbol", counted: bool = False) -> DataFrame:
+    """Minimum and maximum of each feature, per symbol or over the whole table, and the bars ``n`` if asked for."""
+    ranges = [F.count(F.lit(1)).alias("n")] if counted else []
+    ranges += [f(name).alias(f"{tag}_{name}") for name in FEATURES for tag, f in (("min", F.min), ("max", F.max))]
     return bars.groupBy(*([by] if by else [])).agg(*ranges)
 
 

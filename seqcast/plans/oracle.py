@@ -109,6 +109,79 @@ _NEEDS = {
 }
 
 
+_P = L * len(FEATURES)
+
+
+def _descent(name: str, rate: float, steps: int, chosen: str = "true") -> list[str]:
+    """Names of tables ``symbol, w``: weights from zero on, after each of ``steps`` steps over the windows ``chosen`` says
+    (``{k}``: the number of the step), and beside each the errors ``symbol, i, x, e`` of all windows."""
+    names = []
+    for k in range(steps + 1):
+        w, e = f"{name}_w{k}", f"{name}_e{k}"
+        if k == 0:
+            _CTES[w] = f"select symbol, list_transform(range({_P + 1}), lambda k: 0.0e0) as w from vectors group by symbol"
+            _NEEDS[w] = ["vectors"]
+        else:
+            before, errors = f"{name}_w{k - 1}", f"{name}_e{k - 1}"
+            _CTES[w] = f"""select symbol, list(old - 2 * {rate}e0 * coalesce(slope, 0.0e0) order by k) as w from (
+                    select symbol, unnest(w) as old, generate_subscripts(w, 1) as k from {before}) left join (
+                    select symbol, k, avg(v * e) as slope from (
+                        select symbol, e, unnest(x || [1.0e0]) as v, generate_subscripts(x || [1.0e0], 1) as k
+                        from {errors} where {chosen.format(k=k - 1)}) group by symbol, k) using (symbol, k)
+                group by symbol"""
+            _NEEDS[w] = [before, errors]
+        _CTES[e] = f"select symbol, i, x, list_inner_product(x, w[1:{_P}]) + w[{_P + 1}] - y as e from vectors join {w} using (symbol)"
+        _NEEDS[e] = ["vectors", w]
+        names.append(w)
+    return names
+
+
+# Four epochs of one round, and two epochs of two rounds of half a block.
+_LONG = _descent("long", 0.04, 4)
+_HALF = _descent("half", 0.01, 3, "(i % 512) // 256 = {k} % 2")
+_CTES["long_losses"] = " union all ".join(
+    f"""select symbol, {k} as epoch, train_loss, test_loss from (
+        select symbol, avg(e * e) as train_loss from long_e{k} group by symbol) join (
+        select symbol, avg((p - y) * (p - y)) as test_loss from (
+            select symbol, list_inner_product(x, w[1:{_P}]) + w[{_P + 1}] as p,
+                case when max_close > min_close then (y_close - min_close) / (max_close - min_close) else 0.5e0 end as y
+            from test_vectors join long_w{k} using (symbol) join ranges using (symbol)) group by symbol) using (symbol)"""
+    for k in range(1, 5)
+)
+_NEEDS["long_losses"] = ["test_vectors", "ranges", *[f"long_e{k}" for k in range(1, 5)]]
+# An epoch is there if the loss fell in all epochs before it.
+_CTES["long_history"] = """select * from long_losses a where not exists (
+        select 1 from long_losses b join long_losses c using (symbol)
+        where b.symbol = a.symbol and b.epoch < a.epoch and c.epoch < b.epoch and c.test_loss <= b.test_loss)"""
+_NEEDS["long_history"] = ["long_losses"]
+_CTES["long_best"] = "select symbol, arg_min(epoch, row(test_loss, epoch)) as epoch from long_history group by symbol"
+_NEEDS["long_best"] = ["long_history"]
+_CTES["long_weights"] = " union all ".join(f"select symbol, {k} as epoch, w from long_w{k}" for k in range(1, 5))
+_NEEDS["long_weights"] = _LONG[1:]
+
+
+def _running_squares(name: str, before: str | None) -> None:
+    """Weights and running squares ``symbol, k, w, s`` after a step of every block, averaged over the blocks."""
+    errors = "select symbol, i, x, -y as e from vectors"
+    if before is not None:
+        errors = f"""select symbol, i, x, list_inner_product(x, w[1:{_P}]) + w[{_P + 1}] - y as e from vectors
+            join (select symbol, list(w order by k) as w from {before} group by symbol) using (symbol)"""
+    old = f"left join {before} b using (symbol, k)" if before else ""
+    w, s = ("b.w", "b.s") if before else ("0.0e0", "0.0e0")
+    _CTES[name] = f"""select symbol, k, sum(n * w) / sum(n) as w, sum(n * s) / sum(n) as s from (
+            select symbol, k, n, s, w - 0.01e0 * g / (sqrt(s) + 1e-8) as w from (
+                select symbol, k, n, g, {w} as w, 0.95e0 * {s} + (1 - 0.95e0) * g * g as s from (
+                    select symbol, i // 512 as block, k, count(*) as n, 2 * avg(v * e) as g from (
+                        select symbol, i, e, unnest(x || [1.0e0]) as v, generate_subscripts(x || [1.0e0], 1) as k from ({errors}))
+                    group by symbol, i // 512, k) {old}))
+        group by symbol, k"""
+    _NEEDS[name] = ["vectors"] + ([before] if before else [])
+
+
+_running_squares("squares_1", None)
+_running_squares("squares_2", "squares_1")
+
+
 def _with(select: str, *names: str) -> str:
     ordered: list[str] = []
 
@@ -148,8 +221,10 @@ ORACLE: dict[str, str] = {
     "listed_bars": _with("select * from bars where symbol in (select p_brand from part where p_size > 49)", "bars"),
     "written_predictions": _with("select * from forecast", "forecast"),
     "select_symbols": _with("select * from bars where symbol = 'Brand#13'", "bars"),
-    "symbol_semi_join": f"""select * from ({_SUPPLIER})
-        where symbol in (select concat('S', s_suppkey) from supplier where s_acctbal > 0)""",
+    **dict.fromkeys(
+        ("symbol_semi_join", "bars_from_listed_files"),
+        f"""select * from ({_SUPPLIER}) where symbol in (select concat('S', s_suppkey) from supplier where s_acctbal > 0)""",
+    ),
     "missing_symbols": _with(
         """select symbol from (select concat('S', s_suppkey) as symbol from supplier union select p_brand from part)
             where symbol not in (select symbol from bars)""",
@@ -159,6 +234,11 @@ ORACLE: dict[str, str] = {
     "drop_last_bars": _with(f"select {_BARS} from numbered where i < n - 1", "numbered"),
     "union_bars": f"select * from ({_BRAND}) union all select * from ({_SUPPLIER})",
     "index_bars": _with("select symbol, date, i, n from numbered", "numbered"),
+    **dict.fromkeys(
+        ("intraday_positions", "intraday_positions_sliced"),
+        """select event_type as symbol, event_id, row_number() over (partition by event_type order by ts, value) - 1 as i,
+            count(*) over (partition by event_type) as n from events""",
+    ),
     "chronological_split": _with("select symbol, date, i, n, split, part, j from parts", "parts"),
     "minmax_symbol": _with(f"select symbol, date, {_cols(_SCALE + ' as {f}')} from bars join ranges using (symbol)", "ranges"),
     "minmax_train_only": _with(
@@ -223,6 +303,29 @@ ORACLE: dict[str, str] = {
         group by symbol, k""",
     "averaged_round": _with("select symbol, k, round(v, 9) as v from weights", "weights"),
     "averaged_round_sized": _with("select symbol, k, round(v, 9) as v from weights", "weights"),
+    "averaged_round_joined": _with("select symbol, k, round(v, 9) as v from second", "second"),
+    **dict.fromkeys(
+        ("early_stopping", "early_stopping_by_maps"),
+        _with("select symbol, epoch, round(train_loss, 9) as train_loss, round(test_loss, 9) as test_loss from long_history", "long_history"),
+    ),
+    "best_epoch_weights": _with(
+        "select symbol, k - 1 as k, round(v, 9) as v from (select symbol, unnest(w) as v, generate_subscripts(w, 1) as k from long_weights join long_best using (symbol, epoch))",
+        "long_weights", "long_best",
+    ),
+    **dict.fromkeys(
+        ("round_history", "round_history_by_maps"),
+        _with(
+            " union all ".join(
+                f"select symbol, {1 + k // 2} as epoch, {k % 2} as round, round(avg(e * e), 9) as loss from half_e{k} where (i % 512) // 256 = {k % 2} group by symbol"
+                for k in range(4)
+            ),
+            *[f"half_e{k}" for k in range(4)],
+        ),
+    ),
+    "continued_updater": _with(
+        f"select symbol, k - 1 as k, round(w, 9) as v from squares_2 union all select symbol, {_P} + k as k, round(s, 9) as v from squares_2", "squares_2"
+    ),
+    "linear_per_symbol": _with(f"select symbol, unnest(range({_P + 1})) as k, 0.0e0 as slope from (select distinct symbol from train_starts)", "train_starts"),
     "continued_round": _with("select symbol, k, round(v, 9) as v from second", "second"),
     "training_history": _with(
         f"""select symbol, 1 as epoch, round(train_loss, 9) as train_loss, round(test_loss, 9) as test_loss

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seqcast.functions.columns import target_column
@@ -16,12 +18,13 @@ from seqcast.operators import prep, scale, series, stats, windows
 from seqcast.schema import FEATURES, Category
 from seqcast.session import new_table_folder
 from seqcast.sources.lineitem import bars_from_lineitem
-from seqcast.sources.readers import SYMBOL_FILE_COLUMNS, read_bars_csv, read_symbol_folders, read_symbols
-from seqcast.sources.writers import load_model, predictions_as_documents, save_model, write_predictions
+from seqcast.sources.readers import SYMBOL_FILE_COLUMNS, read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols
+from seqcast.sources.writers import load_model, predictions_as_documents, save_model, write_predictions, write_symbol_files
 from seqcast.training import predict
 from seqcast.training.averaging import fit_averaged
 from seqcast.training.forecaster import fit_forecaster, window_features
 from seqcast.training.kernels import LinearKernel
+from seqcast.training.maps import fit_least_squares, fit_linear_averaged
 
 Query = Callable[..., DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -98,6 +101,14 @@ def bars_from_symbol_files(spark: SparkSession, sf_dir: str, by: str = "brand")
     return read_symbol_folders(spark, path)
 
 
+@_query
+def bars_from_listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written to a file per supplier, and read from those of the suppliers with a positive balance alone."""
+    path = new_table_folder(spark, "bars-files")
+    write_symbol_files(bars_from_lineitem(spark, sf_dir, "supplier"), path)
+    return read_symbol_files(spark, path, _supplier_symbols(spark, sf_dir).where(F.col("s_acctbal") > 0))
+
+
 @_query
 def listed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of the symbols in a text file, which lists the large brands' parts one by one."""
@@ -150,14 +161,32 @@ _on_bars(
     "chronological_split",
     lambda bars: series.chronological_split(bars).select("symbol", "date", "i", "n", "split", "part", "j"),
 )
+
+
+def _event_positions(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bars = events.select(F.col("event_type").alias("symbol"), F.col("ts").alias("date"), F.col("value").alias("close"), "event_id")
+    return series.index_bars(bars, **settings).select("symbol", "event_id", "i", "n")
+
+
+@_query
+def intraday_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the microsecond in the order of each kind."""
+    return _event_positions(spark, sf_dir)
+
+
+@_query
+def intraday_positions_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where an hour with more than six events counts as large."""
+    return _event_positions(spark, sf_dir, bucket_bars=6)
+
+
 _on_bars("minmax_symbol", scale.minmax_scale)
 _on_bars("minmax_train_only", partial(scale.minmax_scale, stats_scope="train"))
 
 
 @_query
 def minmax_global(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
     out = scale.minmax_scale_global(bars_from_lineitem(spark, sf_dir, by))
     values = vector_to_array("features")
     order = ("open", "low", "high", "volume", "close")
@@ -166,12 +195,12 @@ def minmax_global(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFr
 
 def _close_there_and_back(bars: DataFrame) -> DataFrame:
     scaled = scale.minmax_scale(bars).select("symbol", "date", F.col("close").alias("prediction"))
-    return scale.inverse_scale(scaled, stats.feature_ranges(bars), "close")
+    return scale.inverse_scale(scaled, scale.training_ranges(bars), "close")
 
 
 def _all_there_and_back(bars: DataFrame) -> DataFrame:
     scaled = scale.minmax_scale(bars).select("symbol", "date", F.array(*FEATURES).alias("prediction"))
-    back = scale.inverse_scale_all(scaled, stats.feature_ranges(bars))
+    back = scale.inverse_scale_all(scaled, scale.training_ranges(bars))
     return back.select("symbol", "date", *_spelled("back", "prediction"))
 
 
@@ -318,6 +347,77 @@ def training_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> Dat
     return history.select("symbol", "epoch", *[F.round(c, 9).alias(c) for c in ("train_loss", "test_loss")])
 
 
+@_query
+def averaged_round_joined(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The same round with the weights joined to the units, as beyond the limit of the broadcast, from a start of its own."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    first, _ = fit_averaged(blocks, LinearKernel(), **ONE_ROUND)
+    model, _ = fit_averaged(blocks, LinearKernel(), start=first, broadcast_bytes=0, **ONE_ROUND)
+    return _weights(model)
+
+
+# One round to an epoch, and a step that is too long for some series, which stop early.
+FOUR_EPOCHS = dict(averaging_frequency=1, batch_size=512, max_epochs=4, patience=1)
+LONG_STEP = 0.04
+
+
+def _losses(history: DataFrame) -> DataFrame:
+    return history.select("symbol", "epoch", *[F.round(c, 9).alias(c) for c in ("train_loss", "test_loss")])
+
+
+@_query
+def early_stopping(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Losses of up to four epochs; a model stops once its held-out loss does not improve."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    return _losses(fit_averaged(train, LinearKernel(learning_rate=LONG_STEP), holdout=test, **FOUR_EPOCHS)[1])
+
+
+@_query
+def early_stopping_by_maps(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The same from one pass over the blocks."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    return _losses(fit_linear_averaged(train, LinearKernel(learning_rate=LONG_STEP), holdout=test, **FOUR_EPOCHS)[1])
+
+
+@_query
+def best_epoch_weights(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The weights that early stopping keeps: those of the epoch with the least held-out loss."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    model, _ = fit_averaged(train, LinearKernel(learning_rate=LONG_STEP), holdout=test, **FOUR_EPOCHS)
+    return _weights(model)
+
+
+TWO_ROUNDS = dict(averaging_frequency=1, batch_size=256, max_epochs=2)
+
+
+def _round_losses(model) -> DataFrame:
+    return model.rounds.select("symbol", "epoch", "round", F.round("loss", 9).alias("loss"))
+
+
+@_query
+def round_history(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Loss of every round of two epochs, over the windows of the round."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    return _round_losses(fit_averaged(blocks, LinearKernel(), track_rounds=True, **TWO_ROUNDS)[0])
+
+
+@_query
+def round_history_by_maps(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """The same from one pass over the blocks."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    return _round_losses(fit_linear_averaged(blocks, LinearKernel(), **TWO_ROUNDS)[0])
+
+
+@_query
+def continued_updater(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Two rounds with running mean squares of the slopes, the model saved and loaded between them: weights and running squares."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    kernel = LinearKernel(updater="rmsprop")
+    first, _ = fit_averaged(blocks, kernel, **ONE_ROUND)
+    model, _ = fit_averaged(blocks, kernel, start=_reloaded(spark, first), **ONE_ROUND)
+    return _weights(model)
+
+
 def _weights(model) -> DataFrame:
     weights = model.states.select("symbol", F.posexplode("state").alias("k", "v"))
     return weights.select("symbol", F.col("k").cast("bigint").alias("k"), F.round("v", 9).alias("v"))
@@ -391,6 +491,29 @@ def linear_gradient(spark: SparkSession, sf_dir: str, by: str = "brand") -> Data
     return scored.groupBy("k").agg(slope.alias("slope")).select(F.col("k").cast("bigint").alias("k"), F.round(F.abs("slope"), 9).alias("slope"))
 
 
+@_query
+def linear_per_symbol(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Slope of every symbol's own ridge objective at its fitted model: zero for every coefficient and the intercept."""
+    blocks = windows.window_blocks(bars_from_lineitem(spark, sf_dir, by), "train")
+    model = fit_least_squares(blocks)
+    weights = model.states.select("symbol", "state")
+    rows = windows.unfold_windows(blocks).select("symbol", F.concat(F.flatten("x"), F.array(F.lit(1.0))).alias("x"), F.element_at("y", -1).alias("y"))
+    fitted = F.aggregate(F.zip_with("x", "state", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    errors = rows.join(weights, "symbol").select("symbol", "state", "x", (fitted - F.col("y")).alias("error"))
+    pulls = array_to_vector(F.transform("x", lambda v: v * F.col("error")))
+    means = errors.groupBy("symbol").agg(F.any_value("state").alias("state"), vector_to_array(Summarizer.mean(pulls)).alias("pull"))
+    penalty = F.when(F.col("k") < model.kernel.inputs, model.kernel.l2 * F.get("state", F.col("k"))).otherwise(0.0)
+    slopes = means.select("symbol", "state", F.posexplode("pull").alias("k", "v")).select("symbol", "k", (F.col("v") + penalty).alias("slope"))
+    return slopes.select("symbol", F.col("k").cast("bigint").alias("k"), F.round(F.abs("slope"), 9).alias("slope"))
+
+
+@_query
+def least_squares_forecast(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """Forecast of every symbol's own least-squares model."""
+    train, test = windows.both_blocks(bars_from_lineitem(spark, sf_dir, by))
+    return predict.predict_one_ahead(fit_least_squares(train), test)
+
+
 def _forecast(bars: DataFrame, algo: str, **params) -> DataFrame:
     train, test = windows.both_blocks(bars)
     return predict.predict_one_ahead(fit_forecaster(train, algo, **params), test)
@@ -402,17 +525,17 @@ _on_bars("tree_forecast", lambda bars: _forecast(bars, "gbt", seed=12345))
 
 def _averaged(bars: DataFrame, kernel, category: str, **settings) -> DataFrame:
     train, test = windows.both_blocks(bars, category=category)
-    model, _ = fit_averaged(train, kernel, holdout=test, **settings)
+    model, _ = fit_linear_averaged(train, kernel, holdout=test, **settings)
     if category == "all":
         return predict.predict_all(model, test)
     return predict.predict_one_ahead(model, test, category)
 
 
-_on_bars("averaged_forecast", lambda bars: _averaged(bars, LinearKernel(), "close", averaging_frequency=8))
+_on_bars("averaged_forecast", lambda bars: _averaged(bars, LinearKernel(), "close"))
 
 
 def _all_features(bars: DataFrame) -> DataFrame:
-    out = _averaged(bars, LinearKernel("all"), "all", averaging_frequency=8, per_symbol=False)
+    out = _averaged(bars, LinearKernel("all"), "all", per_symbol=False)
     spelled = [*_spelled("prediction", "prediction"), *_spelled("actual", "actual")]
     return out.select("symbol", "window", "date", "category", *spelled)
 

@@ -59,6 +59,18 @@ def bucketed_table(df: DataFrame, name: str, *keys: str, sorted_by: tuple[str, .
     return spark.table(table)
 
 
+def open_folder(path: str):
+    """Arrow's file system for a path or address, and the place in it; the same in the driver and in a task."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path if ":" in path else f"file://{path}"))
+
+
+def make_folder(path: str) -> None:
+    system, place = open_folder(path)
+    system.create_dir(place)
+
+
 def remove_folders() -> int:
     """Removes every folder this process has had from :func:`new_table_folder`, and says how many there were.
 
@@ -68,7 +80,7 @@ def remove_folders() -> int:
 
     removed = 0
     while _FOLDERS:
-        system, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", _FOLDERS.pop()))
+        system, path = open_folder(_FOLDERS.pop())
         if system.get_file_info(path).type == fs.FileType.Directory:
             system.delete_dir(path)
             removed += 1

@@ -11,8 +11,6 @@ from seqcast.operators.prep import cast_bars, select_symbols
 from seqcast.schema import BAR_COLUMNS
 
 # Positions of a per-symbol file: the close of a bar is the adjusted one.
-# Names of a table that are turned into a filter on files.
-LISTED_FILES = 10_000
 SYMBOL_FILE_COLUMNS = ("date", "open", "high", "low", "unadjusted_close", "volume", "close")
 
 
@@ -45,23 +43,27 @@ def read_symbol_files(
     """Bars from one CSV file per symbol, the file name being the symbol.
 
     One scan covers all files. A list of names reads only these files and fails
-    on a missing one. A table of up to ``LISTED_FILES`` names becomes a filter
-    on the file name, so that only these files are opened; a longer one becomes
-    a semi join, for which :func:`read_symbol_folders` is the better layout.
+    on a missing one. A table of names, however long, is joined with the table
+    of files (:func:`symbol_files`), and only the files of both are opened; names
+    without a file give no bars. The driver holds the paths of the files that
+    are read, as it does for every scan.
     """
     text = T.StructType([T.StructField(name, T.StringType()) for name in SYMBOL_FILE_COLUMNS])
     base = directory.rstrip("/")
     listed = symbols is not None and not isinstance(symbols, DataFrame)
     paths = [f"{base}/{name}.csv" for name in symbols] if listed else f"{base}/*.csv"
-    symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    raw = spark.read.schema(text).csv(paths, header=True)
     if isinstance(symbols, DataFrame):
-        names = [r["symbol"] for r in symbols.select("symbol").distinct().limit(LISTED_FILES + 1).collect()]
-        if len(names) <= LISTED_FILES:
-            raw = raw.where(F.col("_metadata.file_name").isin([f"{name}.csv" for name in names]))
-            symbols = None
-    bars = cast_bars(raw.withColumn("symbol", symbol), on_bad, date_type)
-    return select_symbols(bars, symbols) if isinstance(symbols, DataFrame) else bars
+        paths = [r["path"] for r in select_symbols(symbol_files(spark, directory), symbols).select("path").toLocalIterator()]
+    symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
+    raw = spark.read.schema(text).csv(paths, header=True) if paths else spark.createDataFrame([], text)
+    named = raw.withColumn("symbol", symbol if paths else F.lit(""))
+    return cast_bars(named, on_bad, date_type)
+
+
+def symbol_files(spark: SparkSession, directory: str) -> DataFrame:
+    """``symbol, path, length`` of the files named by symbol; none of them is opened."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory)
+    return files.select(F.regexp_extract("path", r"([^/]*)\.csv$", 1).alias("symbol"), "path", "length")
 
 
 def read_symbol_folders(

@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from seqcast.schema import SequenceConfig
+from seqcast.session import make_folder, new_table_folder, open_folder, ship_package
+from seqcast.sources.readers import SYMBOL_FILE_COLUMNS
 from seqcast.training.averaging import AveragedModel
 from seqcast.training.kernels import LinearKernel, LstmKernel
 
@@ -42,6 +49,48 @@ def write_predictions(
     writer.options(**options).format(fmt).save(path)
 
 
+def write_symbol_files(bars: DataFrame, directory: str) -> DataFrame:
+    """One CSV file per symbol, named by it, with a header and the columns of a per-symbol file, by date.
+
+    A task writes the files of its symbols one after another, a batch of bars at
+    a time. The close is written as the adjusted one and once more as it is
+    unless the bars have ``unadjusted_close``. Gives ``symbol, path, bars``.
+    """
+    ship_package()
+    columns = list(SYMBOL_FILE_COLUMNS)
+    if "unadjusted_close" not in bars.columns:
+        bars = bars.withColumn("unadjusted_close", F.col("close"))
+    folder = directory.rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, count, path = None, None, 0, None
+
+        def done() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([path]), pa.array([count])], names=["symbol", "path", "bars"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for symbol in pc.unique(table["symbol"]).to_pylist():
+                rows = table.filter(pc.equal(table["symbol"], symbol)).select(columns)
+                if symbol != now:
+                    if now is not None:
+                        yield done()
+                    now, count, path = symbol, 0, f"{folder}/{symbol}.csv"
+                    system, place = open_folder(path)
+                    out = csv.CSVWriter(system.open_output_stream(place), rows.schema)
+                out.write_table(rows)
+                count += rows.num_rows
+        if now is not None:
+            yield done()
+
+    make_folder(folder)
+    ordered = bars.repartition("symbol").sortWithinPartitions("symbol", "date").select("symbol", *columns)
+    path = new_table_folder(bars.sparkSession, "symbol-files")
+    ordered.mapInArrow(write, "symbol string, path string, bars bigint").write.parquet(path)
+    return bars.sparkSession.read.schema("symbol string, path string, bars bigint").parquet(path)
+
+
 def predictions_as_documents(predictions: DataFrame, page_size: int = 10_000) -> DataFrame:
     """``symbol, page, document``: predicted and actual values as JSON.
 
@@ -67,7 +116,7 @@ def save_model(model: PipelineModel | AveragedModel, path: str) -> None:
     """Saves a model, and beside it what kind it is; an averaged one with the running state of its kernel."""
     if isinstance(model, PipelineModel):
         model.write().overwrite().save(f"{path}/pipeline")
-        _write_about({"kernel": None}, path)
+        _write_about(SparkSession.builder.getOrCreate(), {"kernel": None}, path)
         return
     name = next(key for key, kind in KERNELS.items() if isinstance(model.kernel, kind))
     about = {
@@ -78,11 +127,10 @@ def save_model(model: PipelineModel | AveragedModel, path: str) -> None:
         "models": model.models,
     }
     model.states.write.mode("overwrite").parquet(f"{path}/states")
-    _write_about(about, path)
+    _write_about(model.states.sparkSession, about, path)
 
 
-def _write_about(about: dict, path: str) -> None:
-    spark = SparkSession.getActiveSession()
+def _write_about(spark: SparkSession, about: dict, path: str) -> None:
     spark.range(1).select(F.lit(json.dumps(about)).alias("value")).write.mode("overwrite").text(f"{path}/about")
 
 

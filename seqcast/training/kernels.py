@@ -18,14 +18,30 @@ import numpy as np
 from seqcast.schema import FEATURES, WINDOW_LENGTH, Category, SequenceConfig
 
 
+UPDATERS = ("sgd", "rmsprop")
+EPSILON = 1e-8
+
+
 @dataclass(frozen=True)
 class LinearKernel:
-    """Least squares on the flattened window, for the bar after it. Plain gradient descent."""
+    """Least squares on the flattened window, for the bar after it.
+
+    Steps are plain gradient descent (``sgd``), or divide each slope by the root
+    of its running mean square (``rmsprop``). The state vector then holds the
+    weights and, behind them, the running squares, so that both are averaged
+    over the workers and saved with the model.
+    """
 
     category: str = "close"
     length: int = WINDOW_LENGTH
     learning_rate: float = 0.01
     l2: float = 0.0
+    updater: str = "sgd"
+    decay: float = 0.95
+
+    def __post_init__(self):
+        if self.updater not in UPDATERS:
+            raise ValueError(f"updater must be one of {UPDATERS}")
 
     @property
     def inputs(self) -> int:
@@ -36,14 +52,18 @@ class LinearKernel:
         return len(Category.of(self.category).features)
 
     @property
-    def state_size(self) -> int:
+    def weight_count(self) -> int:
         return (self.inputs + 1) * self.outputs
 
+    @property
+    def state_size(self) -> int:
+        return self.weight_count * (1 + (self.updater != "sgd"))
+
     def initial_state(self, seed: int) -> np.ndarray:
         return np.zeros(self.state_size)
 
     def _weights(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = state.reshape(self.inputs + 1, self.outputs)
+        table = state[: self.weight_count].reshape(self.inputs + 1, self.outputs)
         return table[:-1], table[-1]
 
     def predict(self, state: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -53,12 +73,19 @@ class LinearKernel:
     def loss(self, state: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
         return float(np.mean((self.predict(state, x) - y[:, -1, :]) ** 2))
 
-    def step(self, state: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    def gradient(self, state: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         flat = x.reshape(len(x), -1)
         w, _ = self._weights(state)
         slope = 2.0 * (self.predict(state, x) - y[:, -1, :]) / (len(x) * self.outputs)
-        gradient = np.vstack([flat.T @ slope + self.l2 * w, slope.sum(axis=0)])
-        return state - self.learning_rate * gradient.ravel()
+        return np.vstack([flat.T @ slope + self.l2 * w, slope.sum(axis=0)]).ravel()
+
+    def step(self, state: np.ndarray, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        slope = self.gradient(state, x, y)
+        if self.updater == "sgd":
+            return state - self.learning_rate * slope
+        weights, squares = state[: self.weight_count], state[self.weight_count :]
+        squares = self.decay * squares + (1.0 - self.decay) * slope**2
+        return np.concatenate([weights - self.learning_rate * slope / (np.sqrt(squares) + EPSILON), squares])
 
 
 def _hard_sigmoid(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
