@@ -6,12 +6,13 @@ square root (so that a frequent n-gram does not drown the rest). Families are to
 each against the rest; inside a family every pair of languages has a machine of its own, and the language with the
 most won pairs is taken, margins breaking ties.
 
-The machines are fitted on a bounded sample of the labelled rows, ``SAMPLE_ROWS`` in all, chosen by a hash of id and text
-and spread evenly over the languages; only their feature vectors come to the driver. Every row is then judged in full.
+The machines are fitted on a bounded sample of the different labelled texts, ``SAMPLE_ROWS`` in all: of each language the
+same number, those with the least hash, however often a text is repeated. Only their feature vectors come to the driver.
+Every row is then judged in full.
 
 Defined cases. Null text, or text without a letter: ``und`` with score 0. Rows without a label, or without an id, are not
 learnt from. With no labelled row at all every text is ``und``; with one language, texts with letters are that language
-with score 1. Languages of no listed family make one family together, called other. Repeated rows are judged each.
+with score 1. Languages of no listed family make one family together, called other. Repeated rows are judged each. A sample of fewer rows than languages takes one text of each.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqcast.llm.common import fresh, pieces, prepare
+from seqcast.llm.common import fresh, pieces, prepare, written
 
 #: Rows that the machines are fitted on at most, over all languages together.
 SAMPLE_ROWS = 4000
@@ -179,22 +180,14 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     """Fits the machines on at most ``sample_rows`` of the rows for which ``learn`` holds and the label is not null."""
     prepare(docs.sparkSession)
     whole = F.col(f"`{text}`").cast("string")
-    labelled = docs.where(learn & F.col(f"`{lang}`").isNotNull() & whole.rlike(r"\p{L}")).select(F.col(f"`{lang}`").cast("string").alias("lang"), whole.alias("text"), F.xxhash64(F.col(f"`{key}`").cast("string"), whole).alias("draw"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    each = max(1, sample_rows // max(1, len(counts)))
-    # A draw below the language's share of all draws; the share leaves room for chance, and rows beyond are cut.
-    share = F.lit(0.0)
-    for g, n in counts.items():
-        share = F.when(F.col("lang") == g, F.lit(min(1.0, each / n))).otherwise(share)
-    drawn = labelled.where((F.col("draw") / F.lit(2.0**64) + 0.5) < share).select("lang", "text")
-    rows = drawn.mapInArrow(_sampled, "lang string, features binary").limit(2 * sample_rows).collect()
-    rows.sort(key=lambda r: (r["lang"], r["features"]))
-    taken: dict[str, int] = {}
-    used = []
-    for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            used.append(r)
+    labelled = docs.where(learn & F.col(f"`{lang}`").isNotNull() & whole.rlike(r"\p{L}")).select(F.col(f"`{lang}`").cast("string").alias("lang"), whole.alias("text"), F.xxhash64(whole).alias("draw"))
+    draws = labelled.select("lang", "draw").distinct()
+    each = max(1, sample_rows // max(1, draws.select("lang").distinct().count()))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = written(draws.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth"), "draws")  # at most sample_rows
+    drawn = labelled.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    used = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, features binary").collect()
+    used.sort(key=lambda r: (r["lang"], r["features"]))
     x = np.stack([np.frombuffer(r["features"], np.float16) for r in used]).astype(np.float32) if used else np.zeros((0, 256 + HASHED), np.float32)
     return Model(x, [r["lang"] for r in used])
 

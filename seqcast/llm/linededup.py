@@ -13,8 +13,8 @@ of each round the intervals whose lines hold enough words are taken as well. Wor
 All of it is DataFrame functions. Ranks come from a range partitioning of *distinct* keys with their counts, and are the
 places in that order (with gaps), so that no window or sort holds a hot line: a line that a third of all documents have
 is one key. Suffixes whose rank is theirs alone cannot begin a repeated run and leave after each round, which leaves a
-small part of the lines of a clean corpus. Joins bring ranks back from tables with one row per key, so adaptive execution
-may split the other side.
+small part of the lines of a clean corpus. Joins bring ranks and first copies back from tables with one row per key, which
+are counted: the rows of a hot key are dealt out by as many salts as its count asks for.
 
 Defined cases. Null text has no lines and stays null. Blank lines are no lines; a text that loses lines loses its blank
 ones too, other texts stay as they are. "Earlier" is by id, then by line. Rows with one id are told apart by their text;
@@ -27,10 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqcast.llm.common import fresh, prepare, written
+from seqcast.operators.skew import join_on_key
 
 #: Lines of the shortest run that counts as repeated.
 MIN_LINES = 3
-#: Words from which a shorter run counts in a corpus; the query goes by lines alone, as its SQL does.
+#: Words from which a shorter run counts in a corpus.
 MIN_WORDS = 50
 _CONTENT = r"[^\x20\x09-\x0D]"
 _WORD = _CONTENT + "+"
@@ -46,11 +47,18 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
     return written(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id()), "ranks")
 
 
+def _with_ranks(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows that share their values of ``by`` with others, with the place of these."""
+    ranks = _ranked(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), *by)
+    return join_on_key(rows, ranks.drop("n"), by, counts=ranks.select(*by, "n"), spread_by=["doc", "mark", "k"])
+
+
 def _later(suffixes: DataFrame, lines: int) -> DataFrame:
     """The lines that suffixes beyond the first of their rank cover."""
     place = F.struct("doc", "mark", "k")
-    first = suffixes.groupBy("rank").agg(F.min(place).alias("first"))
-    later = suffixes.join(first, "rank").where(place > F.col("first"))
+    first = written(suffixes.groupBy("rank").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
+    later = join_on_key(suffixes, first.select("rank", "first"), ["rank"], counts=first.select("rank", "n"), spread_by=["doc", "mark", "k"])
+    later = later.where(place > F.col("first"))
     return later.select("doc", "mark", F.explode(F.sequence("k", F.col("k") + (lines - 1))).alias("k"))
 
 
@@ -65,8 +73,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
     own = [] if min_words is None else [F.regexp_count("line", F.lit(_WORD)).alias("own")]
     counted = [] if min_words is None else ["own", "total"]
     lines = written(rows.select("doc", "mark", "k", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *own).distinct(), "lines")
-    ranks = _ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "h1", "h2")
-    met = lines.join(ranks, ["h1", "h2"])
+    met = _with_ranks(lines, "h1", "h2")
     if counted:
         met = met.withColumn("total", F.col("own"))
     suffixes = written(met.select("doc", "mark", "k", F.col("place").alias("rank"), *counted), "suffixes")
@@ -80,8 +87,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", min_
         if counted:
             pairs = pairs.withColumn("total", F.col("own") + F.col("rest")).drop("rest")
         pairs = written(pairs, "pairs")
-        ranks = _ranked(pairs.groupBy("rank", "then").agg(F.count("*").alias("n")).where("n > 1").select("rank", "then"), "rank", "then")
-        suffixes = written(pairs.join(ranks, ["rank", "then"]).select("doc", "mark", "k", F.col("place").alias("rank"), *counted), "suffixes")
+        suffixes = written(_with_ranks(pairs, "rank", "then").select("doc", "mark", "k", F.col("place").alias("rank"), *counted), "suffixes")
         known += step
     gone = _later(suffixes, min_lines)
     for found in short:
@@ -98,13 +104,15 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lin
 
     Write the result before a Python function is applied to it: Spark 4.1 does not find one above these nested lambdas."""
     name = fresh(docs, "lines")
-    runs = written(repeated_runs(docs, key, text, min_lines, min_words), "runs").select(*(F.col(c).alias(f"{name}_{c}_") for c in ("doc", "mark", "runs", "removed")))
-    whole, gone = docs[f"`{text}`"].cast("string"), F.col(f"{name}_runs_")
-    met = docs.join(runs.hint("shuffle_hash"), (docs[f"`{key}`"] == F.col(f"{name}_doc_")) & (F.xxhash64(whole) == F.col(f"{name}_mark_")), "left")
+    doc, mark, found, removed = (fresh(docs, f"{name}_{c}") for c in ("doc", "mark", "runs", "removed"))
+    runs = written(repeated_runs(docs, key, text, min_lines, min_words), "runs")
+    runs = runs.select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("runs").alias(found), F.col("removed").alias(removed))
+    whole, gone = docs[f"`{text}`"].cast("string"), F.col(found)
+    met = docs.join(runs.hint("shuffle_hash"), (docs[f"`{key}`"] == F.col(doc)) & (F.xxhash64(whole) == F.col(mark)), "left")
     stay = F.filter(_lines(whole), lambda _, k: ~F.exists(gone, lambda r: (k >= r["first"]) & (k <= r["last"])))
     judged = F.struct(
         F.coalesce(F.size(_lines(whole)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.col(f"{name}_removed_"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.col(removed), F.lit(0)).cast("long").alias("n_removed"),
         gone.alias("runs"),
         F.when(gone.isNull(), whole).otherwise(F.array_join(stay, "\n")).alias("kept_text"),
     )

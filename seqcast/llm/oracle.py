@@ -65,9 +65,11 @@ FROM r
 
 ORACLE["op9_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-     win AS (SELECT doc_id, k, l[k : k + 2] AS run FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS k FROM d WHERE len(l) >= 3)),
-     ord AS (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM win),
-     gone AS (SELECT DISTINCT doc_id, unnest([k, k + 1, k + 2]) AS k FROM ord WHERE nth > 1),
+     win AS (SELECT doc_id, k, h, l[k : k + h - 1] AS run
+             FROM (SELECT doc_id, l, h, unnest(range(1, len(l) - h + 2)) AS k FROM d, (VALUES (1), (2), (3)) t(h) WHERE len(l) >= h)),
+     long AS (SELECT * FROM win WHERE h = 3 OR list_sum([len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) FOR x IN run]) >= 50),
+     ord AS (SELECT doc_id, k, h, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM long),
+     gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + h)) AS k FROM ord WHERE nth > 1),
      line AS (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS k FROM d),
      kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY k) AS x FROM line ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
      n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)

@@ -1,12 +1,13 @@
 """Harmonic packing of tokenized documents into sequences of fixed length.
 
 Pieces are put into reciprocal-capacity classes: a piece of length n is of class k when n lies in (capacity / (k + 1),
-capacity / k], and a bin of class k is closed after exactly k pieces of any lengths of that class; lengths that divide the
-capacity have bins of their own. Every task fills the bins of its own
-partition, so no rows move. Documents may be cut, so most lengths are made to be the upper ends of their classes: a
-document gives whole sequences first, then the binary digits of the rest down to ``SMALLEST``, which fill their bins
-without a gap, and a tail below ``SMALLEST``, whose bins waste less than one tail. What lies in bins that never get full
-is packed together at the end of the partition, longest first, so that a partition has about one half-empty sequence.
+capacity / k], and a bin of class k is closed after exactly k pieces of any lengths of that class. The last class takes
+all that is shorter than ``SMALLEST``: its one open bin is closed when a piece does not fit, and so wastes less than one
+of them. Every task fills the bins of its own partition, so no rows move. Documents may be cut, so longer lengths are made
+to be the upper ends of their classes: a document gives whole sequences first, then the binary digits of the rest down to
+``SMALLEST``, which fill their bins without a gap, and a tail of the last class. The few pieces in bins that are still
+open at the end of the partition are packed together, longest first, so that a partition has about one half-empty
+sequence.
 
 Defined cases. Null text is an empty one; it still has the end id. Repeated documents are packed each. Order of pieces in
 sequences follows the order of rows in the partition. An empty table gives no rows.
@@ -52,6 +53,8 @@ class Bins:
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
         self.open: dict[tuple[int, bool], list[tuple]] = defaultdict(list)
+        self.tails: list[tuple] = []
+        self.filled = 0
 
     def _closed(self, pieces: list[tuple]) -> list[tuple]:
         rows, offset = [], 0
@@ -62,7 +65,14 @@ class Bins:
         return rows
 
     def put(self, piece: tuple) -> list[tuple]:
-        """Adds a piece (key, start, length, ...); the rows of its bin if that is full now."""
+        """Adds a piece (key, start, length, ...); the rows of the bin that this closes."""
+        if piece[2] < SMALLEST:
+            closed = []
+            if self.filled + piece[2] > self.capacity:
+                closed, self.tails, self.filled = self._closed(self.tails), [], 0
+            self.tails.append(piece)
+            self.filled += piece[2]
+            return closed
         own = (self.capacity // piece[2], self.capacity % piece[2] == 0)
         pieces = self.open[own]
         pieces.append(piece)
@@ -73,7 +83,7 @@ class Bins:
     def rest(self) -> Iterator[list[tuple]]:
         """What is left, longest first into the first sequence with room."""
         sequences: list[tuple[int, list[tuple]]] = []
-        for piece in sorted((p for pieces in self.open.values() for p in pieces), key=lambda p: -p[2]):
+        for piece in sorted((p for pieces in [*self.open.values(), self.tails] for p in pieces), key=lambda p: -p[2]):
             for i, (filled, pieces) in enumerate(sequences):
                 if filled + piece[2] <= self.capacity:
                     pieces.append(piece)
@@ -82,6 +92,7 @@ class Bins:
             else:
                 sequences.append((piece[2], [piece]))
         self.open.clear()
+        self.tails, self.filled = [], 0
         for _, pieces in sequences:
             yield self._closed(pieces)
 

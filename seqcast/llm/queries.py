@@ -75,7 +75,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=linededup.MIN_WORDS)
     return judged.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("lines.kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -146,6 +146,8 @@ def decode_lanes(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, sy
 def _tokenized(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(path)
+        if max(encoder.library.get_vocab_size() - 1, end_id) >> 16:
+            raise ValueError("the file format holds ids of 16 bits")
         counts = np.zeros(1 << 16, np.int64)
         for batch in batches:
             found, first = encoder.encode_column(batch.column(1))

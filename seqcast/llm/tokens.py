@@ -10,6 +10,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from seqcast.llm.common import pieces
 from seqcast.llm.words import mixed, span_hashes, text_bytes
@@ -103,8 +104,9 @@ class PieceEncoder:
 
     A text is cut before each single space and at each single line feed, where the byte-level vocabulary never joins
     characters, and every distinct piece is encoded once by the library. Texts with runs of white space are encoded
-    whole. At most ``remember`` pieces are remembered, which bounds memory; then all are forgotten and learnt anew, so
-    results do not depend on it. Strings of special tokens in a text are ordinary text.
+    whole, and so are texts with the string of a special or added token, which the library takes for that token. At most
+    ``remember`` pieces are remembered, which bounds memory; then all are forgotten and learnt anew, so results do not
+    depend on it.
     """
 
     def __init__(self, path: str, remember: int = 2_000_000):
@@ -112,7 +114,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted({t.content for t in self.library.get_added_tokens_decoder().values()} - {""})
+        self.added = "|".join(map(re.escape, added))
         self.library.model._resize_cache(0)  # words are remembered here
         self.merges = self.library.model.tokenize
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
@@ -196,6 +199,9 @@ class PieceEncoder:
         space, feed = raw == 32, raw == 10
         head = space | feed
         odd = self._odd(texts, raw, head, places)
+        if self.added:
+            marked = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+            odd = sorted({*odd, *np.flatnonzero(marked).tolist()})
         head[places[:-1][places[:-1] < places[1:]]] = True
         at = np.flatnonzero(head)
         spaced, opens = space[at], feed[at]

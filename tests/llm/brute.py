@@ -119,7 +119,6 @@ def ids(text, end):
 
     if not hasattr(ids, "library"):
         ids.library = Tokenizer.from_file(vocabulary_path())
-        ids.library.encode_special_tokens = True
     return [*ids.library.encode(text or "", add_special_tokens=False).ids, end]
 
 

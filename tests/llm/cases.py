@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 #: Names that operators use for columns of their own.
-CLASHING = ("quality", "lines", "contamination", "predicted", "doc", "mark", "node", "component", "words", "ids", "near_duplicate_of", "place", "_row", "Text2")
+CLASHING = ("quality", "lines", "contamination", "predicted", "doc", "mark", "node", "component", "words", "ids", "near_duplicate_of", "place", "_row", "Text2", "lines_doc_", "lines__doc", "lines__runs", "_salt")
 
 VOCABULARY = [a + b + c for a in ("ba", "ki", "lo", "mu", "ne") for b in ("ra", "si", "to") for c in ("", "n", "st", "x")]
 

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from seqcast.llm import linededup, neardup, packing
+from seqcast.llm import linededup, neardup, packing, tokenfiles
 from tests.llm import brute, cases
 
 
@@ -105,7 +105,81 @@ def test_runs_of_few_long_lines(spark, least):
 
 def test_bins_hold_a_class():
     bins = packing.Bins(2048, 0)
-    closed = [bins.put((k, 0, 50 + k % 2)) for k in range(40)]  # 2048 // 50 == 2048 // 51 == 40
-    assert closed[:-1] == [[]] * 39 and len(closed[-1]) == 40 and not bins.open
-    mixed = [bins.put((k, 0, 63 + k % 2)) for k in range(62)]  # one class, but 64 fills its bins without a gap
-    assert mixed == [[]] * 62 and len(bins.open) == 2
+    closed = [bins.put((k, 0, 500 + k % 2)) for k in range(8)]  # 2048 // 500 == 2048 // 501 == 4
+    assert [len(c) for c in closed] == [0, 0, 0, 4] * 2 and not bins.open
+    mixed = [bins.put((k, 0, 511 + k % 2)) for k in range(6)]  # one class, but 512 fills its bins without a gap
+    assert mixed == [[]] * 6 and len(bins.open) == 2
+
+
+def test_tails_share_one_open_bin():
+    bins = packing.Bins(2048, 0)
+    closed = [bins.put((k, 0, 50 + k % 2)) for k in range(41)]
+    assert closed[:-1] == [[]] * 40 and len(closed[-1]) == 40  # 2,020 tokens, and the next did not fit
+    assert [r[-1] for r in closed[-1]][:3] == [0, 50, 101] and len(bins.tails) == 1
+    assert [len(rows) for rows in bins.rest()] == [1] and not bins.tails
+
+
+def test_strings_of_special_tokens_are_tokens(spark):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", " a\n<|endoftext|>b", "<|endof text|>", "plain  text"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["ids"] for r in packing.pack(rows).collect()}
+    for i, t in enumerate(texts):
+        want = brute.ids(t, 1)
+        assert found[i] == b"".join(x.to_bytes(4, "little") for x in want), t
+    assert 50256 in brute.ids(texts[0], 1)
+
+
+def test_ids_that_the_files_cannot_hold(spark):
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    with pytest.raises(Exception, match="16 bits"):
+        tokenfiles.write_ids(rows, end_id=1 << 16)
+
+
+def near_copies(n, length=200, edits=6, seed=11):
+    """Different near copies of one text, and some that are further from it but near each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    rows = []
+    for k in range(n):
+        copy = list(base)
+        for _ in range(rng.randint(0, 2) if k % 10 else edits):
+            copy[rng.randrange(length)] = f"new{rng.randrange(10**7)}"
+        rows.append((k, " ".join(copy)))
+        if k % 10 == 0:
+            copy[rng.randrange(length)] = f"twin{k}"
+            rows.append((n + k, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("percent", [85, 30, 20])
+def test_large_groups_by_pivots(spark, monkeypatch, percent):
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "PIVOTS", 3)
+    rows = sorted(near_copies(120))
+    if percent < 50:
+        rng = random.Random(5)
+        for n in (4, 9, 20, 31, 60, 150):  # sets whose sizes lie folds apart
+            words = [f"s{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(1000 + 10 * n, " ".join(words)), (1001 + 10 * n, " ".join([*words, *(f"t{rng.randrange(10**6)}" for _ in range(int(n * 2.2)))]))]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).collect()
+    cases.same([tuple(r) for r in found], linked(rows, percent))
+
+
+def test_near_copies_cost_a_few_comparisons_each(spark, monkeypatch):
+    """Beyond the pivots, only members without a near one are compared with the group."""
+    seen = []
+    real = neardup.written
+
+    def written(df, name):
+        out = real(df, name)
+        if name == "distances":
+            seen.append(out.groupBy("alone").count().collect())
+        return out
+
+    monkeypatch.setattr(neardup, "written", written)
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    rows = [r for r in near_copies(1500, edits=2) if r[0] < 1500]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    alone = {r["alone"]: r["count"] for r in seen[0]}
+    assert alone.get(True, 0) < 0.05 * alone[False]
