@@ -14,7 +14,7 @@ windows inside it are looked up one by one in the same way, and lengthen the fac
 
 A text is hashed into phrases once, and moved once, into a table of buckets by document, which meets the lists of places
 without moving again. In an index block rows are sorted and passed over (with room on disk), so that no group is held.
-The rows of an anchor that much of a sample of documents has (``HOT_DOCS`` of ``SAMPLE_DOCS``, for how rows are dealt out
+The rows of an anchor that a sample of documents often has (``HOT_ROWS`` in ``SAMPLE_DOCS``, for how rows are dealt out
 alone) are dealt out by ``SHARES`` shares of the documents first, and only the first of each share meet.
 
 Defined cases. Null text, text without words or with fewer than a window: nothing is removed. A null id: the row is
@@ -41,8 +41,8 @@ from seqcast.session import bucketed_table
 WINDOW = 13
 #: Words of an anchor shingle.
 ANCHOR = 6
-#: An anchor is hot if at least so many of a sample of so many documents have it.
-HOT_DOCS, SAMPLE_DOCS = 64, 4096
+#: An anchor is hot if it stands at least so often in a sample of so many documents.
+HOT_ROWS, SAMPLE_DOCS = 64, 4096
 #: Shares of the documents that the rows of a hot anchor are dealt out by.
 SHARES = 256
 #: Rows of windows that are sampled to find hot ones.
@@ -189,27 +189,32 @@ def _parsed(size: int, with_text: bool):
     return F.arrow_udf(run, kind)
 
 
-def _looked_up(rows: DataFrame, group: str, exact: str, hot: DataFrame, wanted: Column) -> DataFrame:
+def _looked_up(rows: DataFrame, group: str, exact: str, hot: DataFrame, with_new: bool) -> DataFrame:
     """Rows (doc, place, reference, position) of the rows (group, exact, doc, place) that equal one of an earlier
-    document, with the first of these (in a hot group, the first of a share of them); and, if ``wanted``, a condition on ``several`` (their group has rows of several
-    documents and is not all equal), those that don't, without a reference."""
-    place, hot = F.struct("doc", "place"), F.broadcast(hot)
+    document, with the first of these (in a hot group, the first of a share of them). ``with_new`` adds, without a
+    reference, the rows that don't, of groups that have several documents and are not all equal, and of hot groups.
+
+    Hot groups are dealt out by shares of the documents; only what is first in its share meets once more.
+    """
+    place = F.struct("doc", "place")
 
     def first(*by: str) -> Column:
-        return F.first(place).over(Window.partitionBy(*by).orderBy("doc", "place")).alias("first")
-
-    together = Window.partitionBy(group)
-    many = (F.min(exact).over(together) != F.max(exact).over(together)) & (F.min("doc").over(together) != F.max("doc").over(together))
-    cold = rows.join(hot, group, "left_anti").repartition(group).select("doc", "place", first(group, exact), many.alias("several"))
-    # Rows of hot groups meet the first of a share of the documents; what is first there, the first of all.
-    busy = rows.join(hot, group, "left_semi").withColumn("share", F.pmod(F.xxhash64("doc"), F.lit(SHARES)).cast("int"))
-    met = busy.select(group, exact, "doc", "place", first(group, exact, "share"))
-    new = met.where("doc = first.doc").select("doc", "place", first(group, exact), F.lit(True).alias("several"))
-    known = met.where("first.doc < doc").select("doc", "place", "first", F.lit(True).alias("several"))
-    found = cold.unionByName(known).unionByName(new)
+        return F.first(place).over(Window.partitionBy(*by).orderBy("doc", "place"))
+
     copies = F.col("first.doc") < F.col("doc")
-    reference, position = (F.when(copies, F.col(f"first.{c}")) for c in ("doc", "place"))
-    return found.where(copies | wanted).select("doc", "place", reference.alias("reference"), position.alias("position"))
+    reference, position = (F.when(copies, F.col(f"first.{c}")).alias(n) for c, n in (("doc", "reference"), ("place", "position")))
+    flagged = rows.join(F.broadcast(hot.withColumn("hot", F.lit(True))), group, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SHARES))).otherwise(F.lit(-1))
+    dealt = flagged.withColumn("share", share).repartition(group, "share")
+    together = Window.partitionBy(group, "share")
+    several = (F.min(exact).over(together) != F.max(exact).over(together)) & (F.min("doc").over(together) != F.max("doc").over(together))
+    met = dealt.select(group, exact, "doc", "place", "hot", first(group, exact, "share").alias("first"), several.alias("several"))
+    again = (F.col("hot") & ~copies).alias("again")
+    kept = met.where(copies | F.col("hot") | (F.col("several") & F.lit(with_new)))
+    kept = written(kept.select("doc", "place", reference, position, again, *(F.when(again, F.col(c)).alias(c) for c in (group, exact))), "looked-up")
+    new = kept.where("again").select("doc", "place", first(group, exact).alias("first")).where(copies | F.lit(with_new))
+    new = written(new.select("doc", "place", reference, position), "looked-up")
+    return kept.where("not again").select(*new.columns).unionByName(new)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW, anchor: int = ANCHOR, with_text: bool = True) -> DataFrame:
@@ -230,14 +235,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
         return some.mapInArrow(_phrase_rows(size, anchor), "anchor long, phrase long, doc long, place long")
 
     drawn = phrases_of(texts.sample(min(1.0, SAMPLE_DOCS / max(1, texts.count())), seed=1))
-    hot = written(drawn.groupBy("anchor").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= HOT_DOCS).select("anchor"), "hot")
-    marked = written(_looked_up(phrases_of(texts), "anchor", "phrase", hot, F.col("several")), "phrases")
+    hot = written(drawn.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select("anchor"), "hot")
+    marked = _looked_up(phrases_of(texts), "anchor", "phrase", hot, True)
     edges = marked.where("reference is null").groupBy("doc", mark).agg(F.collect_list("place").alias("places"))
     beside = texts.join(edges, ["doc", "mark"]).select("doc", "text", "places")
     windows = written(beside.mapInArrow(_window_rows(size), "w1 long, w2 long, doc long, place long"), "windows")
     sampled = windows.sample(min(1.0, SAMPLE_WINDOWS / max(1, windows.count())), seed=1).groupBy("w1").agg(F.count("*").alias("n"))
-    hot = written(hot_keys(sampled, ["w1"]).where(F.col("n") >= HOT_DOCS).select("w1"), "hot")
-    single = _looked_up(windows, "w1", "w2", hot, F.lit(False))
+    hot = written(hot_keys(sampled, ["w1"]).where(F.col("n") >= HOT_ROWS).select("w1"), "hot")
+    single = _looked_up(windows, "w1", "w2", hot, False)
     spans = marked.where("reference is not null").unionByName(single)
     spans = spans.groupBy("doc", mark).agg(F.collect_list(F.struct("place", "reference", "position")).alias("spans"))
     spans = written(spans, "spans")
