@@ -8,7 +8,8 @@ rough groups, which are compared inside tasks: the Jaccard index is estimated fr
 that agree by chance, and pairs that may reach the threshold are confirmed on the full sets. Confirmed links give the
 components; a pair that is connected already is not compared.
 
-A rough group beyond ``BLOCK`` classes is cut into blocks, so no task holds a whole group. Each of its members is first
+A rough group beyond ``BLOCK`` classes is cut into blocks, so no task holds a whole group, and blocks are compared in
+pairs. In a group of more than ``PIVOT_BLOCKS`` blocks each member is first
 compared with ``PIVOTS`` members of the group: those linked with one are tied to it, and pivots that share a member to each
 other. What is tied together needs no further comparison with each other; only members outside the largest such cluster
 of the group are compared with all the group, block by block, and there only where the distances to the pivots allow a
@@ -52,8 +53,8 @@ MANTISSA = 10
 MISSED = 1e-6
 #: Classes of one block of a rough group, about, and bytes of their sets.
 BLOCK, BLOCK_BYTES = 256, 16 << 20
-#: Members of a large rough group that all others are compared with first.
-PIVOTS = 8
+#: Members that all others are compared with first, in rough groups of more than so many blocks.
+PIVOTS, PIVOT_BLOCKS = 8, 16
 #: How far below a threshold of 85 percent an estimate may lie (five standard deviations of an estimate near it).
 MARGIN = 0.16
 _EMPTY = 0xFFFF
@@ -313,13 +314,17 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     sizes = written(sizes.where("size > 1").select("component", blocks.alias("blocks"), F.col("size").alias("n")), "sizes")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = members.join(sizes.select("component", "blocks"), "component").withColumn("block", own)
-    none = F.lit(None).cast("array<double>").alias("far")
-    small = placed.where("blocks = 1").select("component", "node", "shingles", F.lit(0).alias("side"), none)
-    found = small.groupBy("component").applyInArrow(_compared(percent), "u long, v long")
-    if sizes.where("blocks > 1").isEmpty():
+    # Blocks of a group in pairs; a group of one block is the pair of that block with itself.
+    few = placed.where(F.col("blocks") <= PIVOT_BLOCKS)
+    met = few.select("component", "node", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles", F.col("block").alias("side"))
+    # Dealt out by block pair: left to itself, the grouping may be content with the partitions by component.
+    met = met.withColumn("far", F.lit(None).cast("array<double>")).repartition("component", "i", "j")
+    found = met.groupBy("component", "i", "j").applyInArrow(_compared(percent), "u long, v long")
+    if sizes.where(F.col("blocks") > PIVOT_BLOCKS).isEmpty():
         return found
-    # Pivots of large groups go to each of its blocks.
-    large = placed.where("blocks > 1").withColumn("mark", F.xxhash64("shingles"))  # an id may have several sets
+    # Pivots of large groups go to each of its blocks. An id may have several sets.
+    large = written(placed.where(F.col("blocks") > PIVOT_BLOCKS).withColumn("mark", F.xxhash64("shingles")), "large")
     drawn = F.struct(F.xxhash64("node", "component").alias("draw"), "node")
     chosen = large.groupBy("component", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("nth")).agg(F.min(drawn).alias("least"), F.max("blocks").alias("blocks"))
     chosen = written(chosen.select("component", F.col("least.node").alias("node"), "blocks"), "chosen")
@@ -344,7 +349,6 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     alone = placed.where("alone").withColumn("i", F.pmod(F.xxhash64("node", F.lit(2)), F.col("rows")).cast("int"))
     alone = alone.select("component", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "shingles", F.lit(0).alias("side"), "far")
     others = placed.select("component", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.col("block").alias("j"), "node", "shingles", F.lit(1).alias("side"), "far")
-    # Dealt out by block pair: left to itself, the grouping may be content with the partitions by component.
     beside = alone.unionByName(others).repartition("component", "i", "j")
     rest = beside.groupBy("component", "i", "j").applyInArrow(_compared(percent), "u long, v long")
     return found.unionByName(tied).unionByName(rest.where("u != v"))

@@ -1,8 +1,10 @@
 """Tokens, packing, token files, archives, language identification and the language model."""
 
+import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,12 +201,73 @@ def test_record_checks():
 def test_held_out_accuracy(spark):
     found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(found, ~langid.held_out())
-    judged = langid.predict(found.where(langid.held_out()), model).select("lang", "predicted.*" if False else F.col("predicted.lang").alias("guess"), F.col("predicted.score").alias("score")).collect()
+    judged = langid.predict(found.where(langid.held_out()), model).select("lang", F.col("predicted.lang").alias("guess"), F.col("predicted.score").alias("score")).collect()
     assert len(judged) > 200 and sum(r["lang"] == r["guess"] for r in judged) >= 0.97 * len(judged)
     assert all(0 < r["score"] <= 1 for r in judged)
     assert set(model.of_family) == {"germanic", "romance"} and set(model.of_pair) == {("de", "en"), ("es", "fr")}
 
 
+def test_features_by_hand():
+    texts = ["Aé b, c", "", "zz  ZZ", "ß"]
+    got = langid.features(pa.array(texts))
+    for text, row in zip(texts, got, strict=True):
+        folded = [b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in text.encode()]
+        counts = {}
+        for b in folded:
+            if b != 32:
+                counts[b] = counts.get(b, 0) + 1
+        for size in (2, 3):
+            for k in range(len(folded) - size + 1):
+                gram = folded[k : k + size]
+                if set(gram) == {32}:
+                    continue
+                code = gram[0] * 0x9E3779B1 % 2**32
+                for b in gram[1:]:
+                    code = (code ^ b) * 0x85EBCA6B % 2**32
+                place = 256 + code * langid.HASHED // 2**32
+                counts[place] = counts.get(place, 0) + 1
+        total = sum(counts.values())
+        want = [(counts.get(k, 0) / total) ** 0.5 if total else 0.0 for k in range(256 + langid.HASHED)]
+        assert row.tolist() == pytest.approx(want, abs=1e-6)
+
+
+def test_verdicts_by_hand(spark):
+    """Families by the surest machine, then the language that wins most pairs, from the machines' numbers alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
+    model = langid.fit(docs, ~langid.held_out())
+    rows = langid.predict(docs, model).limit(60).collect()
+    for r in rows:
+        x = langid.features(pa.array([r["text"]]))[0]
+
+        def sure(k):
+            margin = sum(float(a) * float(b) for a, b in zip(x, model.weights[:, k], strict=True) if a) + float(model.biases[k])
+            return 1 / (1 + math.exp(-langid.SHARPNESS * margin))
+
+        chances = {f: sure(k) + 1e-9 for f, k in model.of_family.items()}
+        best = max(chances, key=chances.get)
+        won, total = dict.fromkeys(model.members[best], 0), dict.fromkeys(model.members[best], 0.0)
+        for (a, b), k in model.of_pair.items():
+            if a in won:
+                p = sure(k)
+                won[a if p > 0.5 else b] += 1
+                total[a] += p
+                total[b] += 1 - p
+        guess = max(won, key=lambda g: (won[g], total[g]))
+        score = chances[best] / sum(chances.values()) * total[guess] / (len(won) - 1)
+        assert (r["predicted"]["lang"], r["predicted"]["score"]) == (guess, pytest.approx(score, abs=1e-4))
+
+
+def test_no_language_is_lost_among_repeated_rows(spark):
+    rows = [(k, f"the quick brown fox number {chr(97 + k % 26)}{chr(97 + k // 26)} jumps over it", "en") for k in range(400)]
+    rows += [(1000 + k, "der schnelle braune Fuchs springt weit", "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for sample in (2, 50):
+        model = langid.fit(docs, F.lit(True), sample_rows=sample)
+        assert model.languages == ["de", "en"]
+    found = langid.predict(docs, model).groupBy("lang", "predicted.lang").count().collect()
+    assert {(r[0], r[1]) for r in found} == {("en", "en"), ("de", "de")}
+
+
 def test_languages_of_awkward_rows(docs):
     learn = F.col("doc_id").isNotNull()
     judged = langid.predict(docs, langid.fit(docs, learn))

@@ -155,6 +155,7 @@ def near_copies(n, length=200, edits=6, seed=11):
 def test_large_groups_by_pivots(spark, monkeypatch, percent):
     monkeypatch.setattr(neardup, "BLOCK", 16)
     monkeypatch.setattr(neardup, "PIVOTS", 3)
+    monkeypatch.setattr(neardup, "PIVOT_BLOCKS", 1)
     rows = sorted(near_copies(120))
     if percent < 50:
         rng = random.Random(5)
@@ -178,6 +179,7 @@ def test_near_copies_cost_a_few_comparisons_each(spark, monkeypatch):
 
     monkeypatch.setattr(neardup, "written", written)
     monkeypatch.setattr(neardup, "BLOCK", 64)
+    monkeypatch.setattr(neardup, "PIVOT_BLOCKS", 4)
     rows = [r for r in near_copies(1500, edits=2) if r[0] < 1500]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["component_id"] for r in found} == {0}

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqcast.llm import langid
+from seqcast.llm import langid, linededup, neardup
 from seqcast.llm.oracle import ORACLE
 from seqcast.llm.queries import REGISTRY
 from tests.llm import brute, cases
+from tests.llm.test_limits import linked, long_runs
 
 SF_DIR = os.environ.get("LLM_SF_DIR", "/root/testdata/sf0.001")
 
@@ -62,10 +63,11 @@ def test_quality_query_agrees_with_labels(spark):
 
 
 def brute_pipeline(rows, items):
-    """Ids with the texts that get to packing; ``rows`` (id, text) hold no text that a language is in doubt for."""
+    """Ids with the texts that get to packing, by the stages' own rules; ``rows`` (id, text), ids ascending, hold no text
+    that a language is in doubt for."""
     rows = [(i, t) for i, t in rows if t and langid.has_letter(t)]
-    rows = [(i, t) for i, n, gone, t in brute.line_dedup(rows) if not gone or gone < n]
-    kept = {r[0] for r in brute.near_duplicates(rows) if r[3]}
+    rows = long_runs(rows, linededup.MIN_LINES, linededup.MIN_WORDS)
+    kept = {r[0] for r in linked(rows, neardup.STAGE_PERCENT) if r[3]}
     rows = [(i, t) for i, t in rows if i in kept]
     return [(i, t) for (i, t), c in zip(rows, brute.contamination(rows, items), strict=True) if not c[5]]
 
@@ -75,7 +77,10 @@ def corpus(rng):
     run = "\n".join(cases.prose(rng, 6) for _ in range(4))
     near = clean[2].split(" ")
     near[3] = "changed"
-    texts = [*clean, clean[0], run + "\n" + clean[4] + "x", clean[5] + "\n" + run, " ".join(near), clean[8].upper(), "12 34 !!", "", None, "\n".join(clean[9:11])]
+    wide = cases.prose(rng, 100).split(" ")
+    edited = [f"new{k}" if k in (30, 60) else x for k, x in enumerate(wide)]  # 86 of 106 shingles in common
+    passage = cases.prose(rng, 70)  # a line long enough to count alone
+    texts = [*clean, " ".join(wide), " ".join(edited), "Begin so.\n" + passage, "Or so.\n" + passage + "\nAnd end.", passage, clean[0], run + "\n" + clean[4] + "x", clean[5] + "\n" + run, " ".join(near), clean[8].upper(), "12 34 !!", "", None, "\n".join(clean[9:11])]
     return [(k, t, "en", "s", None if t is None else len(t)) for k, t in enumerate(texts)], [(1, clean[20].split("\n")[0]), (2, "no such words here")]
 
 

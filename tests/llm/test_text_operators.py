@@ -24,8 +24,10 @@ def test_near_duplicates(docs):
     cases.same(bare(found), brute.near_duplicates(cases.plain()))
 
 
-def test_near_duplicates_in_blocks(docs, monkeypatch):
+@pytest.mark.parametrize("pivots_from", [1, 100])
+def test_near_duplicates_in_blocks(docs, monkeypatch, pivots_from):
     monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "PIVOT_BLOCKS", pivots_from)
     cases.same(bare(neardup.near_duplicates(docs).collect()), brute.near_duplicates(cases.plain()))
 
 
@@ -197,7 +199,7 @@ def test_empty_tables(spark):
 
 
 def test_repeated_passages_of_hot_anchors(docs, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_DOCS", 1)  # every anchor
+    monkeypatch.setattr(substrings, "HOT_ROWS", 1)  # every anchor
     monkeypatch.setattr(substrings, "SHARES", 3)
     found = substrings.remove_repeats(docs, with_text=False)
     cases.same(bare(found.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), brute.repeats(cases.plain()))
