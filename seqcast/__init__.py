@@ -33,15 +33,17 @@ from seqcast.operators.windows import assign_batches, both_blocks, make_windows,
 from seqcast.schema import FEATURES, Category, SequenceConfig
 from seqcast.session import build_session
 from seqcast.sources.lineitem import bars_from_lineitem
-from seqcast.sources.readers import read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols
+from seqcast.sources.readers import read_bars_csv, read_symbol_files, read_symbol_folders, read_symbols, symbol_files
 from seqcast.sources.writers import (
     load_model,
     predictions_as_documents,
     save_model,
     with_run_label,
     write_predictions,
+    write_symbol_files,
 )
 from seqcast.training.averaging import AveragedModel, fit_averaged
 from seqcast.training.forecaster import fit_forecaster
 from seqcast.training.kernels import LinearKernel, LstmKernel
+from seqcast.training.maps import fit_least_squares, fit_linear_averaged
 from seqcast.training.predict import persistence_forecast, predict_all, predict_one_ahead, prediction_series
