@@ -212,8 +212,10 @@ def _looked_up(rows: DataFrame, group: str, exact: str, hot: DataFrame, with_new
     again = (F.col("hot") & ~copies).alias("again")
     kept = met.where(copies | F.col("hot") | (F.col("several") & F.lit(with_new)))
     kept = written(kept.select("doc", "place", reference, position, again, *(F.when(again, F.col(c)).alias(c) for c in (group, exact))), "looked-up")
-    new = kept.where("again").select("doc", "place", first(group, exact).alias("first")).where(copies | F.lit(with_new))
-    new = written(new.select("doc", "place", reference, position), "looked-up")
+    # All places of a document are one row here, so that a passage that a document repeats weighs no more than another.
+    once = kept.where("again").groupBy(group, exact, "doc").agg(F.collect_list("place").alias("places"), F.min("place").alias("place"))
+    new = once.select("doc", "places", first(group, exact).alias("first")).where(copies | F.lit(with_new))
+    new = written(new.select("doc", F.explode("places").alias("place"), reference, position), "looked-up")
     return kept.where("not again").select(*new.columns).unionByName(new)
 
 
