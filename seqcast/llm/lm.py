@@ -6,15 +6,17 @@ the table in a join.
 
 The network reads the last word and predicts the next among the ``VOCABULARY`` most frequent words, the end, and one
 class for all others; the softmax is factored into classes of words of like frequency. It is trained by backpropagation
-through ``STEPS`` words at a time, state carried on from one such window to the next: every partition trains on all of
-its training texts once, beginning from the same weights (output biases from the counts), and the weights are averaged
+through ``STEPS`` words at a time, state carried on from one such window to the next. Training texts are dealt by hash into
+``ROUNDS`` rounds, and those of a round into shards of about ``SHARD_WORDS`` words, whatever the partitions of the input.
+Every shard of a round trains on its texts once, in the order of their hashes, beginning from the same weights (at first
+output biases from the counts), with steps that get smaller from round to round; the weights of its shards are averaged
 by words seen, in a tree. Scoring carries the state through a whole text of any length. Another word costs what the
 class of others costs times its share by smoothed counts, so that scores are logarithms of probabilities of the text.
 
 Texts run side by side in lanes; a lane takes the next text when one ends, so work is even whatever the lengths.
 
 Defined cases. Null and empty texts: the end alone. Rows without an id are scored but not learnt from. Repeated rows are
-scored (and learnt from) each. Without training texts every count is zero and the network gives its first guess. An empty
+scored (and learnt from) each; rows that are equal in all columns are learnt from in one shard. Without training texts every count is zero and the network gives its first guess. An empty
 table gives an empty result.
 """
 
@@ -29,14 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcast.llm.common import pieces, prepare, written
+from seqcast.llm.common import fresh, pieces, prepare, written
 from seqcast.llm.words import Words
 
 #: Words whose counts every task holds; words of the network, in classes of this many; its units.
 KNOWN = 1 << 18
-VOCABULARY, CLASS_WORDS, UNITS = 1024, 32, 16
+VOCABULARY, CLASS_WORDS, UNITS = 4096, 64, 16
 #: Words of a window of training, texts side by side, and the step of the optimizer.
 STEPS, LANES, RATE = 64, 256, 1.0
+#: Rounds of training, after each of which weights are averaged, and words of one shard of a round, about.
+ROUNDS, SHARD_WORDS = 8, 1 << 20
 #: Words that a task folds into counts before it sends them on.
 MOMENTUM, CLIP = 0.9, 0.25
 RATES = {"inputs": 4.0, "recurrent": 0.5, "class_weights": 0.5, "class_bias": 0.5, "word_weights": 2.0, "word_bias": 2.0}
@@ -310,7 +314,7 @@ def _numbered(words: Words, lexicon: Lexicon, row: int, at: np.ndarray, known: n
     return np.append(np.where(known[a:b], lexicon.number[at[a:b]], OTHER) if len(lexicon.number) else np.full(b - a, OTHER), END)
 
 
-def _trained(lexicon: Lexicon, weights: np.ndarray):
+def _trained(lexicon: Lexicon, weights: np.ndarray, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = lexicon.number != OTHER
         near = Lexicon(lexicon.hashes[small], lexicon.counts[small], lexicon.number[small], 0, 0, 0)
@@ -324,7 +328,7 @@ def _trained(lexicon: Lexicon, weights: np.ndarray):
                         yield None, _numbered(words, near, row, at, known)
 
         network = Network(lexicon.size).load(weights)
-        seen = train(network, texts())
+        seen = train(network, texts(), rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([network.flat().tobytes()], pa.binary())], names=["part", "seen", "weights"])
 
@@ -406,15 +410,26 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame,
     order = np.argsort(hashes)
     lexicon = Lexicon(hashes[order], n[order], number[order], texts, int(total["tokens"]) + texts, int(total["distinct"]) + (texts > 0), 2 + inside, int(n[:inside].sum()) + texts)
     shares = np.concatenate([[texts, max(0, lexicon.tokens - lexicon.inside)], n[:inside]]).astype(np.float64)
-    network = Network(lexicon.size, shares)
-    rows = written(training.mapInArrow(_trained(lexicon, network.flat()), "part long, seen double, weights binary"), "weights")
+    weights = Network(lexicon.size, shares).flat()
+    mark = fresh(docs, "mark")
+    dealt = docs.where(learn).select(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias(mark), F.col(f"`{text}`").cast("string").alias(text))
+    shards = max(1, round(lexicon.tokens / (ROUNDS * SHARD_WORDS)))
+    for r in range(ROUNDS):
+        share = dealt.where(F.pmod(F.xxhash64(F.lit("round"), mark), F.lit(ROUNDS)) == r)
+        weights = _round(share.repartition(shards, mark).sortWithinPartitions(mark).select(text), lexicon, weights, RATE * (ROUNDS - r) / ROUNDS)
+    return counts, lexicon, weights
+
+
+def _round(shards: DataFrame, lexicon: Lexicon, weights: np.ndarray, rate: float) -> np.ndarray:
+    """The weights after every partition has trained on its texts, averaged by words seen."""
+    rows = written(shards.mapInArrow(_trained(lexicon, weights, rate), "part long, seen double, weights binary"), "weights")
     while rows.count() > FAN_IN:
         rows = written(rows.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(lambda g: _averaged(g), "part long, seen double, weights binary"), "weights")
     found = sorted(rows.collect(), key=lambda r: r["part"])  # at most FAN_IN rows
     if not found:
-        return counts, lexicon, network.flat()
+        return weights
     seen = sum(r["seen"] for r in found)
-    return counts, lexicon, (sum(r["seen"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in found) / seen).astype(np.float32)
+    return (sum(r["seen"] * np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in found) / seen).astype(np.float32)
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, lexicon: Lexicon, weights: np.ndarray, key: str = "doc_id", text: str = "text", held_out: Column | None = None) -> DataFrame:
