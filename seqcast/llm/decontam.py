@@ -6,8 +6,10 @@ one shingle suffices as the join key when shingles are ordered by rarity: each w
 its shingles that is rarest in the documents. A meeting fixes where the window would begin; the bounds of the text
 (position and length) and then every word are compared before it counts.
 
-The benchmark is a stated query set. It is cut into blocks of bounded size, and each block's index, not the documents,
-is sent to the tasks; documents are never shuffled. More blocks mean more steps of one pass, whatever the documents.
+The benchmark is a stated query set. It is cut into blocks of bounded size, and the blocks' indexes, not the documents,
+are sent to the tasks; documents are never shuffled. Up to ``GROUP_BLOCKS`` blocks share two passes over the documents,
+one that counts shingles and one that matches, each of which parses a text once. A larger benchmark takes two more passes
+for every further group, so that no task ever holds more than one group.
 
 Defined cases. Null or empty text, or text without words: no words, nothing hit. Null item text: no window. An item
 without an id marks words but isn't listed. Items repeated under one id count once; repeated documents are each judged.
@@ -23,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcast.llm.common import fresh, pieces, prepare
+from seqcast.llm.common import fresh, pieces, prepare, written
 from seqcast.llm.words import NOT_ALNUM, Words
 
 #: Words of a benchmark window.
 WINDOW = 10
 #: Words of a shingle, the unit of the rarity order.
 SHINGLE = 3
-#: Bytes of benchmark text in one block, about; its index takes some 50 times as much in each task.
+#: Bytes of benchmark text in one block, about; its index takes some 15 times as much in each task.
 BLOCK_BYTES = 1 << 20
+#: Blocks that a task holds together.
+GROUP_BLOCKS = 16
 _SIEVE_BITS = 20
 
 
@@ -50,12 +54,17 @@ class Index:
                 begun.setdefault(window, at)
                 seen.setdefault(window, set()).update(() if item is None else (item,))
         self.size = size
-        self.texts = [b" ".join(w) for w in seen]
-        self.items = [sorted(x) for x in seen.values()]
         self.length = np.array([len(w) for w in seen], np.int64)
-        self.words = np.zeros((len(seen), size), np.uint64)
-        for i, (window, at) in enumerate(begun.items()):
-            self.words[i, : len(window)] = words.hash[at : at + len(window)]
+        # The words of the block as hashes and as one text; a window is a place in them.
+        self.begin = np.array(list(begun.values()), np.int64)
+        self.hash = np.append(words.hash, np.uint64(0))
+        self.flat = b" ".join(text)
+        self.start = np.concatenate([[0], np.cumsum([len(w) + 1 for w in text])]).astype(np.int64)
+        # The items of a window are numbers into their sorted names.
+        self.names = sorted(set().union(*seen.values()))
+        number = {n: i for i, n in enumerate(self.names)}
+        self.item = np.array([number[n] for x in seen.values() for n in x], np.int64)
+        self.item_first = np.concatenate([[0], np.cumsum([len(x) for x in seen.values()])]).astype(np.int64)
         # All shingles of all windows: which window, at which of its words, and the hash.
         self.window_of, self.offset, self.shingle = [], [], []
         for i, (window, at) in enumerate(begun.items()):
@@ -109,7 +118,7 @@ class Index:
             begin, window = begin[fits], window[fits]
             for k in range(self.size):
                 short = self.length[window] <= k
-                same = short | (words.hash[np.where(short, 0, begin + k)] == self.words[window, k])
+                same = short | (words.hash[np.where(short, 0, begin + k)] == self.hash[np.where(short, 0, self.begin[window] + k)])
                 begin, window = begin[same], window[same]
             places.append(begin)
             windows.append(window)
@@ -119,23 +128,30 @@ class Index:
 
     def true(self, words: Words, begin: int, window: int) -> bool:
         """Word by word in bytes, as the last check of a meeting."""
-        return b" ".join([words.text(begin + k) for k in range(int(self.length[window]))]) == self.texts[window]
+        at, n = int(self.begin[window]), int(self.length[window])
+        return b" ".join([words.text(begin + k) for k in range(n)]) == self.flat[self.start[at] : self.start[at + n] - 1]
+
+    def items(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.item_first[window] : self.item_first[window + 1]]]
 
 
-def _counted(block: Index):
+def _counted(blocks: list[Index]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(block.keys), np.int64)
+        counts = [np.zeros(len(block.keys), np.int64) for block in blocks]
         for batch in batches:
             for part in pieces(batch.column(0)):
-                for _, key in block.met(Words(part, NOT_ALNUM, lower=True)):
-                    counts += np.bincount(key, minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["key", "n"])
+                words = Words(part, NOT_ALNUM, lower=True)
+                for block, held in zip(blocks, counts, strict=True):
+                    for _, key in block.met(words):
+                        held += np.bincount(key, minlength=len(held))
+        for b, held in enumerate(counts):
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b)), pa.array(some, pa.int64()), pa.array(held[some], pa.int64())], ["block", "key", "n"])
 
     return count
 
 
-def _matched(block: Index):
+def _matched(blocks: list[Index]):
     def match(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             begins, lengths, items, counts = [], [], [], []
@@ -143,11 +159,12 @@ def _matched(block: Index):
                 words = Words(part, NOT_ALNUM, lower=True)
                 spans: list[list[tuple[int, int]]] = [[] for _ in range(len(part))]
                 ids: list[set[str]] = [set() for _ in range(len(part))]
-                for begin, window in zip(*(x.tolist() for x in block.occurrences(words)), strict=True):
-                    if block.true(words, begin, window):
-                        row = int(words.doc[begin])
-                        spans[row].append((begin - int(words.first[row]), int(block.length[window])))
-                        ids[row].update(block.items[window])
+                for block in blocks:
+                    for begin, window in zip(*(x.tolist() for x in block.occurrences(words)), strict=True):
+                        if block.true(words, begin, window):
+                            row = int(words.doc[begin])
+                            spans[row].append((begin - int(words.first[row]), int(block.length[window])))
+                            ids[row].update(block.items(window))
                 begins += [[a for a, _ in s] for s in spans]
                 lengths += [[n for _, n in s] for s in spans]
                 items += [list(x) for x in ids]
@@ -160,6 +177,16 @@ def _matched(block: Index):
     return F.arrow_udf(match, "n_words long, begins array<long>, lengths array<long>, items array<string>")
 
 
+def _by_rarest(texts: DataFrame, group: list[Index]) -> list[Index]:
+    """The blocks with the windows by their rarest shingle; one pass counts the shingles of all of them."""
+    if not group:
+        return []
+    counts = [np.zeros(len(block.keys), np.int64) for block in group]
+    for r in texts.mapInArrow(_counted(group), "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r["block"]][r["key"]] = r["n"]  # at most the group's shingles
+    return [block.by_rarest(n) for block, n in zip(group, counts, strict=True)]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with a column ``contamination``: struct of ``n_words``, ``begins`` and ``lengths`` of the spans of
     words (from 0) in which a benchmark window occurs, and ``items`` that these windows are of.
@@ -173,22 +200,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + int(1.5 * held / block_bytes) if held > block_bytes else 1
     block_of = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    found = []
     name = fresh(docs, "contamination")
-    for b in range(blocks):
-        rows = [(r["item"], r["text"]) for r in items.where(block_of == b).distinct().collect()]  # bounded by block_bytes
-        index = Index(sorted(rows, key=lambda r: (r[1], r[0] or "")), size)
-        if len(index.keys):
-            met = docs.select(F.col(text).cast("string")).mapInArrow(_counted(index), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-            counts = np.zeros(len(index.keys), np.int64)
-            counts[[r["key"] for r in met]] = [r["n"] for r in met]
-            found.append(_matched(index.by_rarest(counts))(F.col(text)))
-    if not found:
-        found.append(_matched(Index([], size).by_rarest(np.zeros(0, np.int64)))(F.col(text)))
-    if len(found) == 1:
-        return docs.select("*", found[0].alias(name))
-    names = [fresh(docs, f"contamination_{i}") for i in range(len(found))]
-    many = docs.select("*", *(f.alias(n) for f, n in zip(found, names, strict=True)))
+    many, names = docs, []
+    for low in range(0, blocks, GROUP_BLOCKS):
+        group = []
+        for b in range(low, min(low + GROUP_BLOCKS, blocks)):
+            rows = [(r["item"], r["text"]) for r in items.where(block_of == b).distinct().collect()]  # bounded by block_bytes
+            index = Index(sorted(rows, key=lambda r: (r[1], r[0] or "")), size)
+            if len(index.keys):
+                group.append(index)
+        if not group and (names or low + GROUP_BLOCKS < blocks):
+            continue
+        found = _by_rarest(docs.select(F.col(f"`{text}`").cast("string")), group)
+        names.append(fresh(docs, f"contamination_{low}") if blocks > GROUP_BLOCKS else name)
+        many = many.select("*", _matched(found)(F.col(f"`{text}`")).alias(names[-1]))
+        if blocks > GROUP_BLOCKS:  # the next group has the tasks for itself
+            many = written(many, "contamination")
+    if names == [name]:
+        return many
     merged = F.struct(
         F.col(names[0])["n_words"].alias("n_words"),
         *(F.flatten(F.array(*(F.col(n)[c] for n in names))).alias(c) for c in ("begins", "lengths")),
