@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqcast.llm import langid, lm, packing, tokenfiles, tokens, warc
+from seqcast.llm.words import Words
 from tests.llm import brute, cases
 
 
@@ -305,8 +307,6 @@ def test_unigram_base(docs):
     rows = lm.score_texts(docs, counts, lexicon, weights, held_out=F.col("doc_id") % 3 == 0).collect()
     assert len(rows) == len(cases.rows())
     seen = [brute.words(t, lower=True) + [None] for i, t in cases.plain() if i is not None and i % 3]
-    from collections import Counter
-
     c = Counter(x for w in seen for x in w)
     n, v = sum(c.values()), len(c)
     expected = []
@@ -330,6 +330,49 @@ def test_rare_words_join_the_counts(docs, monkeypatch):
         assert r["n_known"] == known and r["base_score"] == pytest.approx(base)
 
 
+def test_training_does_not_depend_on_partitions(docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_WORDS", 2000)  # several shards a round
+    learn = F.col("doc_id").isNotNull()
+    weights = [lm.fit(docs.repartition(n), learn)[2] for n in (1, 7)]
+    assert np.abs(weights[0] - weights[1]).max() < 1e-4
+
+
+def test_score_is_the_network_word_by_word(docs):
+    """Gates, state and both softmaxes in plain Python, from the fitted weights."""
+    learn = F.col("doc_id").isNotNull()
+    counts, lexicon, weights = lm.fit(docs, learn)
+    found = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm.score_texts(docs, counts, lexicon, weights).collect()}
+    net = lm.Network(lexicon.size).load(weights)
+    a, u = {n: v.astype(float) for n, v in net.arrays.items()}, net.units
+    seen = Counter(w for i, t in cases.plain() if i is not None for w in brute.words(t, lower=True))
+    ranked = sorted(seen.values(), reverse=True)
+    assert len(seen) <= lm.VOCABULARY - 2 and sorted(lexicon.counts.tolist(), reverse=True) == ranked  # all have a number
+    checked = 0
+    for doc, text in cases.plain():
+        words = brute.words(text, lower=True)
+        if len(words) > 60:
+            continue
+        at, known = lexicon.find(Words(pa.array([" ".join(words)]), lower=True).hash)
+        state, before, total = [0.0] * u, lm.END, 0.0
+        for k in range(len(words) + 1):
+            word = lm.END if k == len(words) else int(lexicon.number[at[k]]) if known[k] else lm.OTHER
+            x = a["inputs"][before]
+            r = [sum(state[i] * a["recurrent"][i][j] for i in range(u)) for j in range(3 * u)]
+            z, g = ([1 / (1 + math.exp(-(x[j] + r[j]))) for j in range(b, b + u)] for b in (0, u))
+            new = [math.tanh(x[2 * u + j] + g[j] * r[2 * u + j]) for j in range(u)]
+            state = [z[j] * state[j] + (1 - z[j]) * new[j] for j in range(u)]
+            group, inside = divmod(word, lm.CLASS_WORDS)
+            for w, b, n in ((a["class_weights"], a["class_bias"], group), (a["word_weights"][group], a["word_bias"][group], inside)):
+                logits = [sum(state[i] * w[i][j] for i in range(u)) + b[j] for j in range(len(b))]
+                total += logits[n] - math.log(sum(map(math.exp, logits)))
+            if word == lm.OTHER:
+                total += math.log((seen[words[k]] + 1) / lexicon.other_mass())
+            before = word
+        assert found[doc, len(words) + 1] == pytest.approx(total / math.log(10), rel=1e-3, abs=1e-3)
+        checked += 1
+    assert checked > 20
+
+
 def test_no_training_text(docs):
     rows = lm.score_texts(docs, *lm.fit(docs, F.lit(False))).collect()
     assert len(rows) == len(cases.rows()) and all(r["n_known"] == 0 and r["train_tokens"] == 0 and np.isfinite(r["score"]) for r in rows)

@@ -120,8 +120,9 @@ def test_without_repeated_lines(docs):
 ITEMS = [(1, "one two three"), (2, cases.prose(random.Random(8), 30)), (2, "one two three"), (30, None), (4, ""), (None, "a b c d"), (5, "x" * 200_000)]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 100_000])
-def test_contamination(spark, docs, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "group"), [(1 << 20, 16), (100_000, 16), (100_000, 1)])
+def test_contamination(spark, docs, block_bytes, group, monkeypatch):
+    monkeypatch.setattr(decontam, "GROUP_BLOCKS", group)
     passage = cases.texts()[30]
     items = [*ITEMS, (100, passage.upper()), (7, " ".join(passage.split()[3:17]))]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("window", F.lit(1))
@@ -138,6 +139,22 @@ def test_contamination(spark, docs, block_bytes):
     cases.same([(r["doc_id"], r["text"]) for r in left.collect()], [p for p, e in zip(cases.plain(), expected, strict=True) if not e[5]])
 
 
+def test_a_large_benchmark_takes_two_passes(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    items = [(k, cases.prose(rng, 500)) for k in range(250)] + [(900, cases.texts()[30])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held, counted = sum(len(t) for _, t in items), []
+    by_rarest = decontam._by_rarest
+    monkeypatch.setattr(decontam, "_by_rarest", lambda texts, group: counted.append(len(group)) or by_rarest(texts, group))
+    found = decontam.contamination(docs, bench, block_bytes=held // 9)
+    assert counted == [14]  # one pass that counts for all blocks
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan  # and one that matches
+    digest = found.select("doc_id", f"{found.columns[-1]}.n_words", decontam.contamination_digest(found.columns[-1]).alias("d"))
+    rows = digest.select("doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0)).collect()
+    cases.same(bare(rows), brute.contamination(cases.plain(), items))
+
+
 def test_contamination_by_nothing(spark, docs):
     bench = spark.createDataFrame([(1, None)], "item_id long, text string")
     found = decontam.contamination(docs, bench)
@@ -198,6 +215,16 @@ def test_empty_tables(spark):
     assert quality.line_clean(none).count() == 0
 
 
+def test_passages_that_documents_repeat_under_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", 1)
+    rng = random.Random(6)
+    passage = cases.prose(rng, 20)
+    rows = [(k, " ".join([cases.prose(rng, 5), *[passage] * (k % 4 * 9), "same " * 60, cases.prose(rng, 5)])) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = substrings.remove_repeats(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    cases.same(bare(found), brute.repeats(rows))
+
+
 def test_repeated_passages_of_hot_anchors(docs, monkeypatch):
     monkeypatch.setattr(substrings, "HOT_ROWS", 1)  # every anchor
     monkeypatch.setattr(substrings, "SHARES", 3)
