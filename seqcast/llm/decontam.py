@@ -182,8 +182,10 @@ def _by_rarest(texts: DataFrame, group: list[Index]) -> list[Index]:
     if not group:
         return []
     counts = [np.zeros(len(block.keys), np.int64) for block in group]
-    for r in texts.mapInArrow(_counted(group), "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["block"]][r["key"]] = r["n"]  # at most the group's shingles
+    met = texts.mapInArrow(_counted(group), "block long, key long, n long").groupBy("block", "key").agg(F.sum("n").alias("n")).toArrow()
+    block, key, n = (met.column(c).to_numpy() for c in ("block", "key", "n"))  # at most the group's shingles
+    for b, held in enumerate(counts):
+        held[key[block == b]] = n[block == b]
     return [block.by_rarest(n) for block, n in zip(group, counts, strict=True)]
 
 
