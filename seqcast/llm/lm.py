@@ -7,7 +7,7 @@ the table in a join.
 The network reads the last word and predicts the next among the ``VOCABULARY`` most frequent words, the end, and one
 class for all others; the softmax is factored into classes of words of like frequency. It is trained by backpropagation
 through ``STEPS`` words at a time, state carried on from one such window to the next. Training texts are dealt by hash into
-``ROUNDS`` rounds, and those of a round into shards of about ``SHARD_WORDS`` words, whatever the partitions of the input.
+``ROUNDS`` rounds, and those of a round into shards of about ``SHARD_WORDS`` words, whatever the partitions of the input. A text goes there once, as numbers of 16 bits.
 Every shard of a round trains on its texts once, in the order of their hashes, beginning from the same weights (at first
 output biases from the counts), with steps that get smaller from round to round; the weights of its shards are averaged
 by words seen, in a tree. Scoring carries the state through a whole text of any length. Another word costs what the
@@ -31,16 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqcast.llm.common import fresh, pieces, prepare, written
+from seqcast.llm.common import pieces, prepare, written
 from seqcast.llm.words import Words
+from seqcast.session import new_table_folder
 
 #: Words whose counts every task holds; words of the network, in classes of this many; its units.
 KNOWN = 1 << 18
-VOCABULARY, CLASS_WORDS, UNITS = 4096, 64, 16
+VOCABULARY, CLASS_WORDS, UNITS = 2048, 64, 16
 #: Words of a window of training, texts side by side, and the step of the optimizer.
 STEPS, LANES, RATE = 64, 256, 1.0
 #: Rounds of training, after each of which weights are averaged, and words of one shard of a round, about.
-ROUNDS, SHARD_WORDS = 8, 1 << 20
+ROUNDS, SHARD_WORDS = 4, 1 << 20
 #: Words that a task folds into counts before it sends them on.
 MOMENTUM, CLIP = 0.9, 0.25
 RATES = {"inputs": 4.0, "recurrent": 0.5, "class_weights": 0.5, "class_bias": 0.5, "word_weights": 2.0, "word_bias": 2.0}
@@ -314,21 +315,26 @@ def _numbered(words: Words, lexicon: Lexicon, row: int, at: np.ndarray, known: n
     return np.append(np.where(known[a:b], lexicon.number[at[a:b]], OTHER) if len(lexicon.number) else np.full(b - a, OTHER), END)
 
 
-def _trained(lexicon: Lexicon, weights: np.ndarray, rate: float):
+def _coded(lexicon: Lexicon):
+    """Rows (mark, numbers) of rows (mark, text): the numbers of a text's words and the end, of 16 bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = lexicon.number != OTHER
-        near = Lexicon(lexicon.hashes[small], lexicon.counts[small], lexicon.number[small], 0, 0, 0)
+        for batch in batches:
+            start = 0
+            for part in pieces(batch.column(1)):
+                words = Words(part, lower=True)
+                at, known = lexicon.find(words.hash)
+                numbers = [_numbered(words, lexicon, row, at, known).astype("<u2").tobytes() for row in range(len(part))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(numbers, pa.binary())], names=["mark", "numbers"])
+                start += len(part)
 
-        def texts() -> Iterator[tuple[object, np.ndarray]]:
-            for batch in batches:
-                for part in pieces(batch.column(0)):
-                    words = Words(part, lower=True)
-                    at, known = near.find(words.hash)
-                    for row in range(len(part)):
-                        yield None, _numbered(words, near, row, at, known)
+    return run
 
-        network = Network(lexicon.size).load(weights)
-        seen = train(network, texts(), rate)
+
+def _trained(size: int, weights: np.ndarray, rate: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = Network(size).load(weights)
+        seen = train(network, ((None, np.frombuffer(n.as_buffer(), "<u2").astype(np.int64)) for batch in batches for n in batch.column(0)), rate)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen)]), pa.array([network.flat().tobytes()], pa.binary())], names=["part", "seen", "weights"])
 
@@ -411,18 +417,23 @@ def fit(docs: DataFrame, learn: Column, text: str = "text") -> tuple[DataFrame,
     lexicon = Lexicon(hashes[order], n[order], number[order], texts, int(total["tokens"]) + texts, int(total["distinct"]) + (texts > 0), 2 + inside, int(n[:inside].sum()) + texts)
     shares = np.concatenate([[texts, max(0, lexicon.tokens - lexicon.inside)], n[:inside]]).astype(np.float64)
     weights = Network(lexicon.size, shares).flat()
-    mark = fresh(docs, "mark")
-    dealt = docs.where(learn).select(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias(mark), F.col(f"`{text}`").cast("string").alias(text))
+    small = lexicon.number != OTHER
+    near = Lexicon(lexicon.hashes[small], lexicon.counts[small], lexicon.number[small], 0, 0, 0)
+    dealt = docs.where(learn).select(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("mark"), F.col(f"`{text}`").cast("string").alias("text"))
+    coded = dealt.mapInArrow(_coded(near), "mark long, numbers binary").withColumn("round", F.pmod(F.xxhash64(F.lit("round"), "mark"), F.lit(ROUNDS)).cast("int"))
+    path = new_table_folder(docs.sparkSession, "coded")
+    coded.write.option("compression", "zstd").partitionBy("round").parquet(path)
+    coded = docs.sparkSession.read.schema(coded.schema).parquet(path)
     shards = max(1, round(lexicon.tokens / (ROUNDS * SHARD_WORDS)))
     for r in range(ROUNDS):
-        share = dealt.where(F.pmod(F.xxhash64(F.lit("round"), mark), F.lit(ROUNDS)) == r)
-        weights = _round(share.repartition(shards, mark).sortWithinPartitions(mark).select(text), lexicon, weights, RATE * (ROUNDS - r) / ROUNDS)
+        share = coded.where(F.col("round") == r).repartition(shards, "mark").sortWithinPartitions("mark", "numbers").select("numbers")
+        weights = _round(share, lexicon.size, weights, RATE * (ROUNDS - r) / ROUNDS)
     return counts, lexicon, weights
 
 
-def _round(shards: DataFrame, lexicon: Lexicon, weights: np.ndarray, rate: float) -> np.ndarray:
+def _round(shards: DataFrame, size: int, weights: np.ndarray, rate: float) -> np.ndarray:
     """The weights after every partition has trained on its texts, averaged by words seen."""
-    rows = written(shards.mapInArrow(_trained(lexicon, weights, rate), "part long, seen double, weights binary"), "weights")
+    rows = written(shards.mapInArrow(_trained(size, weights, rate), "part long, seen double, weights binary"), "weights")
     while rows.count() > FAN_IN:
         rows = written(rows.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(lambda g: _averaged(g), "part long, seen double, weights binary"), "weights")
     found = sorted(rows.collect(), key=lambda r: r["part"])  # at most FAN_IN rows

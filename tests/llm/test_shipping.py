@@ -23,7 +23,8 @@ FUNCTIONS = {
     "op3 windows": lambda: substrings._window_rows(13),
     "op3 parse": lambda: substrings._parsed(13, True).func,
     "op4 ids": lambda: tokenfiles._tokenized("x", 2),
-    "op5 train": lambda: lm._trained(lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, 0), lm.Network(2).flat(), 1.0),
+    "op5 code": lambda: lm._coded(lm.Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 0, 0)),
+    "op5 train": lambda: lm._trained(2, lm.Network(2).flat(), 1.0),
     "op7 count": lambda: decontam._counted([decontam.Index([("1", "a b c")], 10)]),
     "op10 pack": lambda: packing._packer("x", 1, 2048, pa.int64()),
     "op11 positives": lambda: negatives._searching(BOOKS, negatives._positives(5), ["a"]),
