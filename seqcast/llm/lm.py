@@ -39,7 +39,7 @@ from seqcast.session import new_table_folder
 KNOWN = 1 << 18
 VOCABULARY, CLASS_WORDS, UNITS = 2048, 64, 16
 #: Words of a window of training, texts side by side, and the step of the optimizer.
-STEPS, LANES, RATE = 64, 256, 1.0
+STEPS, LANES, RATE = 32, 512, 1.0
 #: Rounds of training, after each of which weights are averaged, and words of one shard of a round, about.
 ROUNDS, SHARD_WORDS = 4, 1 << 20
 #: Words that a task folds into counts before it sends them on.
