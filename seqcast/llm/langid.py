@@ -183,8 +183,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     labelled = docs.where(learn & F.col(f"`{lang}`").isNotNull() & whole.rlike(r"\p{L}")).select(F.col(f"`{lang}`").cast("string").alias("lang"), whole.alias("text"), F.xxhash64(whole).alias("draw"))
     draws = labelled.select("lang", "draw").distinct()
     each = max(1, sample_rows // max(1, draws.select("lang").distinct().count()))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    chosen = written(draws.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth"), "draws")  # at most sample_rows
+    for shares in (512, 8, 1):  # least of shares first, so that no task ranks all texts of a language
+        nth = F.row_number().over(Window.partitionBy("lang", F.pmod("draw", F.lit(shares))).orderBy("draw"))
+        draws = draws.withColumn("nth", nth).where(F.col("nth") <= each).drop("nth")
+    chosen = written(draws, "draws")  # at most sample_rows
     drawn = labelled.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     used = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, features binary").collect()
     used.sort(key=lambda r: (r["lang"], r["features"]))
