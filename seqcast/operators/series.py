@@ -22,9 +22,11 @@ from seqcast.operators.skew import join_on_key
 from seqcast.schema import FEATURES, TRAIN_RATIO
 from seqcast.session import new_table_folder
 
-BUCKET, SLICE = "_bucket", "_slice"
+BUCKET, SLICE, PART = "_bucket", "_slice", "_part"
 # Bars of an intraday bucket that are numbered together, about.
 BUCKET_BARS = 1 << 20
+# Bars of large buckets that one partition cuts into slices, about.
+PART_BARS = BUCKET_BARS // 2
 # Buckets that the undated bars of a symbol are spread over.
 UNDATED = 4096
 
@@ -64,9 +66,11 @@ def place_keys(bucketed: DataFrame) -> list[str]:
 def _sliced(bucketed: DataFrame, most: int) -> DataFrame:
     """The bars, those of buckets with more than ``most`` in slices of about half as many, in order.
 
-    Slices are the partitions of a range partitioning by date and values, which
-    samples its bounds; they are written, so that a bar stays in its slice. Only
-    bars that are alike in everything can't be told apart, and stay together.
+    A range partitioning by date and values, which samples its bounds, cuts the
+    bars into parts; they are written, so that a bar stays in its part. There
+    are as many parts as the bars of large buckets need, however small a slice
+    is; inside its part, a bucket is cut into slices by rank. Only bars that are
+    alike in everything can't be told apart, and stay together.
     """
     spark = bucketed.sparkSession
     key = ["symbol", BUCKET]
@@ -80,12 +84,16 @@ def _sliced(bucketed: DataFrame, most: int) -> DataFrame:
     names = large.select(*key)
     values = [c for c in FEATURES if c in bucketed.columns]
     uneven = join_on_key(bucketed, names, key, "left_semi", large, ["date", *values])
-    ordered = uneven.repartitionByRange(-(-2 * bars // most), *key, "date", *values)
+    parts = max(-(-bars // PART_BARS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = uneven.repartitionByRange(min(-(-2 * bars // most), parts), *key, "date", *values)
     path = new_table_folder(spark, "slices")
-    cut = ordered.withColumn(SLICE, F.spark_partition_id()).select(*bucketed.columns, SLICE)
+    cut = ordered.withColumn(PART, F.spark_partition_id()).select(*bucketed.columns, PART)
     cut.write.parquet(path)
+    inside = Window.partitionBy(*key, PART).orderBy("date", *values)
+    nth = F.floor((F.rank().over(inside) - 1) / -(-most // 2)).cast("bigint")
+    sliced = spark.read.schema(cut.schema).parquet(path).withColumn(SLICE, F.col(PART).cast("bigint") * 2**32 + nth).drop(PART)
     even = join_on_key(bucketed, names, key, "left_anti", large, ["date", *values])
-    return even.withColumn(SLICE, F.lit(0)).select(*cut.columns).unionByName(spark.read.schema(cut.schema).parquet(path))
+    return even.withColumn(SLICE, F.lit(0).cast("bigint")).select(*sliced.columns).unionByName(sliced)
 
 
 def series_facts(bucketed: DataFrame, features: Sequence[str] = (), ranged: Column | None = None) -> DataFrame:

@@ -107,6 +107,19 @@ def test_a_bucket_with_many_bars_is_cut(spark, spread):
     assert got == [(d, c, i, len(mine)) for i, (d, c) in enumerate(mine)]
 
 
+def test_small_slices_need_no_partition_each(spark):
+    rows = ticks(4000, 3_000_000_000)
+    bars = spark.createDataFrame(rows, "symbol string, date timestamp, close double")
+    placed = series.with_bucket(bars, 6)
+    sizes = [r["n"] for r in placed.groupBy(*series.place_keys(placed)).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 6 and len(sizes) > 1000
+    parts = placed.where(f"{series.SLICE} > 0").select(F.shiftright(series.SLICE, 32)).distinct().count()
+    assert 1 < parts <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = [(r["date"], r["close"], r["i"]) for r in series.index_bars(bars, 6).where("symbol = 'T'").orderBy("i").collect()]
+    mine = sorted(((d, c) for s, d, c in rows if s == "T"), key=lambda x: (x[0] is not None, x[0] or datetime.datetime.min, x[1]))
+    assert got == [(d, c, i) for i, (d, c) in enumerate(mine)]
+
+
 # --- files named by symbol
 
 
