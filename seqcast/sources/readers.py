@@ -53,13 +53,25 @@ def read_symbol_files(
     listed = symbols is not None and not isinstance(symbols, DataFrame)
     paths = [f"{base}/{name}.csv" for name in symbols] if listed else f"{base}/*.csv"
     if isinstance(symbols, DataFrame):
-        paths = [r["path"] for r in select_symbols(symbol_files(spark, directory), symbols).select("path").toLocalIterator()]
+        # In one job: an iterator over the partitions would run one for each few files.
+        paths = select_symbols(symbol_files(spark, directory), symbols).select("path").toArrow().column(0).to_pylist()
     symbol = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1)
-    raw = spark.read.schema(text).csv(paths, header=True) if paths else spark.createDataFrame([], text)
+    raw = _listed_csv(spark, text, paths) if paths else spark.createDataFrame([], text)
     named = raw.withColumn("symbol", symbol if paths else F.lit(""))
     return cast_bars(named, on_bad, date_type)
 
 
+def _listed_csv(spark: SparkSession, text: T.StructType, paths: str | list[str]) -> DataFrame:
+    """A scan of these files, which a few tasks for each core look up; left to itself, Spark takes a task for each path."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return spark.read.schema(text).csv(paths, header=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def symbol_files(spark: SparkSession, directory: str) -> DataFrame:
     """``symbol, path, length`` of the files named by symbol; none of them is opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(directory)

@@ -137,6 +137,26 @@ def test_a_long_list_opens_only_its_files(spark, tmp_path):
     assert read_symbol_files(spark, folder, spark.createDataFrame([("none",)], "symbol string")).count() == 0
 
 
+def test_a_long_list_needs_few_jobs_and_tasks(spark, tmp_path):
+    rows = [r for k in range(120) for r in bar_rows(f"S{k}", 3, seed=k)]
+    folder = str(tmp_path / "files")
+    write_symbol_files(bars_of(spark, rows), folder)
+    listed = spark.range(90).select(F.format_string("S%d", "id").alias("symbol"))
+    context, name = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    kept = {k: spark.conf.get(k) for k in (name, "spark.sql.files.maxPartitionBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file for each task
+    context.setJobGroup("listed files", "")
+    try:
+        assert len(read_symbol_files(spark, folder, listed).inputFiles()) == 90
+        jobs = [context.statusTracker().getJobInfo(j) for j in context.statusTracker().getJobIdsForGroup("listed files")]
+        last = context.statusTracker().getStageInfo(max(s for j in jobs for s in j.stageIds))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept["spark.sql.files.maxPartitionBytes"])
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 10 and last.numTasks <= 4 * context.defaultParallelism
+    assert spark.conf.get(name) == kept[name]
+
+
 # --- units of training
 
 
