@@ -93,14 +93,22 @@ def features(texts: pa.Array) -> np.ndarray:
     return out
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 100.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """A linear support vector machine with squared hinge loss, its classes weighted alike; y is -1 or 1."""
+def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 100.0, steps: int = 300, rows: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """A linear support vector machine with squared hinge loss, its classes weighted alike; y is -1 or 1.
+
+    With ``rows`` it is fitted on these rows of ``x``, of which it holds one copy in single precision."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * c
+    chosen = np.arange(len(x)) if rows is None else np.flatnonzero(rows)
+    own = np.empty((len(chosen), x.shape[1]), np.float32 if x.dtype == np.float16 else x.dtype)
+    for k in range(0, len(own), 256):
+        own[k : k + 256] = x[chosen[k : k + 256]]
+    x = own
     mean = x.mean(axis=0)
-    x = x - mean
+    x -= mean
+    longest = max((float((x[k : k + 256] ** 2).sum(axis=1).max()) for k in range(0, len(x), 256)), default=0.0)
     w, b = np.zeros(x.shape[1], np.float32), 0.0
     ahead_w, ahead_b, t = w, b, 1.0
-    rate = 1.0 / (1.0 / c + 2 * c * (1 + float((x * x).sum(axis=1).max(initial=0.0))))  # no steeper than the bound of the curvature
+    rate = 1.0 / (1.0 / c + 2 * c * (1 + longest))  # no steeper than the bound of the curvature
     for _ in range(steps):  # accelerated gradient descent
         slack = np.maximum(0, 1 - y * (x @ ahead_w + ahead_b)) * weight
         grad_w = ahead_w / c - 2 * ((slack * y) @ x)
@@ -125,7 +133,7 @@ class Model:
         weights, biases = [], []
 
         def add(rows: np.ndarray, positive: np.ndarray) -> int:
-            w, b = fit_machine(x[rows], np.where(positive[rows], 1, -1).astype(np.float32))
+            w, b = fit_machine(x, np.where(positive[rows], 1, -1).astype(np.float32), rows=rows)
             weights.append(w)
             biases.append(b)
             return len(weights) - 1
@@ -190,8 +198,10 @@ def fit(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     drawn = labelled.join(F.broadcast(chosen), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     used = drawn.select("lang", "text").mapInArrow(_sampled, "lang string, features binary").collect()
     used.sort(key=lambda r: (r["lang"], r["features"]))
-    x = np.stack([np.frombuffer(r["features"], np.float16) for r in used]).astype(np.float32) if used else np.zeros((0, 256 + HASHED), np.float32)
-    return Model(x, [r["lang"] for r in used])
+    languages = [r["lang"] for r in used]
+    x = np.stack([np.frombuffer(r["features"], np.float16) for r in used]) if used else np.zeros((0, 256 + HASHED), np.float16)
+    del used  # the driver holds the sample once, in half precision, and the rows of one machine in single precision
+    return Model(x, languages)
 
 
 def _predicted(model: Model):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -287,6 +288,20 @@ def test_languages_of_awkward_rows(docs):
     cases.same([(r["doc_id"], r["text"]) for r in left.collect()], [(i, t) for i, t in cases.plain() if any(c.isalpha() for c in t or "")])
 
 
+def test_the_machines_hold_one_copy_of_the_sample():
+    rng = np.random.default_rng(3)
+    x = rng.random((1200, 2000), np.float32)
+    languages = [("en", "de", "fr")[k % 3] for k in range(len(x))]
+    tracemalloc.start()
+    model = langid.Model(x, languages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes
+    half = langid.Model(x.astype(np.float16), languages)
+    assert half.weights.dtype == np.float32 and model.of_pair == half.of_pair
+    assert np.abs(half.weights - model.weights).max() < 0.05 * np.abs(model.weights).max()
+
+
 def test_three_languages_of_a_family(spark):
     rng = random.Random(6)
     stems = {"es": "que los ción para", "fr": "est les tion pour", "it": "che gli zione per", "en": "the and with of", "xx": "zzq wxq qqz kkx"}
