@@ -49,6 +49,7 @@ FOLD_WORDS = 1 << 21
 #: Weights that one task averages, and rows that the driver averages at the end, at most.
 FAN_IN = 64
 END, OTHER = 0, 1
+_ENDED = np.array([END], np.int64)
 _LN10 = float(np.log(10.0))
 
 
@@ -64,12 +65,23 @@ class Lexicon:
     distinct: int  # V
     size: int = field(default=0)  # words of the vocabulary, with END and OTHER
     inside: int = field(default=0)  # N of the words in the vocabulary, with ends
+    starts: np.ndarray | None = field(default=None, init=False, repr=False)  # made by the task that asks first
+    shift: np.uint64 = field(default=np.uint64(0), init=False, repr=False)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word, and whether it is known."""
         if not len(self.hashes):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        last = len(self.hashes) - 1
+        if self.starts is None:  # where each of some ranges of hashes begins: one look instead of a search
+            self.shift = np.uint64(64 - (4 * last + 4).bit_length())
+            self.starts = np.searchsorted(self.hashes, np.arange(1 << 64 - int(self.shift), dtype=np.uint64) << self.shift)
+        at = np.minimum(self.starts[hashes >> self.shift], last)
+        behind = np.flatnonzero(self.hashes[at] < hashes)
+        while len(behind):  # a few others in the range, since hashes are spread evenly
+            behind = behind[at[behind] < last]
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < hashes[behind]]
         return at, self.hashes[at] == hashes
 
     def other_mass(self) -> float:
@@ -116,18 +128,25 @@ class Network:
         """States after each step; ``fresh`` marks steps before which the state is cleared."""
         a, u = self.arrays, self.units
         out = np.empty((len(given), len(state), u), np.float32)
-        inputs, half, clear = a["inputs"][given], np.float32(0.5), fresh.any(axis=1).tolist()
+        # Gates are planes of their own, so that each step works on contiguous arrays.
+        inputs = np.ascontiguousarray(a["inputs"].reshape(-1, 3, u).transpose(1, 0, 2))
+        recurrent = np.ascontiguousarray(a["recurrent"].reshape(u, 3, u).transpose(1, 0, 2))
+        half, clear = np.float32(0.5), fresh.any(axis=1).tolist()
         for t in range(len(given)):
             if clear[t]:
                 state = np.where(fresh[t][:, None], np.float32(0), state)
-            r = state @ a["recurrent"]
-            x = inputs[t]
-            gates = np.tanh((x[:, : 2 * u] + r[:, : 2 * u]) * half) * half + half  # the logistic function
-            z, g = gates[:, :u], gates[:, u:]
-            new = np.tanh(x[:, 2 * u :] + g * r[:, 2 * u :])
+            r = state @ recurrent
+            x = inputs.take(given[t], axis=1)
+            x[:2] += r[:2]
+            gates = x[:2]  # the logistic function
+            gates *= half
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            new = np.tanh(x[2] + gates[1] * r[2])
             if keep is not None:
-                keep.append((state, gates, r[:, 2 * u :], new))
-            state = new + z * (state - new)
+                keep.append((state, gates, r[2], new))
+            state = new + gates[0] * (state - new)
             out[t] = state
         return out
 
@@ -153,43 +172,58 @@ class Network:
             back = odds @ a["class_weights"].T
             grads["class_weights"] += states.T @ odds
             grads["class_bias"] += odds.sum(axis=0)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[c] : cuts[c + 1]]
-            s, w = states[at], inside[at]
+        # Words in the order of their classes, so that those of a class are a slice.
+        order = np.argsort(group.astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        states, inside, more = states[order], inside[order], np.empty(n, log.dtype)
+        beside = None if grads is None else np.empty_like(back)
+        for c in range(self.classes):
+            here = slice(cuts[c], cuts[c + 1])
+            if here.start == here.stop:
+                continue
+            s, w = states[here], inside[here]
             odds, total = self._softmax(s @ a["word_weights"][c] + a["word_bias"][c])
-            k = np.arange(len(at))
-            log[at] += np.log(odds[k, w] / total[:, 0])
+            k = rows[: len(w)]
+            more[here] = np.log(odds[k, w] / total[:, 0])
             if grads is not None:
                 odds /= total
                 odds[k, w] -= 1
-                back[at] += odds @ a["word_weights"][c].T
+                np.matmul(odds, a["word_weights"][c].T, out=beside[here])
                 grads["word_weights"][c] += s.T @ odds
                 grads["word_bias"][c] += odds.sum(axis=0)
+        log[order] += more
+        if grads is not None:
+            back[order] += beside
         return log, back
 
     def backward(self, given: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
         """Gradients of the inputs and the recurrent weights; ``back``: gradient by the state after each step."""
         a, u = self.arrays, self.units
         after = np.zeros_like(back[0])
-        by_input = np.empty((*given.shape, 3 * u), np.float32)
+        by_input, clear = np.empty((*given.shape, 3 * u), np.float32), fresh.any(axis=1).tolist()
         for t in range(len(given) - 1, -1, -1):
             state, gates, rn, new = kept[t]
-            z, g = gates[:, :u], gates[:, u:]
+            z, g = gates
             d = back[t] + after
-            dn = d * (1 - z) * (1 - new * new)
+            rest = 1 - z
+            dn = d * rest * (1 - new * new)
             x = by_input[t]
-            x[:, :u] = d * (state - new) * z * (1 - z)
-            x[:, u : 2 * u] = dn * rn * g * (1 - g)
+            dz = state - new
+            dz *= d
+            dz *= z
+            np.multiply(dz, rest, out=x[:, :u])
+            dg = dn * rn
+            dg *= g
+            np.multiply(dg, 1 - g, out=x[:, u : 2 * u])
             x[:, 2 * u :] = dn
             r = x.copy()
-            r[:, 2 * u :] *= g
+            np.multiply(dn, g, out=r[:, 2 * u :])
             grads["recurrent"] += state.T @ r
             after = r @ a["recurrent"].T + d * z
-            after[fresh[t]] = 0
+            if clear[t]:
+                after[fresh[t]] = 0
         flat, words = by_input.reshape(-1, 3 * u), given.ravel()
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words.astype(np.uint16), kind="stable")  # of 16 bits, which are sorted by digits
         first = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
         grads["inputs"][words[order][first]] += np.add.reduceat(flat[order], first, axis=0)
 
@@ -204,42 +238,40 @@ class Lanes:
         """Lane numbers, words before, words wanted, fresh starts, live places, and owners (numbers into ``owners``)."""
         now: list[tuple[int, np.ndarray, int] | None] = [None] * self.lanes
         self.owners: dict[int, object] = {}
-        serial, more = 0, True
+        serial, more, steps = 0, True, self.steps
         while True:
-            given, wanted = np.zeros((self.steps, self.lanes), np.int64), np.zeros((self.steps, self.lanes), np.int64)
-            fresh, owner = np.ones((self.steps, self.lanes), bool), np.full((self.steps, self.lanes), -1, np.int64)
+            given, wanted = np.zeros((self.lanes, steps), np.int64), np.zeros((self.lanes, steps), np.int64)
+            fresh, owner = np.ones((self.lanes, steps), bool), np.full((self.lanes, steps), -1, np.int64)
             some = []
             for lane in range(self.lanes):
-                at = 0
-                while at < self.steps:
-                    if now[lane] is None:
-                        if more:
-                            text = next(self.texts, None)
-                            if text is None:
-                                more = False
-                            else:
-                                self.owners[serial] = text[0]
-                                now[lane] = (serial, text[1], 0)
-                                serial += 1
-                        if now[lane] is None:
+                at, text = 0, now[lane]
+                while at < steps:
+                    if text is None:
+                        taken = next(self.texts, None) if more else None
+                        if taken is None:
+                            more = False
                             break
-                    number, words, done = now[lane]
-                    n = min(self.steps - at, len(words) - done)
-                    wanted[at : at + n, lane] = words[done : done + n]
-                    given[at + (done == 0) : at + n, lane] = words[max(0, done - 1) : done + n - 1]
-                    if done == 0:
-                        given[at, lane] = END
-                    fresh[at : at + n, lane] = False
-                    fresh[at, lane] = done == 0
-                    owner[at : at + n, lane] = number
-                    at += n
-                    now[lane] = (number, words, done + n) if done + n < len(words) else None
+                        self.owners[serial] = taken[0]
+                        text = (serial, np.concatenate([_ENDED, taken[1]]), 0)
+                        serial += 1
+                    number, words, done = text
+                    left = len(words) - 1 - done
+                    n = min(steps - at, left)
+                    end = at + n
+                    given[lane, at:end] = words[done : done + n]
+                    wanted[lane, at:end] = words[done + 1 : done + n + 1]
+                    fresh[lane, at:end] = False
+                    fresh[lane, at] = done == 0
+                    owner[lane, at:end] = number
+                    at = end
+                    text = (number, words, done + n) if n < left else None
+                now[lane] = text
                 if at:
                     some.append(lane)
             if not some:
                 return
             live = np.array(some)
-            yield live, given[:, live], wanted[:, live], fresh[:, live], owner[:, live]
+            yield live, *(np.ascontiguousarray(x[live].T) for x in (given, wanted, fresh, owner))
 
 
 def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: float = RATE) -> int:
@@ -255,15 +287,20 @@ def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: fl
         grads = {n: np.zeros_like(v) for n, v in network.arrays.items()}
         real = owner >= 0
         at = np.flatnonzero(real.ravel())
-        _, back = network.output(states.reshape(-1, network.units)[at], wanted.ravel()[at], grads)
-        by_state = np.zeros((real.size, network.units), np.float32)
-        by_state[at] = back
+        if len(at) == real.size:  # no lane has ended
+            _, by_state = network.output(states.reshape(-1, network.units), wanted.ravel(), grads)
+        else:
+            _, back = network.output(states.reshape(-1, network.units)[at], wanted.ravel()[at], grads)
+            by_state = np.zeros((real.size, network.units), np.float32)
+            by_state[at] = back
         network.backward(given, fresh, kept, by_state.reshape(states.shape), grads)
         seen, step = seen + len(at), step + 1
         for n, g in grads.items():
             g /= lanes.lanes * lanes.steps  # the few long texts at the end weigh no more than any other words
             norm = float(np.sqrt((g * g).sum()))
-            speed[n] = np.float32(MOMENTUM) * speed[n] - np.float32(rate * RATES[n] * min(1.0, CLIP / (norm + 1e-12))) * g
+            speed[n] *= np.float32(MOMENTUM)
+            g *= np.float32(rate * RATES[n] * min(1.0, CLIP / (norm + 1e-12)))
+            speed[n] -= g
             network.arrays[n] += speed[n]
         lanes.owners.clear()  # nobody asks for them here
     return seen
@@ -278,11 +315,17 @@ def score(network: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Itera
         states = network.forward(state[live], given, fresh)
         state[live] = states[-1]
         at = np.flatnonzero(owner.ravel() >= 0)
-        log, _ = network.output(states.reshape(-1, network.units)[at], wanted.ravel()[at])
-        numbers, back = np.unique(owner.ravel()[at], return_inverse=True)
-        total = np.bincount(back, log.astype(np.float64))
+        if len(at) == owner.size:  # no lane has ended
+            log, _ = network.output(states.reshape(-1, network.units), wanted.ravel())
+            mine = owner.ravel().copy()
+        else:
+            log, _ = network.output(states.reshape(-1, network.units)[at], wanted.ravel()[at])
+            mine = owner.ravel()[at]
+        least = int(mine.min())
+        mine -= least
+        total, numbers = np.bincount(mine, log.astype(np.float64)), np.flatnonzero(np.bincount(mine))
         open_now = set(owner[-1].tolist())
-        for number, value in zip(numbers.tolist(), total.tolist(), strict=True):
+        for number, value in zip((numbers + least).tolist(), total[numbers].tolist(), strict=True):
             value += sums.pop(number, 0.0)
             if number in open_now:  # it may go on in the next window
                 sums[number] = value
@@ -292,6 +335,13 @@ def score(network: Network, texts: Iterator[tuple[object, np.ndarray]]) -> Itera
         yield lanes.owners.pop(number), value
 
 
+def _tally(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words, sorted, and how often each occurs."""
+    words = np.sort(words)
+    first = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    return words[first], np.diff(np.append(first, len(words)))
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
 
@@ -367,7 +417,7 @@ def _scored(lexicon: Lexicon, weights: np.ndarray):
                         numbers = _numbered(words, lexicon, row, at, known)
                         k = known[a:b]
                         mine = at[a:b][k]
-                        rare, times = np.unique(words.hash[a:b][~k].view(np.int64), return_counts=True)
+                        rare, times = _tally(words.hash[a:b][~k].view(np.int64))
                         others = numbers[:-1][k] == OTHER
                         log = logs[mine] if len(logs) else np.zeros(0)
                         ends = lexicon.texts > 0

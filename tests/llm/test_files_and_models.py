@@ -352,6 +352,25 @@ def test_training_does_not_depend_on_partitions(docs, monkeypatch):
     assert np.abs(weights[0] - weights[1]).max() < 1e-4
 
 
+def test_words_are_found_without_a_search():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 1000):
+        hashes = np.unique(np.concatenate([rng.integers(0, 2**63, n, np.uint64) * np.uint64(2), np.arange(min(n, 20), dtype=np.uint64), np.array([2**64 - 1], np.uint64)]))
+        lexicon = lm.Lexicon(hashes, np.ones(len(hashes)), np.zeros(len(hashes), np.int64), 0, 0, 0)
+        asked = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 2**63, 500, np.uint64) * np.uint64(2)])
+        at, known = lexicon.find(asked)
+        want = np.minimum(np.searchsorted(hashes, asked), len(hashes) - 1)
+        assert (at == want).all() and (known == (hashes[want] == asked)).all()
+        assert len(lexicon.starts) >= len(hashes)
+
+
+def test_rare_words_are_tallied():
+    for some in ([], [5], [3, -1, 3, 7, 7, 7]):
+        words, times = lm._tally(np.array(some, np.int64))
+        want = np.unique(np.array(some, np.int64), return_counts=True)
+        assert words.tolist() == want[0].tolist() and times.tolist() == want[1].tolist()
+
+
 def test_score_is_the_network_word_by_word(docs):
     """Gates, state and both softmaxes in plain Python, from the fitted weights."""
     learn = F.col("doc_id").isNotNull()
