@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,7 @@ class Network:
             "word_bias": np.log(by_class / by_class.sum(axis=1, keepdims=True)),
         }
         self.arrays = {k: v.astype(np.float32) for k, v in self.arrays.items()}
+        self.held: dict[str, np.ndarray] = {}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.arrays[n].ravel() for n in self.names])
@@ -150,57 +152,80 @@ class Network:
             out[t] = state
         return out
 
+    def _room(self, name: str, *shape: int) -> np.ndarray:
+        """An array for passing results, held from call to call: fresh memory costs more than the work done in it."""
+        size = prod(shape)
+        if len(self.held.get(name, ())) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
     @staticmethod
-    def _softmax(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exponentials and their sums; logits of this network are far from what single precision can't hold."""
-        np.minimum(logits, np.float32(60), out=logits)
-        np.exp(logits, out=logits)
-        return logits, logits @ np.ones((logits.shape[1], 1), np.float32) + np.float32(1e-30)
+    def _softmax(states: np.ndarray, weights: np.ndarray, high: bool, room: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials and their sums; logits of this network are seldom near what single precision can't hold."""
+        np.matmul(states, weights, out=room)
+        if high:
+            np.minimum(room, np.float32(60), out=room)
+        np.exp(room, out=room)
+        return room, room @ ones + np.float32(1e-30)
 
     def output(self, states: np.ndarray, wanted: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithms of the probabilities of the wanted words, and with ``grads`` the gradient of their negative
         sum by the states."""
-        a, n = self.arrays, len(wanted)
-        group, inside = wanted // CLASS_WORDS, wanted % CLASS_WORDS
-        odds, total = self._softmax(states @ a["class_weights"] + a["class_bias"])
+        a, n, u = self.arrays, len(wanted), self.units
+        wanted = wanted.astype(np.uint16)
+        group, inside = wanted // CLASS_WORDS, (wanted % CLASS_WORDS).astype(np.int64)
+        # A unit that is always one has the biases as its weights.
+        by_class = np.concatenate([a["class_weights"], a["class_bias"][None]])
+        by_word = np.concatenate([a["word_weights"], a["word_bias"][:, None]], axis=1)
+        reach = max(1.0, float(states.max(initial=0)), -float(states.min(initial=0)))
+        high = reach * max(float(np.abs(w).sum(axis=-2).max()) for w in (by_class, by_word)) > 60  # most that a logit can be
+        given = self._room("states", n, u + 1)
+        given[:, :u], given[:, u] = states, 1
+        odds, total = self._softmax(given, by_class, high, self._room("classes", n, self.classes), np.ones((self.classes, 1), np.float32))
         rows = np.arange(n)
-        log = np.log(odds[rows, group] / total[:, 0])
+        place = rows * self.classes + group
+        share = odds.ravel().take(place) / total[:, 0]
+        log = np.log(share)
         back = None
         if grads is not None:
             odds /= total
-            odds[rows, group] -= 1
+            odds.ravel()[place] = share - 1
             back = odds @ a["class_weights"].T
             grads["class_weights"] += states.T @ odds
             grads["class_bias"] += odds.sum(axis=0)
         # Words in the order of their classes, so that those of a class are a slice.
-        order = np.argsort(group.astype(np.uint16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
-        states, inside, more = states[order], inside[order], np.empty(n, log.dtype)
-        beside = None if grads is None else np.empty_like(back)
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group.take(order), np.arange(self.classes + 1)).tolist()
+        given, inside = given.take(order, axis=0, out=self._room("sorted", n, u + 1), mode="clip"), inside.take(order)
+        beside = None if grads is None else self._room("beside", n, u)
+        ones = np.ones((CLASS_WORDS, 1), np.float32)
+        rows *= CLASS_WORDS
         for c in range(self.classes):
             here = slice(cuts[c], cuts[c + 1])
             if here.start == here.stop:
                 continue
-            s, w = states[here], inside[here]
-            odds, total = self._softmax(s @ a["word_weights"][c] + a["word_bias"][c])
-            k = rows[: len(w)]
-            more[here] = np.log(odds[k, w] / total[:, 0])
+            s, k = given[here], here.stop - here.start
+            odds, total = self._softmax(s, by_word[c], high, self._room("words", k, CLASS_WORDS), ones)
+            place = rows[:k] + inside[here]
+            some = np.divide(odds.ravel().take(place), total[:, 0], out=share[here])
             if grads is not None:
                 odds /= total
-                odds[k, w] -= 1
+                odds.ravel()[place] = some - 1
                 np.matmul(odds, a["word_weights"][c].T, out=beside[here])
-                grads["word_weights"][c] += s.T @ odds
+                grads["word_weights"][c] += s[:, :u].T @ odds
                 grads["word_bias"][c] += odds.sum(axis=0)
-        log[order] += more
+        places = np.empty(n, np.int64)
+        places[order] = np.arange(n)
+        log += np.log(share, out=share).take(places)
         if grads is not None:
-            back[order] += beside
+            back += beside.take(places, axis=0, out=self._room("sorted", n, u), mode="clip")
         return log, back
 
     def backward(self, given: np.ndarray, fresh: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
         """Gradients of the inputs and the recurrent weights; ``back``: gradient by the state after each step."""
         a, u = self.arrays, self.units
         after = np.zeros_like(back[0])
-        by_input, clear = np.empty((*given.shape, 3 * u), np.float32), fresh.any(axis=1).tolist()
+        by_input, clear = self._room("inputs", *given.shape, 3 * u), fresh.any(axis=1).tolist()
         for t in range(len(given) - 1, -1, -1):
             state, gates, rn, new = kept[t]
             z, g = gates
@@ -222,10 +247,12 @@ class Network:
             after = r @ a["recurrent"].T + d * z
             if clear[t]:
                 after[fresh[t]] = 0
-        flat, words = by_input.reshape(-1, 3 * u), given.ravel()
-        order = np.argsort(words.astype(np.uint16), kind="stable")  # of 16 bits, which are sorted by digits
-        first = np.flatnonzero(np.append(True, words[order][1:] != words[order][:-1]))
-        grads["inputs"][words[order][first]] += np.add.reduceat(flat[order], first, axis=0)
+        words = given.astype(np.uint16).ravel()
+        order = np.argsort(words, kind="stable")  # of 16 bits, which are sorted by digits
+        words = words.take(order)
+        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        flat = by_input.reshape(-1, 3 * u).take(order, axis=0, out=self._room("sorted", len(words), 3 * u), mode="clip")
+        grads["inputs"][words[first]] += np.add.reduceat(flat, first, axis=0)
 
 
 class Lanes:
@@ -238,12 +265,14 @@ class Lanes:
         """Lane numbers, words before, words wanted, fresh starts, live places, and owners (numbers into ``owners``)."""
         now: list[tuple[int, np.ndarray, int] | None] = [None] * self.lanes
         self.owners: dict[int, object] = {}
-        serial, more, steps = 0, True, self.steps
+        serial, more, steps, some = 0, True, self.steps, list(range(self.lanes))
         while True:
-            given, wanted = np.zeros((self.lanes, steps), np.int64), np.zeros((self.lanes, steps), np.int64)
-            fresh, owner = np.ones((self.lanes, steps), bool), np.full((self.lanes, steps), -1, np.int64)
-            some = []
-            for lane in range(self.lanes):
+            # A lane that is empty at the end of the texts stays so.
+            tried, some = some if more else [lane for lane in some if now[lane] is not None], []
+            given, wanted = np.zeros((len(tried), steps), np.int64), np.zeros((len(tried), steps), np.int64)
+            fresh, owner = np.ones((len(tried), steps), bool), np.full((len(tried), steps), -1, np.int64)
+            used = []
+            for k, lane in enumerate(tried):
                 at, text = 0, now[lane]
                 while at < steps:
                     if text is None:
@@ -258,20 +287,20 @@ class Lanes:
                     left = len(words) - 1 - done
                     n = min(steps - at, left)
                     end = at + n
-                    given[lane, at:end] = words[done : done + n]
-                    wanted[lane, at:end] = words[done + 1 : done + n + 1]
-                    fresh[lane, at:end] = False
-                    fresh[lane, at] = done == 0
-                    owner[lane, at:end] = number
+                    given[k, at:end] = words[done : done + n]
+                    wanted[k, at:end] = words[done + 1 : done + n + 1]
+                    fresh[k, at:end] = False
+                    fresh[k, at] = done == 0
+                    owner[k, at:end] = number
                     at = end
                     text = (number, words, done + n) if n < left else None
                 now[lane] = text
                 if at:
                     some.append(lane)
+                    used.append(k)
             if not some:
                 return
-            live = np.array(some)
-            yield live, *(np.ascontiguousarray(x[live].T) for x in (given, wanted, fresh, owner))
+            yield np.array(some), *(np.ascontiguousarray((x if len(used) == len(tried) else x[used]).T) for x in (given, wanted, fresh, owner))
 
 
 def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: float = RATE) -> int:
@@ -360,9 +389,13 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield folded()
 
 
-def _numbered(words: Words, lexicon: Lexicon, row: int, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-    a, b = words.first[row], words.first[row + 1]
-    return np.append(np.where(known[a:b], lexicon.number[at[a:b]], OTHER) if len(lexicon.number) else np.full(b - a, OTHER), END)
+def _numbered(words: Words, lexicon: Lexicon, at: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all words, each text's followed by the end, and where each text begins, with the end of all."""
+    rows = len(words.counts)
+    begin = words.first + np.arange(rows + 1)
+    numbers = np.full(len(words) + rows, END, np.int64)
+    numbers[np.arange(len(words)) + words.doc] = np.where(known, lexicon.number[at], OTHER) if len(lexicon.number) else OTHER
+    return numbers, begin
 
 
 def _coded(lexicon: Lexicon):
@@ -374,7 +407,9 @@ def _coded(lexicon: Lexicon):
             for part in pieces(batch.column(1)):
                 words = Words(part, lower=True)
                 at, known = lexicon.find(words.hash)
-                numbers = [_numbered(words, lexicon, row, at, known).astype("<u2").tobytes() for row in range(len(part))]
+                numbers, begin = _numbered(words, lexicon, at, known)
+                numbers, begin = numbers.astype("<u2"), begin.tolist()
+                numbers = [numbers[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(numbers, pa.binary())], names=["mark", "numbers"])
                 start += len(part)
 
@@ -404,6 +439,8 @@ def _scored(lexicon: Lexicon, weights: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = np.log10(lexicon.counts + 1.0)
+        ends, end = lexicon.texts > 0, np.log10(lexicon.texts + 1.0)
+        nothing = _tally(np.zeros(0, np.int64))
 
         def texts() -> Iterator[tuple[object, np.ndarray]]:
             for batch in batches:
@@ -412,17 +449,22 @@ def _scored(lexicon: Lexicon, weights: np.ndarray):
                 for part in pieces(batch.column(2)):
                     words = Words(part, lower=True)
                     at, known = lexicon.find(words.hash)
+                    every, begin = _numbered(words, lexicon, at, known)
+                    log = np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(words))
+                    n_known, n_other = words.per_text(known).tolist(), words.per_text(every[np.arange(len(words)) + words.doc] == OTHER).tolist()
+                    strange = ~known
+                    rare = words.hash[strange].view(np.int64)
+                    cut = np.append(0, np.cumsum(words.per_text(strange))).tolist()
+                    begin, first = begin.tolist(), words.first.tolist()
                     for row in range(len(part)):
-                        a, b = words.first[row], words.first[row + 1]
-                        numbers = _numbered(words, lexicon, row, at, known)
+                        a, b = first[row], first[row + 1]
+                        numbers = every[begin[row] : begin[row + 1]]
                         k = known[a:b]
-                        mine = at[a:b][k]
-                        rare, times = _tally(words.hash[a:b][~k].view(np.int64))
-                        others = numbers[:-1][k] == OTHER
-                        log = logs[mine] if len(logs) else np.zeros(0)
-                        ends = lexicon.texts > 0
-                        meta = (ids[start + row], held[start + row], int(b - a) + 1, len(mine) + ends, float(log.sum()) + np.log10(lexicon.texts + 1.0), int((numbers == OTHER).sum()), float(log[others].sum()))
-                        yield (meta, rare, times), numbers
+                        mine = log[a:b][k]
+                        mine_rare, times = _tally(rare[cut[row] : cut[row + 1]]) if cut[row] < cut[row + 1] else nothing
+                        others = mine[numbers[:-1][k] == OTHER]
+                        meta = (ids[start + row], held[start + row], b - a + 1, n_known[row] + ends, float(mine.sum()) + end, n_other[row], float(others.sum()))
+                        yield (meta, mine_rare, times), numbers
                     start += len(part)
 
         def rows(out: list) -> pa.RecordBatch:

@@ -488,3 +488,63 @@ def test_training_learns_an_order_of_words():
     assert lm.train(net, iter([(None, t) for t in texts[200:]])) == sum(map(len, texts[200:]))
     after = sum(x for _, x in lm.score(net, iter([(0, t) for t in held])))
     assert after > 0.9 * before
+
+
+def test_arrays_are_held_from_window_to_window():
+    rng = np.random.default_rng(9)
+    size, n = 2048, lm.LANES * lm.STEPS
+    net = lm.Network(size, 1 / np.arange(1, size + 1))
+    states, wanted = rng.uniform(-1, 1, (n, net.units)).astype(np.float32), (rng.zipf(1.3, n) - 1) % size
+    grads = {k: np.zeros_like(v) for k, v in net.arrays.items()}
+    fresh = {k: np.zeros_like(v) for k, v in net.arrays.items()}
+    net.output(states, wanted, grads)
+    for some in (grads, None):
+        tracemalloc.start()
+        net.output(states, wanted, some)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 4 * n * net.classes * 1.5  # less than logits of classes and of words take
+    # What an earlier call left, of another size, is not seen.
+    grads = {k: np.zeros_like(v) for k, v in net.arrays.items()}
+    log, back = net.output(states[:700], wanted[:700], grads)
+    new = lm.Network(size, 1 / np.arange(1, size + 1))
+    expected, by_state = new.output(states[:700], wanted[:700], fresh)
+    assert np.array_equal(log, expected) and np.array_equal(back, by_state) and all(np.array_equal(grads[k], fresh[k]) for k in grads)
+
+
+def test_logits_beyond_single_precision():
+    net = lm.Network(70, np.ones(70), units=4)
+    net.arrays["class_weights"] *= 1e4
+    net.arrays["word_weights"] *= 1e4
+    states = np.ones((5, 4), np.float32)
+    grads = {k: np.zeros_like(v) for k, v in net.arrays.items()}
+    log, back = net.output(states, np.array([0, 1, 63, 64, 69]), grads)
+    assert not np.isnan(log).any() and (log <= 1e-6).all() and np.isfinite(back).all() and all(np.isfinite(g).all() for g in grads.values())
+
+
+def test_lanes_that_ended():
+    rng = np.random.default_rng(4)
+    texts = [np.append(rng.integers(2, 70, n), lm.END) for n in [3, 500, 0, 90, 7, 64, 31, 32, 33]]
+    lanes = lm.Lanes(iter(list(enumerate(texts))), lanes=4, steps=32)
+    found, before = {k: [] for k in range(len(texts))}, {k: [] for k in range(len(texts))}
+    for live, given, wanted, fresh, owner in lanes.windows():
+        assert given.shape == wanted.shape == fresh.shape == owner.shape == (32, len(live)) and (owner >= 0).any(axis=0).all()
+        for lane in range(len(live)):
+            for t in np.flatnonzero(owner[:, lane] >= 0).tolist():
+                k = lanes.owners[int(owner[t, lane])]
+                assert fresh[t, lane] == (not found[k])
+                found[k].append(int(wanted[t, lane]))
+                before[k].append(int(given[t, lane]))
+    assert all(found[k] == x.tolist() and before[k] == [lm.END, *x.tolist()[:-1]] for k, x in enumerate(texts))
+
+
+def test_numbers_of_a_piece():
+    texts = ["b a  c\ta", "", " ", "zz A", "a"]
+    words = Words(pa.array(texts), lower=True)
+    hashes = np.sort(Words(pa.array(["a b c"])).hash)
+    number = np.array([{h: k for k, h in zip([2, lm.OTHER, 3], Words(pa.array(["a b c"])).hash.tolist())}[h] for h in hashes.tolist()])
+    for lexicon in (lm.Lexicon(hashes, np.array([5, 4, 3]), number, 1, 13, 4), lm.Lexicon(hashes[:0], number[:0], number[:0], 0, 0, 0)):
+        numbers, begin = lm._numbered(words, lexicon, *lexicon.find(words.hash))
+        known = {"a": 2, "c": 3} if len(lexicon.number) else {}
+        expected = [[known.get(w, lm.OTHER) for w in brute.words(t, lower=True)] + [lm.END] for t in texts]
+        assert [numbers[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])] == expected
