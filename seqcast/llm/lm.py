@@ -50,7 +50,6 @@ FOLD_WORDS = 1 << 21
 #: Weights that one task averages, and rows that the driver averages at the end, at most.
 FAN_IN = 64
 END, OTHER = 0, 1
-_ENDED = np.array([END], np.int64)
 _LN10 = float(np.log(10.0))
 
 
@@ -256,7 +255,8 @@ class Network:
 
 
 class Lanes:
-    """Texts side by side: each lane takes the next text of the stream when its own has ended."""
+    """Texts side by side: each lane takes the next text of the stream when its own has ended. Texts are numbers of words
+    with the end as the last."""
 
     def __init__(self, texts: Iterator[tuple[object, np.ndarray]], lanes: int = LANES, steps: int = STEPS):
         self.texts, self.lanes, self.steps = texts, lanes, steps
@@ -266,14 +266,14 @@ class Lanes:
         now: list[tuple[int, np.ndarray, int] | None] = [None] * self.lanes
         self.owners: dict[int, object] = {}
         serial, more, steps, some = 0, True, self.steps, list(range(self.lanes))
+        nothing = np.full(steps, END, np.int64)
         while True:
             # A lane that is empty at the end of the texts stays so.
             tried, some = some if more else [lane for lane in some if now[lane] is not None], []
-            given, wanted = np.zeros((len(tried), steps), np.int64), np.zeros((len(tried), steps), np.int64)
-            fresh, owner = np.ones((len(tried), steps), bool), np.full((len(tried), steps), -1, np.int64)
-            used = []
-            for k, lane in enumerate(tried):
+            parts, numbers, lengths, starts, before = [], [], [], [], []
+            for lane in tried:
                 at, text = 0, now[lane]
+                last = END if text is None else text[1][text[2] - 1]
                 while at < steps:
                     if text is None:
                         taken = next(self.texts, None) if more else None
@@ -281,26 +281,32 @@ class Lanes:
                             more = False
                             break
                         self.owners[serial] = taken[0]
-                        text = (serial, np.concatenate([_ENDED, taken[1]]), 0)
+                        text = (serial, taken[1], 0)
+                        starts.append(len(some) * steps + at)
                         serial += 1
                     number, words, done = text
-                    left = len(words) - 1 - done
+                    left = len(words) - done
                     n = min(steps - at, left)
-                    end = at + n
-                    given[k, at:end] = words[done : done + n]
-                    wanted[k, at:end] = words[done + 1 : done + n + 1]
-                    fresh[k, at:end] = False
-                    fresh[k, at] = done == 0
-                    owner[k, at:end] = number
-                    at = end
+                    parts.append(words[done : done + n])
+                    numbers.append(number)
+                    lengths.append(n)
+                    at += n
                     text = (number, words, done + n) if n < left else None
                 now[lane] = text
                 if at:
                     some.append(lane)
-                    used.append(k)
+                    before.append(last)
+                    parts.append(nothing[at:])
+                    numbers.append(-1)
+                    lengths.append(steps - at)
             if not some:
                 return
-            yield np.array(some), *(np.ascontiguousarray((x if len(used) == len(tried) else x[used]).T) for x in (given, wanted, fresh, owner))
+            wanted, owner = np.concatenate(parts).reshape(-1, steps), np.repeat(numbers, lengths).reshape(-1, steps)
+            # A text ends with the end and begins after one, so that the word before is the one wanted before.
+            given = np.concatenate([np.array(before, np.int64)[:, None], wanted[:, :-1]], axis=1)
+            fresh = owner < 0
+            fresh.ravel()[starts] = True
+            yield np.array(some), *(np.ascontiguousarray(x.T) for x in (given, wanted, fresh, owner))
 
 
 def train(network: Network, texts: Iterator[tuple[object, np.ndarray]], rate: float = RATE) -> int:
